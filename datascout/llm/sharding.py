@@ -50,26 +50,29 @@ def hash_tree(shards: int, base: int = SHARDS, weights: dict[int, float] | None
     return _inner("root", regions)
 
 
-def _draw(key: Column, node: Node) -> Column:
-    u = (hash52(F.lit(node.name), key).cast("double") + F.lit(0.5)) / F.lit(2.0**52)
-    return -F.log(u) / F.lit(node.weight)
-
-
-def tree_shard(key: Column, node: Node) -> Column:
-    """Shard of a key (text): the expression descends the tree, drawing only among the children of nodes it enters."""
-    if node.shard is not None:
-        return F.lit(node.shard)
-    live = [c for c in node.children if c.weight > 0]
-    if len(live) == 1:
-        return tree_shard(key, live[0])
-    winner = F.array_min(F.array(*[F.struct(_draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(live)]))["i"]
-    below = [tree_shard(key, c) for c in live]
-    if all(c.shard is not None for c in live):
-        return F.element_at(F.array(*below), winner + 1)
-    made = F.when(winner == 0, below[0])
-    for i, x in enumerate(below[1:], 1):
-        made = made.when(winner == i, x)
-    return made
+def _levels(root: Node) -> list[list[list[tuple[str, float, int]]]]:
+    """For each level the children of its nodes: name, weight, and the child's place in the next level (at last its shard)."""
+    levels, nodes = [], [root]
+    while nodes[0].shard is None:
+        below = [c for n in nodes for c in n.children if c.weight > 0]
+        at = {id(c): i if c.shard is None else c.shard for i, c in enumerate(below)}
+        levels.append([[(c.name, c.weight, at[id(c)]) for c in n.children if c.weight > 0] for n in nodes])
+        nodes = below
+    return levels
+
+
+def tree_shard(key: Column, root: Node) -> Column:
+    """Shard of a key (text): at each level only the children of the node entered draw, and the smallest draw wins."""
+    at = F.lit(0)
+    for level in _levels(root):
+        children = F.array(*[F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"), F.lit(to).alias("to")) for n, w, to in node]) for node in level])
+
+        def draw(c: Column) -> Column:
+            u = (hash52(c["name"], key).cast("double") + F.lit(0.5)) / F.lit(2.0**52)
+            return F.struct((-F.log(u) / c["weight"]).alias("draw"), c["to"].alias("to"))
+
+        at = F.array_min(F.transform(F.element_at(children, at + 1), draw))["to"]
+    return at
 
 
 def place(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", weights: dict[int, float] | None = None) -> DataFrame:
