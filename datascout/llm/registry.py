@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op5_simhash_components": simhash.op5_simhash_components,
         "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
     }
 
