@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash
+from . import language_model, mixing, sharding, simhash, substrings
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op4_kneser_ney_scores": language_model.op4_kneser_ney_scores,
         "op5_simhash_components": simhash.op5_simhash_components,
         "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
+        "op9_substring_dedup": substrings.op9_substring_dedup,
     }
 
 
