@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_model, mixing, sharding, simhash, substrings
+from . import language_model, mixing, quality_rules, sharding, simhash, substrings
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_kneser_ney_scores": language_model.op4_kneser_ney_scores,
         "op5_simhash_components": simhash.op5_simhash_components,
         "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
         "op9_substring_dedup": substrings.op9_substring_dedup,
     }
 
