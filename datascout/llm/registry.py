@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_model, mixing, quality_rules, sharding, simhash, substrings
+from . import decontamination, language_model, mixing, quality_rules, sharding, simhash, substrings
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op5_simhash_components": simhash.op5_simhash_components,
         "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_template_decontamination": decontamination.op8_template_decontamination,
         "op9_substring_dedup": substrings.op9_substring_dedup,
     }
 

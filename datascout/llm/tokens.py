@@ -41,16 +41,18 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
 
 
-def _spans_hashed(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spans_hashed(buf: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_spans(buf)
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     up, down = _power_tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, dtype=_U)
     np.cumsum((buf.astype(_U) + _U(1)) * up[: len(buf)], out=sums[1:])
     return starts, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
-def hash_words(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of the texts, in order, and the number of words of each text.
+def hash_words(texts: list[bytes], chunk: int = 1 << 20, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (or of its first `prefix` bytes) of the texts, in order, and the number of words of each text.
 
     Whole texts go into a buffer of about `chunk` bytes at a time, so that memory is bounded by the largest text.
     """
@@ -62,7 +64,7 @@ def hash_words(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np
             size += len(texts[j]) + 1
             j += 1
         buf = np.frombuffer(b"\n".join(texts[i:j]) + b"\n", dtype=np.uint8)
-        starts, h = _spans_hashed(buf)
+        starts, h = _spans_hashed(buf, prefix)
         bounds = np.cumsum([len(t) + 1 for t in texts[i:j]])
         at = np.searchsorted(starts, bounds)
         counts[i:j] = np.diff(at, prepend=0)
