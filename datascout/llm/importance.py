@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame]:
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min(good).alias("good"))
     known = stash(known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED), "labelled")
-    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("id"), "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id"), "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))
     return log_ratios(*_counted(rows)), known
 
 
