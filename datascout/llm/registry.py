@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, importance, language_model, mixing, quality_rules, sharding, simhash, substrings
+from . import decontamination, fuzzy_lines, importance, language_model, mixing, quality_rules, sharding, simhash, substrings
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_template_decontamination": decontamination.op8_template_decontamination,
+        "op10_fuzzy_line_dedup": fuzzy_lines.op10_fuzzy_line_dedup,
         "op9_substring_dedup": substrings.op9_substring_dedup,
     }
 

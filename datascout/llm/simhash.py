@@ -146,7 +146,7 @@ def shard_keys(fp: Column, radius: int) -> Column:
     blocks = radius + 2
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     parts = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
-    return F.array(*[F.xxhash64(F.lit(f"{i}-{j}"), parts[i], parts[j]) for i, j in combinations(range(blocks), 2)])
+    return F.array(*[F.lit(n << 56).bitwiseOR(F.shiftleft(parts[i], cuts[j + 1] - cuts[j])).bitwiseOR(parts[j]) for n, (i, j) in enumerate(combinations(range(blocks), 2))])
 
 
 def fingerprint_components(fps: DataFrame, radius: int = RADIUS, name: str = "simhash") -> DataFrame:
