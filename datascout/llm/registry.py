@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, fuzzy_lines, importance, language_model, mixing, quality_rules, sharding, simhash, substrings
+from . import decontamination, fuzzy_lines, html_text, importance, language_model, mixing, quality_rules, sharding, simhash, substrings
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_consensus_extraction": html_text.op2_consensus_extraction,
         "op3_importance_resampling": importance.op3_importance_resampling,
         "op4_kneser_ney_scores": language_model.op4_kneser_ney_scores,
         "op5_simhash_components": simhash.op5_simhash_components,
