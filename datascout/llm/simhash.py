@@ -39,7 +39,7 @@ def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return xxh64_intdigest(joined, 42)
     lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lens + 1) - 1
-    starts, ends = (ends - lens)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()
+    starts, ends = (ends - lens)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
     h = np.fromiter((xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends)), dtype=np.uint64, count=len(starts))
     n, ones = len(h), np.zeros(64, dtype=np.int64)
     for i in range(0, n, 1 << 16):
