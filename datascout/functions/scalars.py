@@ -135,7 +135,7 @@ def dataset_id(*candidates: Column) -> Column:
 
 def readable_bytes(n: Column) -> Column:
     """Bytes with a unit, two decimals."""
-    shown = lambda d, u: F.concat(F.format_string("%.2f", n / F.lit(float(d))), F.lit(" " + u))
+    shown = lambda d, u: F.concat(F.format_string("%.2f", F.bround(n / F.lit(float(d)), 2)), F.lit(" " + u))
     return F.when(n < 1024, shown(1, "B")).when(n < 1 << 20, shown(1 << 10, "KiB")).when(n < 1 << 30, shown(1 << 20, "MiB")).otherwise(shown(1 << 30, "GiB"))
 
 
