@@ -47,22 +47,24 @@ def _is_slot(w: Column) -> Column:
     return w.rlike(f"[{_SLOTS}]")
 
 
-def window_hashes(words: Column, size: int) -> Column:
-    """Hash of each window of `size` words that has enough that are no slots (null for the others); no windows: empty."""
+def window_hashes(words: Column, size: int, check: bool = False) -> Column:
+    """Hash of each window of `size` words; no windows: empty.  check: null for those with too few words that are no slots.
+
+    Equal windows have equally many slots, so it is enough to check one side of a join.
+    """
     many = min(LITERALS, size)
     at = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
 
     def one(i: Column) -> Column:
         window = F.slice(words, i, size)
-        slots = F.length(F.regexp_replace(F.array_join(window, ""), f"[^{_SLOTS}]", ""))
-        return F.when(slots <= size - many, F.xxhash64(window))
+        return F.when(F.size(F.filter(window, _is_slot)) <= size - many, F.xxhash64(window)) if check else F.xxhash64(window)
 
     return F.transform(at, one)
 
 
-def _windows(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+def _windows(rows: DataFrame, keys: list[str], size: int, check: bool = False) -> DataFrame:
     """(keys, at, h): the windows of rows (keys, words)."""
-    return rows.select(*keys, F.posexplode(window_hashes(F.col("words"), size)).alias("at", "h")).where("h IS NOT NULL")
+    return rows.select(*keys, F.posexplode(window_hashes(F.col("words"), size, check)).alias("at", "h")).where("h IS NOT NULL")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = [none]
     for size in sizes:
         own = items.where(F.col("size") == size)
-        held = _windows(own, ["item_id", "words"], size).select(F.col("item_id"), F.col("h").alias("ih"), F.col("at").alias("spot"), (F.size("words") - size + 1).alias("n_item_windows"))
+        held = _windows(own, ["item_id", "words"], size, check=True).select(F.col("item_id"), F.col("h").alias("ih"), F.col("at").alias("spot"), (F.size("words") - size + 1).alias("n_item_windows"))
         if held.count() <= BROADCAST_WINDOWS:
             held = F.broadcast(held)
         hits = _windows(rows, ["doc_id", "rid"], size).join(held, F.col("h") == F.col("ih"))
