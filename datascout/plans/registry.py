@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import profiling, search
+from . import discovery, profiling, search
 
-_GROUPS = (profiling, search)
+_GROUPS = (discovery, profiling, search)
 QUERIES = {name: q for g in _GROUPS for name, q in g.QUERIES.items()}
 SQL = {name: sql for g in _GROUPS for name, sql in g.SQL.items()}
