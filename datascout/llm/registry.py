@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mix_sources": mixing.OP1_SQL, "op6_hash_tree_shards": sharding.OP6_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op6_hash_tree_shards": sharding.OP6_SQL, "op9_substring_dedup": substrings.OP9_SQL}

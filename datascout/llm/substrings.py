@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import WORD_SQL, read_table
 from .tokens import as_bytes, covered, hash_words, inside, sliding_min, windows
 
 WINDOW = 13
@@ -169,3 +169,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GRO
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """remove_repeats() over all documents, without the texts."""
     return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, {_LAST}) AS k, regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') AS w FROM documents),
+p AS (SELECT rid, k, w, unnest(range(1, len(w) - {WINDOW - 2})) AS pos FROM d),
+v AS (SELECT rid, k, pos, md5(array_to_string(w[pos : pos + {WINDOW - 1}], ' ')) AS h FROM p),
+f AS (SELECT h, min(k) AS least FROM v GROUP BY h),
+g AS (SELECT DISTINCT rid, unnest(range(pos, pos + {WINDOW})) AS i FROM v JOIN f USING (h) WHERE least < k),
+x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT x.rid, count(*) AS n_words, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (g.i IS NULL) AS kept FROM x LEFT JOIN g ON x.rid = g.rid AND x.i = g.i GROUP BY x.rid)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (rid)"""
