@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import catalog as C
+from ..operators import samples as N
 from ..sources import readers as R
 from ..sources.workdir import table, work_dir
 from ..streaming import ingest
@@ -177,6 +178,18 @@ def q_lookup(spark, sf):
     return C.find_profiles(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("want")), d)
 
 
+def q_located(spark, sf):
+    """Samples at different places of profiles made from events; headers are the keys of all rows."""
+    e = table(spark, sf, "events")
+    i = F.col("event_id")
+    two = F.concat(S('['), F.col("props"), S(',{"e":"'), F.col("event_type"), S('"}]'))
+    profile = F.when(i % 4 == 0, F.concat(S('{"rows":'), two, S("}"))).when(i % 4 == 1, F.concat(S('{"profiler_metadata":{"data":'), two, S("}}"))).when(i % 4 == 2, F.concat(S('{"data":[1,"'), F.col("event_type"), S('"]}'))).otherwise(S('{"sample":"a,b\\n1,2"}'))
+    rows = e.select(i.alias("id"), F.explode_outer(N.located_rows(profile)).alias("row"), N.located_text(profile).alias("text"))
+    names = N.headers(rows.where("row IS NOT NULL")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    texts = rows.where("text IS NOT NULL").select("id", F.length("text").cast("string").alias("names"))
+    return names.unionByName(texts)
+
+
 def q_portal_label(spark, sf):
     return R.registry_domains(registry(spark, sf)).select("url", X.domain_label(F.col("url")).alias("label"))
 
@@ -271,7 +284,7 @@ QUERIES = {
     "registry_domains": q_registry, "provider_domains": q_providers, "registry_filter": q_registry_filter, "registry_fallback": q_registry_fallback, "viable_assets": q_viable,
     "listing_ids": q_listing, "view_metadata": q_views, "cap_domains": q_cap_domains, "cap_datasets": q_cap_datasets, "work_items": q_work_items,
     "catalog_scan": q_scan, "catalog_record": q_record, "record_fallback": q_fallback, "catalog_upsert": q_upsert, "load_counts": q_load_counts, "staleness": q_staleness, "source_ts": q_source_ts,
-    "apply_timestamp": q_apply, "search_payload": q_payload, "strip_plots": q_plots, "profile_store": q_store, "profile_lookup": q_lookup, "portal_label": q_portal_label,
+    "apply_timestamp": q_apply, "search_payload": q_payload, "strip_plots": q_plots, "profile_store": q_store, "profile_lookup": q_lookup, "portal_label": q_portal_label, "sample_located": q_located,
     "portal_counts": q_portal_counts, "portal_upsert": q_portal_upsert, "portals_top": q_portals_top,
     "safe_float": _scalar("safe_float"),
     "epoch_norm": _scalar("epoch_norm"),
@@ -321,6 +334,7 @@ SELECT * FROM s WHERE state <> 'current'""",
     "profile_store": f"""WITH {CATALOG} SELECT id, '{{"id":' || id || ',"domain":"' || domain || '","provider":"' || provider || '"}}' AS profile FROM catalog""",
     "profile_lookup": "WITH p AS (SELECT doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '_profile.json' END AS name FROM documents) SELECT want, name, rank FROM (SELECT item_id::VARCHAR AS want, name, row_number() OVER (PARTITION BY item_id ORDER BY name <> item_id::VARCHAR, name) AS rank FROM benchmark JOIN p ON starts_with(name, item_id::VARCHAR)) WHERE rank = 1",
     "portal_label": f"WITH {REGISTRY} SELECT url, 'N' || substr(replace(replace(url, 'data.', ''), '.gov', ''), 2) AS label FROM kept",
+    "sample_located": "SELECT event_id AS id, CASE event_id % 4 WHEN 2 THEN 'value' WHEN 3 THEN '7' ELSE 'e,k' END AS names FROM events",
     "portal_counts": "SELECT source AS domain, count(*) AS n FROM documents GROUP BY source",
     "portal_upsert": "SELECT 'src' || n_nationkey AS domain, n_name AS provider, 'Src' || n_nationkey AS display_label, (SELECT count(*) FROM documents WHERE source = 'src' || n_nationkey) AS dataset_count FROM nation",
     "portals_top": "SELECT s_name AS domain, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE upper(s_name) END AS display_label, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey ELSE 0 END AS dataset_count FROM supplier WHERE s_suppkey % 10 <> 0 ORDER BY 3 DESC, 1 LIMIT 50",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from datascout.functions import scalars as X
 from datascout.operators import catalog as C
 from datascout.operators import profiling as P
+from datascout.operators import samples as N
 from datascout.operators import search as S
 from datascout.operators import text as T
 from datascout.operators import vectors as V
@@ -176,3 +177,10 @@ def test_streams_equal_batches(spark, tmp_path):
     got = ingest.stream_upsert(stream(), str(tmp_path / "cat"), "id", "seq")
     assert {r.id for r in got.collect()} == set(range(7)) and got.count() == 7
     assert {(r.v, r.n) for r in ingest.stream_counts(stream(), str(tmp_path / "n"), "v").collect()} == {(f"v{k}-{i}", 1) for k in range(3) for i in range(20)}
+
+
+def test_portal_defaults(spark):
+    kind = "domain string, dataset_count int"
+    some, none, default = spark.createDataFrame([("a", 1)], kind), spark.createDataFrame([], kind), spark.createDataFrame([("x", 0), ("y", 0)], kind)
+    assert [r.domain for r in N.or_default(some, default).collect()] == ["a"]
+    assert sorted(r.domain for r in N.or_default(none, default).collect()) == ["x", "y"]
