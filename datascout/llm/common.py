@@ -73,3 +73,13 @@ def bucket_count(rows: int, groups: int = 1) -> int:
 def range_bucket(h: Column, buckets: int) -> Column:
     """Bucket of a 52-bit hash; larger hashes never get a smaller bucket."""
     return F.floor(h.cast("double") * F.lit(buckets / 2.0**52)).cast("long")
+
+
+#: Most entries (rows, and the elements of their arrays) of a table that is broadcast: each is a few numbers, so about 50 MB at most.
+BROADCAST_ENTRIES = 500_000
+
+
+def small_side(df: DataFrame, elements: str | None = None) -> DataFrame:
+    """df with a broadcast hint if it has few entries; larger ones are left to a shuffle.  elements: a column of arrays, which count too."""
+    size = F.sum(F.greatest(F.size(elements), F.lit(1))) if elements else F.count(F.lit(1))
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= BROADCAST_ENTRIES else df

@@ -1,8 +1,8 @@
 """Fuzzy line dedup (operator 10).
 
 Lines are normalised (case, digits, punctuation and white space) and fingerprinted by the SimHash of their words.  Different
-lines whose fingerprints are within RADIUS bits agree on at least two pigeonhole blocks, so each distinct line is
-dealt to a shard for each pair of blocks; there, pairs within the radius are verified by edit similarity.  Links make
+lines whose fingerprints are within RADIUS bits agree on at least two (or three) pigeonhole blocks, so each distinct line is
+dealt to a shard for each choice of as many blocks; there, pairs within the radius are verified by edit similarity.  Links make
 connected groups, and of each group only the first occurrence (by doc_id, then line) stays in the corpus.
 
 Only hashes and fingerprints are dealt to shards at first; texts follow for the lines that have a partner, once for each shard
@@ -21,16 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
+from .common import read_table, small_side, stash
 from .components import connected_components
 from .language_model import slices
-from .simhash import BKForest, shard_keys
+from .simhash import BKForest, block_cuts, blocks_in_common, shard_keys
 from .tokens import as_bytes, hash_words
 
 #: Fewest words of a line that can be a repeat; differing bits; edit similarity.
 MIN_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
-#: Most rows that are broadcast to the texts they belong to; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 _PLAIN = bytes(48 if 48 <= x < 58 else 32 if x < 128 and not chr(x).isalnum() else ord(chr(x).lower()) if x < 128 else x for x in range(256))
 _LANES = np.array([sum(1 << 8 * b for b in range(8) if x >> b & 1) for x in range(256)], dtype=np.uint64)
 
@@ -136,12 +134,11 @@ def _by_shard(columns: tuple[str, ...], work, out: tuple[str, ...]):
     return run
 
 
-def _pairs(shard: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(shard: np.ndarray, fp: np.ndarray, radius: int, agree: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs within the radius, each once and only in the first shard that both are in; in parts of bounded size."""
-    blocks = radius + 2
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    cuts = block_cuts(radius, agree)
     masks = [np.uint64((1 << hi) - (1 << lo)) for lo, hi in zip(cuts, cuts[1:])]
-    kinds = [masks[i] | masks[j] for i, j in combinations(range(blocks), 2)]
+    kinds = [np.bitwise_or.reduce(np.array(x)) for x in combinations(masks, agree)]
     forest = BKForest(shard, fp)
     for i in range(0, len(fp), 1 << 12):
         a, b = forest.within(np.arange(i, min(i + (1 << 12), len(fp))), radius)
@@ -152,7 +149,7 @@ def _pairs(shard: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.
         yield a[mine], b[mine]
 
 
-def partners(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
+def partners(lines: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
     """(shard, h): lines (h, fp), different ones, that have a partner within the radius, and the shard to verify them in."""
 
     def work(t: pa.Table):
@@ -163,16 +160,16 @@ def partners(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
         hit = np.zeros(len(first), dtype=bool)
         many = np.bincount(place) > 1
         hit[many & (shard[first] >> 56 == 0)] = True
-        for a, b in _pairs(shard[first], fp[first], radius):
+        for a, b in _pairs(shard[first], fp[first], radius, agree):
             hit[a] = hit[b] = True
         return shard[hit[place]], h[hit[place]]
 
-    keyed = lines.select(F.explode(shard_keys(F.col("fp"), radius)).alias("shard"), "fp", "h")
+    keyed = lines.select(F.explode(shard_keys(F.col("fp"), radius, agree)).alias("shard"), "fp", "h")
     run = _by_shard(("shard", "fp", "h"), work, ("shard", "h"))
     return keyed.repartition("shard").sortWithinPartitions("shard", "fp", "h").mapInArrow(run, "shard long, h long")
 
 
-def verified_links(members: DataFrame, radius: int = RADIUS) -> DataFrame:
+def verified_links(members: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
     """(a, b): links of members (shard, h, fp, norm) whose lines are similar, enough to connect all that are."""
 
     def work(t: pa.Table):
@@ -197,7 +194,7 @@ def verified_links(members: DataFrame, radius: int = RADIUS) -> DataFrame:
             if e - s > 1 and shard[s] >> 56 == 0:
                 for i, j in combinations(range(s, e), 2):
                     join(i, j)
-        for a, b in _pairs(shard[first], fp[first], radius):
+        for a, b in _pairs(shard[first], fp[first], radius, agree):
             for i, j in zip(a.tolist(), b.tolist()):
                 for x in range(first[i], ends[i]):
                     for y in range(first[j], ends[j]):
@@ -210,11 +207,10 @@ def verified_links(members: DataFrame, radius: int = RADIUS) -> DataFrame:
     return members.repartition("shard").sortWithinPartitions("shard", "fp", "h").mapInArrow(run, "a long, b long")
 
 
-def _attach(docs: DataFrame, of_rows: DataFrame, how: str) -> DataFrame:
-    """docs joined with of_rows (rid, ...; one row a rid): broadcast if these are few, else by a shuffle."""
-    of_rows = of_rows.withColumnRenamed("rid", "of")
-    few = of_rows.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(of_rows) if few else of_rows, F.col("rid") == F.col("of"), how).drop("of")
+def _attach(docs: DataFrame, of_rows: DataFrame, elements: str, how: str) -> DataFrame:
+    """docs joined with of_rows (rid, ...; one row a rid): broadcast if these hold few elements, else by a shuffle."""
+    of_rows = small_side(of_rows.withColumnRenamed("rid", "of"), elements)
+    return docs.join(of_rows, F.col("rid") == F.col("of"), how).drop("of")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -229,7 +225,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out += [(w["shard"], w["h"], w["fp"], normalised(lines[w["line"]]).decode()) for w in want]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=["shard", "h", "fp", "norm"])
 
-    return _attach(docs.select("rid", "text"), each, "inner").mapInArrow(run, "shard long, h long, fp long, norm string")
+    return _attach(docs.select("rid", "text"), each, "want", "inner").mapInArrow(run, "shard long, h long, fp long, norm string")
 
 
 def rid(docs: DataFrame) -> Column:
@@ -241,9 +237,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     lines = stash(lines_of(docs), "fuzzy_lines")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line").alias("first")
     reps = stash(lines.groupBy("h").agg(F.min(order).alias("first"), F.first("fp").alias("fp")), "fuzzy_reps")
-    found = partners(reps.select("h", "fp")).withColumnRenamed("h", "k")
+    agree = blocks_in_common(reps.count(), RADIUS)
+    found = partners(reps.select("h", "fp"), RADIUS, agree).withColumnRenamed("h", "k")
     wanted = reps.join(found, F.col("h") == F.col("k")).select("first.rid", "first.line", "shard", "h", "fp")
-    groups = connected_components(verified_links(_texts(docs, wanted)), "fuzzy_links").withColumnRenamed("node", "k")
+    groups = connected_components(verified_links(_texts(docs, wanted), RADIUS, agree), "fuzzy_links").withColumnRenamed("node", "k")
     of = reps.join(groups, F.col("h") == F.col("k"), "left").select("h", "first", F.coalesce("component", "h").alias("c"))
     least = of.groupBy("c").agg(F.min("first").alias("keep")).withColumnRenamed("c", "k")
     keep = of.join(least, F.col("c") == F.col("k")).select(F.col("h").alias("k"), F.col("keep.rid").alias("keep_rid"), F.col("keep.line").alias("keep_line"))
@@ -270,7 +267,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 removed.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())], names=["doc_id", "text", "n_lines", "n_removed", "kept_sha256"])
 
-    return _attach(rows, repeats(rows), "left").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long, kept_sha256 string")
+    return _attach(rows, repeats(rows), "lines", "left").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long, kept_sha256 string")
 
 
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

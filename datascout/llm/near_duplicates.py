@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import small_side, stash
 from .components import connected_components
-from .fuzzy_lines import BROADCAST_ROWS, _by_shard, _pairs, partners
+from .fuzzy_lines import _by_shard, _pairs, partners
 from .language_model import slices
+from .simhash import blocks_in_common
 from .tokens import as_bytes, hash_words, mix64, windows
 
 RADIUS, SHINGLE, SIMILARITY = 6, 5, 0.8
@@ -55,9 +56,13 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(windows(h, SHINGLE) if len(h) >= SHINGLE else windows(h, len(h)) if len(h) else h)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= SIMILARITY * max(len(a), len(b)) else 0
-    return both / max(1, len(a) + len(b) - both)
+def similar_to(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets have a Jaccard similarity of at least SIMILARITY to one; all are sorted and not empty."""
+    ends = np.cumsum([len(x) for x in others])
+    every = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    both = np.add.reduceat((one[place] == every).astype(np.int64), np.r_[0, ends[:-1]])
+    return both / (len(one) + np.diff(ends, prepend=0) - both) >= SIMILARITY
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -73,12 +78,12 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, fp long")
 
 
-def _links(members: DataFrame) -> DataFrame:
+def _links(members: DataFrame, agree: int) -> DataFrame:
     """(a, b): links of members (shard, h, fp, text), enough to connect all that are similar."""
 
     def work(t: pa.Table):
         shard, fp, h, texts = t["shard"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["h"].to_numpy(), as_bytes(t["text"])
-        root, sets = np.arange(len(h)), {}
+        root, sets = list(range(len(h))), {}
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -91,24 +96,30 @@ def _links(members: DataFrame) -> DataFrame:
                 sets[i] = shingles(texts[i])
             return sets[i]
 
-        def join(i: int, j: int) -> None:
-            a, b = top(i), top(j)
-            if a != b and jaccard(of(i), of(j)) >= SIMILARITY:
-                root[max(a, b)] = min(a, b)
+        def link(i: int, js: list[int]) -> None:
+            """Joins i with those of js that are similar and not yet in its group."""
+            mine, own = of(i), top(i)
+            js = [j for j in js if top(j) != own and 0 < SIMILARITY * max(len(of(j)), len(mine)) <= min(len(of(j)), len(mine))]
+            if js:
+                for j in np.array(js)[similar_to(mine, [of(j) for j in js])].tolist():
+                    a, b = top(i), top(j)
+                    root[max(a, b)] = min(a, b)
 
         new = np.r_[True, (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1])]
         first = np.flatnonzero(new)
         ends = np.r_[first[1:], len(h)]
         for s, e in zip(first.tolist(), ends.tolist()):
             if e - s > 1 and shard[s] >> 56 == 0:
-                for j in range(s + 1, e):
-                    for i in range(s, j):
-                        join(i, j)
-        for a, b in _pairs(shard[first], fp[first], RADIUS):
-            for i, j in zip(a.tolist(), b.tolist()):
-                for x in range(first[i], ends[i]):
-                    for y in range(first[j], ends[j]):
-                        join(x, y)
+                for i in range(s, e - 1):
+                    link(i, list(range(i + 1, e)))
+        for a, b in _pairs(shard[first], fp[first], RADIUS, agree):
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else a
+            for s, e in zip(starts.tolist(), np.r_[starts[1:], len(a)].tolist()):
+                js = [y for j in b[s:e].tolist() for y in range(first[j], ends[j])]
+                for x in range(first[a[s]], ends[a[s]]):
+                    link(x, js)
         up = np.array([top(i) for i in range(len(h))])
         off = up != np.arange(len(h))
         return h[off], h[up[off]]
@@ -127,7 +138,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = stash(_scan(docs), "near_rows")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id").alias("first")
     reps = stash(rows.groupBy("h").agg(F.min(order).alias("first"), F.first("fp").alias("fp")), "near_reps")
-    found = partners(reps.select("h", "fp"), RADIUS).withColumnRenamed("h", "k")
+    agree = blocks_in_common(reps.count(), RADIUS)
+    found = partners(reps.select("h", "fp"), RADIUS, agree).withColumnRenamed("h", "k")
     wanted = reps.join(found, F.col("h") == F.col("k")).groupBy("first.doc_id").agg(F.collect_set(F.struct("shard", "h", "fp")).alias("want"))
     wanted = stash(wanted.withColumnRenamed("doc_id", "of"), "near_wanted")
 
@@ -141,10 +153,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["shard", "h", "fp", "text"])
 
-    few = wanted.count() <= BROADCAST_ROWS
-    near = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("of")))
+    near = docs.select("doc_id", "text").join(small_side(wanted, "want"), F.col("doc_id").eqNullSafe(F.col("of")))
     members = near.select("text", "want").mapInArrow(texts, "shard long, h long, fp long, text binary").dropDuplicates(["shard", "h"])
-    comp = connected_components(_links(members), "near_links").withColumnRenamed("node", "k")
+    comp = connected_components(_links(members, agree), "near_links").withColumnRenamed("node", "k")
     groups = reps.join(comp, F.col("h") == F.col("k"), "left").select("h", "first", F.coalesce("component", "h").alias("c"))
     least = groups.groupBy("c").agg(F.min(F.struct("first", "h")).alias("keep"))
     keep = stash(least.select(F.col("keep.first.doc_id").alias("of"), F.col("keep.h").alias("kept_h")), "near_keep")

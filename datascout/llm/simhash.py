@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +142,32 @@ def _shard_links(radius: int):
     return run
 
 
-def shard_keys(fp: Column, radius: int) -> Column:
-    """The shards of a fingerprint: one for each pair of its radius + 2 blocks."""
-    blocks = radius + 2
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
-    return F.array(*[F.lit(n << 56).bitwiseOR(F.shiftleft(parts[i], cuts[j + 1] - cuts[j])).bitwiseOR(parts[j]) for n, (i, j) in enumerate(combinations(range(blocks), 2))])
+def block_cuts(radius: int, agree: int = 2) -> list[int]:
+    """Bounds of radius + agree blocks of bits: two fingerprints within the radius have at least `agree` blocks in common."""
+    blocks = radius + agree
+    return [round(64 * i / blocks) for i in range(blocks + 1)]
+
+
+def blocks_in_common(rows: int, radius: int) -> int:
+    """2 or 3, whichever costs less: more common blocks mean more shards a fingerprint, but fewer strangers in a shard.
+
+    Either finds all partners; large tables need the longer shard names.
+    """
+    cost = lambda agree: comb(radius + agree, agree) * (8 + rows / 2 ** (64 * agree / (radius + agree)))
+    return min((2, 3), key=cost)
+
+
+def shard_keys(fp: Column, radius: int, agree: int = 2) -> Column:
+    """The shards of a fingerprint: one for each choice of `agree` of its blocks; the top byte numbers the choice."""
+    cuts = block_cuts(radius, agree)
+    keys = []
+    for n, chosen in enumerate(combinations(range(radius + agree), agree)):
+        key = F.lit(0).cast("long")
+        for i in chosen:
+            lo, hi = cuts[i], cuts[i + 1]
+            key = F.shiftleft(key, hi - lo).bitwiseOR(F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
+        keys.append(F.lit(n << 56).bitwiseOR(key))
+    return F.array(*keys)
 
 
 def fingerprint_components(fps: DataFrame, radius: int = RADIUS, name: str = "simhash") -> DataFrame:

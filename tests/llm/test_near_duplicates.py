@@ -44,3 +44,14 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert nd.keep_one(documents(spark, [])).collect() == []
+
+
+def test_two_or_three_common_blocks_find_the_same(spark, monkeypatch):
+    rows = [(i, " ".join(words(i // 5, 120)[: 119 - i % 5])) for i in range(60)]
+    docs = documents(spark, rows)
+    want = {r.doc_id for r in nd.keep_one(docs).collect()}
+    monkeypatch.setattr(nd, "blocks_in_common", lambda rows, radius: 3)
+    assert {r.doc_id for r in nd.keep_one(docs).collect()} == want == {i for i, _ in brute(rows)[0]}
+    from datascout.llm.simhash import blocks_in_common
+
+    assert [blocks_in_common(n, 6) for n in (1000, 10**9)] == [2, 3]
