@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stash
 
-#: Paths of a host that are tried, and most hosts that are broadcast (more are joined by a shuffle).
-TRIED, BROADCAST_HOSTS = 16, 100_000
+#: Paths of a host that are tried; most characters of all paths that are broadcast (more are joined by a shuffle).
+TRIED, BROADCAST_CHARS = 16, 16_000_000
 #: Least score of a container of the host's path, as a share of the best such one on the page.
 LEAST = 0.2
 
@@ -225,8 +225,8 @@ def extract(pages: DataFrame) -> DataFrame:
             texts, used = ([x[k] for x in made] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())], names=["page_id", "url", "text", "n_chars", "path"])
 
-    paths = host_paths(pages)
-    if paths.count() <= BROADCAST_HOSTS:
+    paths = stash(host_paths(pages), "host_paths")
+    if (paths.agg(F.sum(F.length("host") + F.length(F.array_join("paths", " ")))).first()[0] or 0) <= BROADCAST_CHARS:
         paths = F.broadcast(paths)
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("of"))
     return rows.join(paths, F.col("of") == F.col("host"), "left").mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")
