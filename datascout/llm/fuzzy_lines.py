@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_side, stash
+from .common import read_table, stash
 from .components import connected_components
 from .language_model import slices
 from .simhash import BKForest, block_cuts, blocks_in_common, shard_keys
@@ -207,10 +207,9 @@ def verified_links(members: DataFrame, radius: int = RADIUS, agree: int = 2) ->
     return members.repartition("shard").sortWithinPartitions("shard", "fp", "h").mapInArrow(run, "a long, b long")
 
 
-def _attach(docs: DataFrame, of_rows: DataFrame, elements: str, how: str) -> DataFrame:
-    """docs joined with of_rows (rid, ...; one row a rid): broadcast if these hold few elements, else by a shuffle."""
-    of_rows = small_side(of_rows.withColumnRenamed("rid", "of"), elements)
-    return docs.join(of_rows, F.col("rid") == F.col("of"), how).drop("of")
+def _attach(docs: DataFrame, of_rows: DataFrame, how: str) -> DataFrame:
+    """docs joined with of_rows (rid, ...; one row a rid); Spark broadcasts these only if they turn out to be tiny."""
+    return docs.join(of_rows.withColumnRenamed("rid", "of"), F.col("rid") == F.col("of"), how).drop("of")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -225,7 +224,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out += [(w["shard"], w["h"], w["fp"], normalised(lines[w["line"]]).decode()) for w in want]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=["shard", "h", "fp", "norm"])
 
-    return _attach(docs.select("rid", "text"), each, "want", "inner").mapInArrow(run, "shard long, h long, fp long, norm string")
+    return _attach(docs.select("rid", "text"), each, "inner").mapInArrow(run, "shard long, h long, fp long, norm string")
 
 
 def rid(docs: DataFrame) -> Column:
@@ -267,7 +266,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 removed.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())], names=["doc_id", "text", "n_lines", "n_removed", "kept_sha256"])
 
-    return _attach(rows, repeats(rows), "lines", "left").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long, kept_sha256 string")
+    return _attach(rows, repeats(rows), "left").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long, kept_sha256 string")
 
 
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
