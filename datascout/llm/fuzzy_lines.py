@@ -5,6 +5,11 @@ lines whose fingerprints are within RADIUS bits agree on at least two (or three)
 dealt to a shard for each choice of as many blocks; there, pairs within the radius are verified by edit similarity.  Links make
 connected groups, and of each group only the first occurrence (by doc_id, then line) stays in the corpus.
 
+SimHash alone misses most pairs of short lines, so op10 also deals lines by their words (WORDS): ordered by length, then hash, two
+lines that share needed() of their words share one of the first ones, so each line goes to the shards of these.  A shard compares
+lines by a parity bitmap, whose differing bits are never more than the words that differ.  This finds every pair of that many common
+words; exact repeats are grouped by hash, whatever their length.
+
 Only hashes and fingerprints are dealt to shards at first; texts follow for the lines that have a partner, once for each shard
 that is the first a pair shares.  A shard verifies a pair only if its lines aren't in one group yet, and yields one link a
 line, so that a group of very many versions of a line costs no pairs.
@@ -25,10 +30,14 @@ from .common import read_table, stash
 from .components import connected_components
 from .language_model import slices
 from .simhash import BKForest, block_cuts, blocks_in_common, shard_keys
-from .tokens import as_bytes, hash_words
+from .tokens import as_bytes, hash_words, mix64, word_spans
 
 #: Fewest words of a line that can be a repeat; differing bits; edit similarity.
 MIN_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
+#: Top byte of shards that are words; those of blocks of bits are numbered from 0.
+WORDS = 64
+#: Lines of more words are compared by 512 parity bits too.
+LONG = 64
 _PLAIN = bytes(48 if 48 <= x < 58 else 32 if x < 128 and not chr(x).isalnum() else ord(chr(x).lower()) if x < 128 else x for x in range(256))
 _LANES = np.array([sum(1 << 8 * b for b in range(8) if x >> b & 1) for x in range(256)], dtype=np.uint64)
 
@@ -53,6 +62,63 @@ def fingerprints(lines: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def needed(n: np.ndarray) -> np.ndarray:
+    """Words that two lines must share if the longer one has n: three fifths up to 20 words, else four fifths."""
+    return np.where(n <= 20, -(-3 * n // 5), -(-4 * n // 5))
+
+
+def signatures(lines: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each line its number of words, 128 and 512 parity bits and all word hashes; and the word shards, with the place of their line.
+
+    A word that a line repeats counts as another word each time.
+    """
+    h, n = hash_words(lines)
+    starts, ends = word_spans(np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8))
+    line = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, starts - ends, line))
+    line, h = line[order], h[order]
+    at = np.arange(len(h))
+    new = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])] if len(h) else at
+    h = mix64(h + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    first = np.cumsum(n) - n
+    bit = np.uint64(1) << (h & np.uint64(63))
+    high = (h & np.uint64(64)) > 0
+    low, high = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), first) if len(h) else bit for x in (~high, high))
+    more = np.stack([np.bitwise_xor.reduceat(np.where(h >> np.uint64(6) & np.uint64(7) == k, bit, np.uint64(0)), first) for k in range(8)], axis=1) if len(h) else np.zeros((0, 8), np.uint64)
+    keep = at - first[line] <= (n - needed(n))[line]
+    shards = (h[keep] >> np.uint64(8)).view(np.int64) | WORDS << 56
+    return n, low, high, more, h, shards, line[keep]
+
+
+def _word_pairs(shard: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, more: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a shard that can share as many words as needed, in parts of bounded size; rows are sorted by shard and n.
+
+    more: 512 parity bits of the rows of over LONG words; at: their places there.
+    """
+    place = np.cumsum(np.r_[True, shard[1:] != shard[:-1]]).astype(np.int64)
+    most = np.maximum(np.minimum(20, 5 * n // 3), 5 * n // 4)
+    ends = np.searchsorted(place << 32 | n, place << 32 | most, side="right")
+    own = np.arange(len(n))
+    todo = np.cumsum(np.r_[0, ends - own - 1])
+    i = 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(todo, todo[i] + (1 << 18), side="right")) - 1)
+        k = (ends - own - 1)[i:j]
+        a = np.repeat(own[i:j], k)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        both = needed(n[b])
+        apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
+        hit = (n[a] >= both) & (apart <= n[a] + n[b] - 2 * both)
+        a, b, both = a[hit], b[hit], both[hit]
+        if (far := np.flatnonzero(n[a] > LONG)).size:  # then b is as long at least
+            x, y = a[far], b[far]
+            hit = np.ones(len(a), dtype=bool)
+            hit[far] = np.bitwise_count(more[at[x]] ^ more[at[y]]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * both[far]
+            a, b = a[hit], b[hit]
+        yield a, b
+        i = j
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, all rows of a column at once in the bits of an integer."""
     n = min(len(a), len(b))
@@ -82,8 +148,8 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(a) - len(b)) <= (1 - least) * most and edit_distance(a, b) <= (1 - least) * most
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, line, h, fp) of every line of docs (rid, doc_id, text) with enough words."""
+def lines_of(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(rid, doc_id, line, h, fp) of every line of docs (rid, doc_id, text) with enough words; fp: null below MIN_WORDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -95,14 +161,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 for r in range(i, j):
                     for k, x in enumerate(texts[r].split(b"\n")):
                         x = normalised(x)
-                        if x.count(b" ") >= MIN_WORDS - 1:
+                        if x and x.count(b" ") >= least - 1:
                             row.append(r)
                             line.append(k)
                             norm.append(x)
                 if norm:
                     at = pa.array(row)
                     h = np.fromiter(map(xxh64_intdigest, norm), dtype=np.uint64, count=len(norm)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), batch.column("doc_id").take(at), pa.array(line, pa.int32()), pa.array(h), pa.array(fingerprints(norm).view(np.int64))], names=["rid", "doc_id", "line", "h", "fp"])
+                    yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), batch.column("doc_id").take(at), pa.array(line, pa.int32()), pa.array(h), pa.array(fingerprints(norm).view(np.int64), mask=np.array([x.count(b" ") < MIN_WORDS - 1 for x in norm]))], names=["rid", "doc_id", "line", "h", "fp"])
 
     return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, line int, h long, fp long")
 
@@ -169,12 +235,58 @@ def partners(lines: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFram
     return keyed.repartition("shard").sortWithinPartitions("shard", "fp", "h").mapInArrow(run, "shard long, h long")
 
 
+def word_partners(docs: DataFrame) -> DataFrame:
+    """(shard, h): lines of docs that have a partner by their words, and the shards to verify them in."""
+
+    names = ("shard", "h", "n", "low", "high", "more")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            texts, seen = as_bytes(batch.column("text")), set()
+            for i, j in slices(texts):
+                norm = {x for t in texts[i:j] for x in map(normalised, t.split(b"\n")) if x.count(b" ") >= MIN_WORDS - 1}
+                every = {xxh64_intdigest(x): x for x in norm}
+                own = {h: x for h, x in every.items() if h not in seen}
+                seen |= own.keys()
+                if own:
+                    n, low, high, more, _, shard, at = signatures(list(own.values()))
+                    more = pa.array([x.tobytes() if k > LONG else None for x, k in zip(more, n.tolist())], pa.binary()).take(pa.array(at))
+                    h = np.fromiter(own, dtype=np.uint64, count=len(own))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, h[at].view(np.int64), n[at].astype(np.int32), low[at].view(np.int64), high[at].view(np.int64), more)], names=list(names))
+
+    def work(t: pa.Table):
+        shard, h, n, low, high = (t[c].to_numpy() for c in ("shard", "h", "n", "low", "high"))
+        order = np.lexsort((h, n, shard))
+        shard, h, n, low, high = (x[order] for x in (shard, h, n.astype(np.int64), low.view(np.uint64), high.view(np.uint64)))
+        one = np.r_[True, (shard[1:] != shard[:-1]) | (h[1:] != h[:-1])]  # a line that several batches hold
+        shard, h, n, low, high, order = (x[one] for x in (shard, h, n, low, high, order))
+        more = [x for x in t["more"].take(pa.array(order)).to_pylist() if x is not None]
+        more, at = np.frombuffer(b"".join(more), dtype=np.uint64).reshape(-1, 8), np.cumsum(n > LONG) - 1
+        hit = np.zeros(len(h), dtype=bool)
+        for a, b in _word_pairs(shard, n, low, high, more, at):
+            hit[a] = hit[b] = True
+        return shard[hit], h[hit]
+
+    keyed = docs.select("text").mapInArrow(deal, "shard long, h long, n int, low long, high long, more binary")
+    return keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_by_shard(names, work, ("shard", "h")), "shard long, h long")
+
+
 def verified_links(members: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
     """(a, b): links of members (shard, h, fp, norm) whose lines are similar, enough to connect all that are."""
 
     def work(t: pa.Table):
+        t = t.take(pa.array(np.argsort(t["shard"].to_numpy() >> 56 == WORDS, kind="stable")))
+        bits = int((t["shard"].to_numpy() >> 56 != WORDS).sum())
+        parts = [links(t.slice(0, bits), False), links(t.slice(bits), True)]
+        return tuple(map(np.concatenate, zip(*parts)))
+
+    def links(t: pa.Table, words: bool):
         shard, fp, h, norm = t["shard"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["h"].to_numpy(), t["norm"].to_pylist()
         root = list(range(len(h)))
+        if not root:
+            return h, h
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -187,6 +299,25 @@ def verified_links(members: DataFrame, radius: int = RADIUS, agree: int = 2) ->
             if a != b and similar(norm[i], norm[j]):
                 root[max(a, b)] = min(a, b)
 
+        if words:
+            n, low, high, more, every, keys, at = signatures([x.encode() for x in norm])
+            ends, key_ends = np.cumsum(n), np.searchsorted(at, np.arange(len(h)), side="right")
+            sets: dict[int, tuple[set, set]] = {}
+
+            def of(i: int) -> tuple[set, set]:
+                if i not in sets:
+                    sets[i] = set(every[ends[i] - n[i] : ends[i]].tolist()), set(keys[key_ends[i - 1] if i else 0 : key_ends[i]].tolist())
+                return sets[i]
+
+            order = np.lexsort((h, n, shard))
+            least = needed(n).tolist()
+            for a, b in _word_pairs(shard[order], n[order], low[order], high[order], more[order], np.arange(len(h))):
+                for i, j in zip(order[a].tolist(), order[b].tolist()):
+                    if top(i) != top(j):
+                        (x, p), (y, q) = of(i), of(j)
+                        # each pair in one of its shards only, and only if it shares enough words
+                        if len(x & y) >= max(least[i], least[j]) and min(p & q) == shard[i]:
+                            join(i, j)
         new = np.r_[True, (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1])]
         first = np.flatnonzero(new)
         ends = np.r_[first[1:], len(h)]
@@ -194,7 +325,7 @@ def verified_links(members: DataFrame, radius: int = RADIUS, agree: int = 2) ->
             if e - s > 1 and shard[s] >> 56 == 0:
                 for i, j in combinations(range(s, e), 2):
                     join(i, j)
-        for a, b in _pairs(shard[first], fp[first], radius, agree):
+        for a, b in () if words else _pairs(shard[first], fp[first], radius, agree):
             for i, j in zip(a.tolist(), b.tolist()):
                 for x in range(first[i], ends[i]):
                     for y in range(first[j], ends[j]):
@@ -231,13 +362,16 @@ def rid(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(rid, lines): places of the lines of docs (rid, doc_id, text) that repeat an earlier line of the corpus."""
-    lines = stash(lines_of(docs), "fuzzy_lines")
+def repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(rid, lines): places of the lines of docs (rid, doc_id, text) that repeat an earlier line of the corpus; whole: see remove_repeats()."""
+    lines = stash(lines_of(docs, 1 if whole else MIN_WORDS), "fuzzy_lines")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line").alias("first")
     reps = stash(lines.groupBy("h").agg(F.min(order).alias("first"), F.first("fp").alias("fp")), "fuzzy_reps")
     agree = blocks_in_common(reps.count(), RADIUS)
-    found = partners(reps.select("h", "fp"), RADIUS, agree).withColumnRenamed("h", "k")
+    found = partners(reps.where("fp IS NOT NULL").select("h", "fp"), RADIUS, agree)
+    if whole:
+        found = found.unionByName(word_partners(docs))
+    found = found.withColumnRenamed("h", "k")
     wanted = reps.join(found, F.col("h") == F.col("k")).select("first.rid", "first.line", "shard", "h", "fp")
     groups = connected_components(verified_links(_texts(docs, wanted), RADIUS, agree), "fuzzy_links").withColumnRenamed("node", "k")
     of = reps.join(groups, F.col("h") == F.col("k"), "left").select("h", "first", F.coalesce("component", "h").alias("c"))
@@ -247,10 +381,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     return stash(gone.groupBy("rid").agg(F.collect_set("line").alias("lines")), "fuzzy_gone")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Per row of docs: doc_id, text without the repeats, n_lines, n_removed and kept_sha256 of the new text.
 
-    Lines of fewer than MIN_WORDS words always stay.  Null text: no line, and an empty new text; empty text: one empty line.
+    whole: candidates by words besides those by SimHash, and exact repeats of lines of one word and more; else lines of fewer than
+    MIN_WORDS words stay, as do partners that SimHash misses.  Lines without a word always stay.  Null text: no line, and an empty new text; empty text: one empty line.
     A null doc_id comes last in order.  Rows that repeat id and text are one document: all keep the same lines; rows that repeat the
     id only are different documents.  No size is capped.
     """
@@ -266,9 +401,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 removed.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())], names=["doc_id", "text", "n_lines", "n_removed", "kept_sha256"])
 
-    return _attach(rows, repeats(rows), "left").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long, kept_sha256 string")
+    return _attach(rows, repeats(rows, whole), "left").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long, kept_sha256 string")
 
 
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """remove_repeats() over all documents, without the texts."""
-    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("text")
+    """The whole remove_repeats() over all documents, without the texts."""
+    return remove_repeats(read_table(spark, sf_dir, "documents"), whole=True).drop("text")

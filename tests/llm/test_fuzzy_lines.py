@@ -80,3 +80,23 @@ def test_fingerprints_of_long_lines():
 
 def test_empty_table(spark):
     assert fl.op10_fuzzy_line_dedup(spark, saved(spark, documents=documents(spark, []))).collect() == []
+
+
+def test_query_against_edit_similarity_alone(spark):
+    """Lines of 5 to 45 words with words replaced, dropped or added, and repeats of short lines: no fingerprint decides here (digits are all alike, hence letters)."""
+    r, rows = random.Random(3), []
+    for i in range(60):
+        base = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in words(i, 5 + i % 40)]
+        other = list(base)
+        for _ in range(1 + len(base) // 9):
+            k = r.randrange(len(other))
+            other[k : k + 1] = r.choice([["wxy"], ["wz", other[k]], [other[k] + "s"]])
+        rows += [(i, " ".join(base) + "\nok\n"), (100 + i, " ".join(other) + f"\nonly here {chr(97 + i % 26)}{chr(97 + i // 26)}\nOK!\n")]
+    lines = sorted({(fl.normalised(x), d) for d, t in rows for x in t.encode().split(b"\n")}, key=lambda x: x[1])
+    pairs = [(a, b) for (a, d), (b, e) in itertools.combinations(lines, 2) if a != b and a.count(b" ") > 3 < b.count(b" ") and fl.similar(a.decode(), b.decode())]
+    far = [1 for a, b in pairs if (brute_fp(a) ^ brute_fp(b)).bit_count() > fl.RADIUS]
+    assert len(far) > 20
+    got = {x.doc_id: x.n_removed for x in fl.op10_fuzzy_line_dedup(spark, saved(spark, documents=documents(spark, rows))).collect()}
+    later = {b for _, b in pairs}
+    want = {d: sum(x in later for x in map(fl.normalised, t.encode().split(b"\n"))) + (d != 0) for d, t in rows}
+    assert got == want
