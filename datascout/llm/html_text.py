@@ -20,8 +20,6 @@ from .common import read_table, stash
 
 #: Paths of a host that are tried; most characters of all paths that are broadcast (more are joined by a shuffle).
 TRIED, BROADCAST_CHARS = 16, 16_000_000
-#: Least score of a container of the host's path, as a share of the best such one on the page.
-LEAST = 0.2
 
 # Elements by role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -168,6 +166,20 @@ def best_container(containers: list[Element]) -> Element | None:
     return best if weight(best) > 0 else None
 
 
+def frame(parts: list[Element]) -> Element:
+    """The smallest element that holds all of parts; if it is in an article or main element, the innermost such one."""
+    above = []
+    for e in parts:
+        ups, up = [], e
+        while up is not None:
+            ups.append(up)
+            up = up.parent
+        above.append(ups)
+    shared = set(map(id, above[0])).intersection(*(map(id, x) for x in above[1:]))
+    ups = [e for e in above[0] if id(e) in shared]
+    return next((e for e in ups if e.tag in ("article", "main")), ups[0])
+
+
 def main_text(html: str, paths: list[str]) -> tuple[str, str]:
     """Text of the page's article and the path used ('' if there is none): the first of the paths that the page has, else its own best."""
     containers, blocks = parse(html)
@@ -179,8 +191,7 @@ def main_text(html: str, paths: list[str]) -> tuple[str, str]:
         if weight(e) > 0:
             by_path.setdefault(e.path, []).append(e)
     path = next((p for p in paths if p in by_path), own.path)
-    most = max(map(weight, by_path[path]))
-    chosen = {id(e) for e in by_path[path] if weight(e) >= LEAST * most}
+    chosen = {id(frame(by_path[path]))}
     out = []
     for e, text in blocks:
         up, menu, inside = e, False, False

@@ -49,3 +49,15 @@ def test_given_pages_against_a_plain_reading(spark):
         want[r.page_id] = " ".join(t for t in (" ".join(unescape(b).split()) for b in blocks) if t)
     got = {r.page_id: r.text for r in ht.op2_consensus_extraction(spark, sf).collect()}
     assert got == want
+
+
+def test_short_sections_of_the_article_stay():
+    parts = [f"<section><p>{w * n}</p></section>" for w, n in (("long text ", 90), ("short text ", 14), ("tiny ", 1))]
+    page = f"<body><div>Tagline</div><article><h1>Title</h1>{''.join(parts)}Direct text<aside>no</aside></article></body>"
+    want = " ".join(("Title " + "long text " * 90 + "short text " * 14 + "tiny Direct text").split())
+    plain = page.replace("article>", "div>")
+    for path in ([], ["html/body/article/section"]):
+        assert ht.main_text(page, path)[0] == want
+    assert ht.main_text(plain, ["html/body/div/section"])[0] == want
+    one = f"<article><h1>Title</h1>{parts[1]}</article>"
+    assert ht.main_text(one, ["html/article/section"])[0] == " ".join(("Title " + "short text " * 14).split())
