@@ -45,6 +45,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_key(c: Column) -> Column:
     """Text of an id for hashing; null gets a text that no integer id has."""
     return F.coalesce(c.cast("string"), F.lit("null"))

@@ -1,45 +1,42 @@
 """Fuzzy line dedup (operator 10).
 
-Lines are normalised (case, digits, punctuation and white space) and fingerprinted by the SimHash of their words.  Different
-lines whose fingerprints are within RADIUS bits agree on at least two (or three) pigeonhole blocks, so each distinct line is
-dealt to a shard for each choice of as many blocks; there, pairs within the radius are verified by edit similarity.  Links make
-connected groups, and of each group only the first occurrence (by doc_id, then line) stays in the corpus.
-
-SimHash alone misses most pairs of short lines, so op10 also deals lines by their words (WORDS): ordered by length, then hash, two
-lines that share needed() of their words share one of the first ones, so each line goes to the shards of these.  A shard compares
-lines by a parity bitmap, whose differing bits are never more than the words that differ.  This finds every pair of that many common
-words; exact repeats are grouped by hash, whatever their length.
-
-Only hashes and fingerprints are dealt to shards at first; texts follow for the lines that have a partner, once for each shard
-that is the first a pair shares.  A shard verifies a pair only if its lines aren't in one group yet, and yields one link a
-line, so that a group of very many versions of a line costs no pairs.
+Lines are normalised (case, digits, punctuation and white space) and fingerprinted by SimHash in blocks (see blocks.py): each block is
+the SimHash of three of the line's words, drawn in favour of long ones.  Lines that agree on a block are compared by edit
+similarity; links make connected groups, and of each group only the first occurrence (by doc_id, then line) stays in the corpus.
+Exact repeats of a normalised line are one line, whatever its length.
+
+A single SimHash of all words finds one pair in nine that differs in one word; ten blocks find nearly all pairs whose edits lie in up
+to a fifth of their words (tests state the figures).  Edits that touch some letter of two fifths of all words are found in about 60 %.
+
+Only hashes go to the groups at first; texts follow for the lines that have a partner.  Hot blocks are split, see groups.py.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import combinations
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import block_prints
 from .common import read_table, stash
 from .components import connected_components
+from .groups import group_links, spread
 from .language_model import slices
-from .simhash import BKForest, block_cuts, blocks_in_common, shard_keys
-from .tokens import as_bytes, hash_words, mix64, word_spans
-
-#: Fewest words of a line that can be a repeat; differing bits; edit similarity.
-MIN_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
-#: Top byte of shards that are words; those of blocks of bits are numbered from 0.
-WORDS = 64
-#: Lines of more words are compared by 512 parity bits too.
-LONG = 64
+from .tokens import as_bytes, hash_words, word_spans
+
+#: Fewest words of a line that can be like another; edit similarity from which it is.
+MIN_WORDS, SIMILARITY = 5, 0.8
+#: Blocks of a line; lines of few words have more, of two words each.
+BLOCKS, SHORT, SHORT_BLOCKS = 10, 9, 8
+#: Words are drawn in proportion to their length, up to LONGEST bytes, to the power of LEAN.
+LONGEST, LEAN = 12, 1.5
 _PLAIN = bytes(48 if 48 <= x < 58 else 32 if x < 128 and not chr(x).isalnum() else ord(chr(x).lower()) if x < 128 else x for x in range(256))
-_LANES = np.array([sum(1 << 8 * b for b in range(8) if x >> b & 1) for x in range(256)], dtype=np.uint64)
+_EASE = np.maximum(np.arange(LONGEST + 1), 1.0) ** -LEAN
 
 
 def normalised(line: bytes) -> bytes:
@@ -47,76 +44,21 @@ def normalised(line: bytes) -> bytes:
     return b" ".join(line.translate(_PLAIN).split())
 
 
-def fingerprints(lines: list[bytes]) -> np.ndarray:
-    """SimHash of the words of each line; every line has a word."""
-    h, counts = hash_words(lines)
-    starts = np.cumsum(counts) - counts
-    # runs of at most 255 words, so that counts of bits fit into the bytes of a 64-bit number
-    runs = np.repeat(starts, -(-counts // 255)) if len(h) else starts
-    new = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]]) if len(runs) else runs
-    runs = runs + 255 * (np.arange(len(runs)) - np.repeat(new, np.diff(np.r_[new, len(runs)])))
-    ones = np.empty((len(lines), 64), dtype=np.int64)
-    for k in range(8):
-        lanes = np.add.reduceat(_LANES[(h >> np.uint64(8 * k)).astype(np.uint8)], runs)
-        ones[:, 8 * k : 8 * k + 8] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), new, axis=0)
-    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def needed(n: np.ndarray) -> np.ndarray:
-    """Words that two lines must share if the longer one has n: three fifths up to 20 words, else four fifths."""
-    return np.where(n <= 20, -(-3 * n // 5), -(-4 * n // 5))
-
-
-def signatures(lines: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of each line its number of words, 128 and 512 parity bits and all word hashes; and the word shards, with the place of their line.
-
-    A word that a line repeats counts as another word each time.
-    """
+def fingerprints(lines: list[bytes]) -> list[bytes]:
+    """The blocks of each line as bytes; every line has a word."""
+    if not lines:
+        return []
     h, n = hash_words(lines)
     starts, ends = word_spans(np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8))
-    line = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, starts - ends, line))
-    line, h = line[order], h[order]
-    at = np.arange(len(h))
-    new = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])] if len(h) else at
-    h = mix64(h + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    first = np.cumsum(n) - n
-    bit = np.uint64(1) << (h & np.uint64(63))
-    high = (h & np.uint64(64)) > 0
-    low, high = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), first) if len(h) else bit for x in (~high, high))
-    more = np.stack([np.bitwise_xor.reduceat(np.where(h >> np.uint64(6) & np.uint64(7) == k, bit, np.uint64(0)), first) for k in range(8)], axis=1) if len(h) else np.zeros((0, 8), np.uint64)
-    keep = at - first[line] <= (n - needed(n))[line]
-    shards = (h[keep] >> np.uint64(8)).view(np.int64) | WORDS << 56
-    return n, low, high, more, h, shards, line[keep]
-
-
-def _word_pairs(shard: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, more: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a shard that can share as many words as needed, in parts of bounded size; rows are sorted by shard and n.
-
-    more: 512 parity bits of the rows of over LONG words; at: their places there.
-    """
-    place = np.cumsum(np.r_[True, shard[1:] != shard[:-1]]).astype(np.int64)
-    most = np.maximum(np.minimum(20, 5 * n // 3), 5 * n // 4)
-    ends = np.searchsorted(place << 32 | n, place << 32 | most, side="right")
-    own = np.arange(len(n))
-    todo = np.cumsum(np.r_[0, ends - own - 1])
-    i = 0
-    while i < len(n):
-        j = max(i + 1, int(np.searchsorted(todo, todo[i] + (1 << 18), side="right")) - 1)
-        k = (ends - own - 1)[i:j]
-        a = np.repeat(own[i:j], k)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
-        both = needed(n[b])
-        apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
-        hit = (n[a] >= both) & (apart <= n[a] + n[b] - 2 * both)
-        a, b, both = a[hit], b[hit], both[hit]
-        if (far := np.flatnonzero(n[a] > LONG)).size:  # then b is as long at least
-            x, y = a[far], b[far]
-            hit = np.ones(len(a), dtype=bool)
-            hit[far] = np.bitwise_count(more[at[x]] ^ more[at[y]]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * both[far]
-            a, b = a[hit], b[hit]
-        yield a, b
-        i = j
+    ease, first = _EASE[np.minimum(ends - starts, LONGEST)], np.cumsum(n) - n
+    made = [x.tobytes() for x in block_prints(h, first, BLOCKS, ease=ease)]
+    short = np.flatnonzero(n <= SHORT)
+    if len(short):
+        at = np.repeat(n <= SHORT, n)
+        more = block_prints(h[at], np.cumsum(n[short]) - n[short], SHORT_BLOCKS, 2, ease[at])
+        for i, x in zip(short.tolist(), more):
+            made[i] += x.tobytes()
+    return made
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -143,17 +85,63 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    most = max(len(a), len(b))
-    return abs(len(a) - len(b)) <= (1 - least) * most and edit_distance(a, b) <= (1 - least) * most
+def _shared(a: str, b: str) -> int:
+    """Length of the common start."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
-def lines_of(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(rid, doc_id, line, h, fp) of every line of docs (rid, doc_id, text) with enough words; fp: null below MIN_WORDS."""
+def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    """Whether 1 - edit distance / longer length is at least `least`.  Bounds decide most pairs; the distance decides the others."""
+    most = max(len(a), len(b))
+    room = (1 - least) * most + 1e-9
+    if abs(len(a) - len(b)) > room:
+        return False
+    k = _shared(a, b)
+    a, b = a[k:], b[k:]
+    k = _shared(a[::-1], b[::-1])
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    if max(len(a), len(b)) <= room:
+        return True
+    x, y = a.split(" "), b.split(" ")
+    both = Counter(x) & Counter(y)
+    rest = []
+    for words in (x, y):  # the words in common, in order, and how many characters the others have
+        left, common, other = dict(both), [], 0
+        for w in words:
+            if left.get(w):
+                left[w] -= 1
+                common.append(w)
+            else:
+                other += len(w) + 1
+        rest.append((common, other))
+    if rest[0][0] == rest[1][0] and rest[0][1] + rest[1][1] <= room:
+        return True
+    return edit_distance(a, b) <= room
+
+
+def near_lines(lines: list[str]) -> Callable[[int, np.ndarray], np.ndarray]:
+    return lambda i, js: np.array([similar(lines[i], lines[j]) for j in js.tolist()], dtype=bool)
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, line, h, prints) of every line of docs (rid, doc_id, text) with a word.
+
+    prints: the line's blocks; null below MIN_WORDS, and for a line that was met before in the same part of the table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        seen: set[int] = set()
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             for i, j in slices(texts):
@@ -161,181 +149,25 @@ def lines_of(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 for r in range(i, j):
                     for k, x in enumerate(texts[r].split(b"\n")):
                         x = normalised(x)
-                        if x and x.count(b" ") >= least - 1:
+                        if x:
                             row.append(r)
                             line.append(k)
                             norm.append(x)
+                hashes = list(map(xxh64_intdigest, norm))
+                new = []
+                for k, (x, h) in enumerate(zip(norm, hashes)):
+                    if h not in seen and x.count(b" ") >= MIN_WORDS - 1:
+                        seen.add(h)
+                        new.append(k)
+                prints: list[bytes | None] = [None] * len(norm)
+                for k, x in zip(new, fingerprints([norm[k] for k in new])):
+                    prints[k] = x
                 if norm:
                     at = pa.array(row)
-                    h = np.fromiter(map(xxh64_intdigest, norm), dtype=np.uint64, count=len(norm)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), batch.column("doc_id").take(at), pa.array(line, pa.int32()), pa.array(h), pa.array(fingerprints(norm).view(np.int64), mask=np.array([x.count(b" ") < MIN_WORDS - 1 for x in norm]))], names=["rid", "doc_id", "line", "h", "fp"])
-
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, line int, h long, fp long")
-
+                    h = np.array(hashes, dtype=np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), batch.column("doc_id").take(at), pa.array(line, pa.int32()), pa.array(h), pa.array(prints, pa.binary())], names=["rid", "doc_id", "line", "h", "prints"])
 
-def _by_shard(columns: tuple[str, ...], work, out: tuple[str, ...]):
-    """Runs work(columns of whole shards) over batches that are sorted by shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch.select(columns)])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            shard = t["shard"].to_numpy()
-            cut = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
-            if cut:
-                yield from made(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and len(rest) > 1:
-            yield from made(rest)
-
-    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        shard = t["shard"].to_numpy()
-        first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-        size = np.diff(np.r_[first, len(shard)])
-        t = t.filter(pa.array(np.repeat(size > 1, size)))
-        if len(t):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in work(t)], names=list(out))
-
-    return run
-
-
-def _pairs(shard: np.ndarray, fp: np.ndarray, radius: int, agree: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within the radius, each once and only in the first shard that both are in; in parts of bounded size."""
-    cuts = block_cuts(radius, agree)
-    masks = [np.uint64((1 << hi) - (1 << lo)) for lo, hi in zip(cuts, cuts[1:])]
-    kinds = [np.bitwise_or.reduce(np.array(x)) for x in combinations(masks, agree)]
-    forest = BKForest(shard, fp)
-    for i in range(0, len(fp), 1 << 12):
-        a, b = forest.within(np.arange(i, min(i + (1 << 12), len(fp))), radius)
-        a, b = a[a < b], b[a < b]
-        diff = fp[a] ^ fp[b]
-        first = np.argmax(np.stack([diff & k == 0 for k in kinds]), axis=0) if len(a) else a
-        mine = first == shard[a] >> 56
-        yield a[mine], b[mine]
-
-
-def partners(lines: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
-    """(shard, h): lines (h, fp), different ones, that have a partner within the radius, and the shard to verify them in."""
-
-    def work(t: pa.Table):
-        shard, fp, h = t["shard"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["h"].to_numpy()
-        # equal fingerprints share one place in the tree; their lines are partners of each other
-        new = np.r_[True, (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1])]
-        place, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        hit = np.zeros(len(first), dtype=bool)
-        many = np.bincount(place) > 1
-        hit[many & (shard[first] >> 56 == 0)] = True
-        for a, b in _pairs(shard[first], fp[first], radius, agree):
-            hit[a] = hit[b] = True
-        return shard[hit[place]], h[hit[place]]
-
-    keyed = lines.select(F.explode(shard_keys(F.col("fp"), radius, agree)).alias("shard"), "fp", "h")
-    run = _by_shard(("shard", "fp", "h"), work, ("shard", "h"))
-    return keyed.repartition("shard").sortWithinPartitions("shard", "fp", "h").mapInArrow(run, "shard long, h long")
-
-
-def word_partners(docs: DataFrame) -> DataFrame:
-    """(shard, h): lines of docs that have a partner by their words, and the shards to verify them in."""
-
-    names = ("shard", "h", "n", "low", "high", "more")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            texts, seen = as_bytes(batch.column("text")), set()
-            for i, j in slices(texts):
-                norm = {x for t in texts[i:j] for x in map(normalised, t.split(b"\n")) if x.count(b" ") >= MIN_WORDS - 1}
-                every = {xxh64_intdigest(x): x for x in norm}
-                own = {h: x for h, x in every.items() if h not in seen}
-                seen |= own.keys()
-                if own:
-                    n, low, high, more, _, shard, at = signatures(list(own.values()))
-                    more = pa.array([x.tobytes() if k > LONG else None for x, k in zip(more, n.tolist())], pa.binary()).take(pa.array(at))
-                    h = np.fromiter(own, dtype=np.uint64, count=len(own))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, h[at].view(np.int64), n[at].astype(np.int32), low[at].view(np.int64), high[at].view(np.int64), more)], names=list(names))
-
-    def work(t: pa.Table):
-        shard, h, n, low, high = (t[c].to_numpy() for c in ("shard", "h", "n", "low", "high"))
-        order = np.lexsort((h, n, shard))
-        shard, h, n, low, high = (x[order] for x in (shard, h, n.astype(np.int64), low.view(np.uint64), high.view(np.uint64)))
-        one = np.r_[True, (shard[1:] != shard[:-1]) | (h[1:] != h[:-1])]  # a line that several batches hold
-        shard, h, n, low, high, order = (x[one] for x in (shard, h, n, low, high, order))
-        more = [x for x in t["more"].take(pa.array(order)).to_pylist() if x is not None]
-        more, at = np.frombuffer(b"".join(more), dtype=np.uint64).reshape(-1, 8), np.cumsum(n > LONG) - 1
-        hit = np.zeros(len(h), dtype=bool)
-        for a, b in _word_pairs(shard, n, low, high, more, at):
-            hit[a] = hit[b] = True
-        return shard[hit], h[hit]
-
-    keyed = docs.select("text").mapInArrow(deal, "shard long, h long, n int, low long, high long, more binary")
-    return keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_by_shard(names, work, ("shard", "h")), "shard long, h long")
-
-
-def verified_links(members: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
-    """(a, b): links of members (shard, h, fp, norm) whose lines are similar, enough to connect all that are."""
-
-    def work(t: pa.Table):
-        t = t.take(pa.array(np.argsort(t["shard"].to_numpy() >> 56 == WORDS, kind="stable")))
-        bits = int((t["shard"].to_numpy() >> 56 != WORDS).sum())
-        parts = [links(t.slice(0, bits), False), links(t.slice(bits), True)]
-        return tuple(map(np.concatenate, zip(*parts)))
-
-    def links(t: pa.Table, words: bool):
-        shard, fp, h, norm = t["shard"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["h"].to_numpy(), t["norm"].to_pylist()
-        root = list(range(len(h)))
-        if not root:
-            return h, h
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        def join(i: int, j: int) -> None:
-            a, b = top(i), top(j)
-            if a != b and similar(norm[i], norm[j]):
-                root[max(a, b)] = min(a, b)
-
-        if words:
-            n, low, high, more, every, keys, at = signatures([x.encode() for x in norm])
-            ends, key_ends = np.cumsum(n), np.searchsorted(at, np.arange(len(h)), side="right")
-            sets: dict[int, tuple[set, set]] = {}
-
-            def of(i: int) -> tuple[set, set]:
-                if i not in sets:
-                    sets[i] = set(every[ends[i] - n[i] : ends[i]].tolist()), set(keys[key_ends[i - 1] if i else 0 : key_ends[i]].tolist())
-                return sets[i]
-
-            order = np.lexsort((h, n, shard))
-            least = needed(n).tolist()
-            for a, b in _word_pairs(shard[order], n[order], low[order], high[order], more[order], np.arange(len(h))):
-                for i, j in zip(order[a].tolist(), order[b].tolist()):
-                    if top(i) != top(j):
-                        (x, p), (y, q) = of(i), of(j)
-                        # each pair in one of its shards only, and only if it shares enough words
-                        if len(x & y) >= max(least[i], least[j]) and min(p & q) == shard[i]:
-                            join(i, j)
-        new = np.r_[True, (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1])]
-        first = np.flatnonzero(new)
-        ends = np.r_[first[1:], len(h)]
-        for s, e in zip(first.tolist(), ends.tolist()):
-            if e - s > 1 and shard[s] >> 56 == 0:
-                for i, j in combinations(range(s, e), 2):
-                    join(i, j)
-        for a, b in () if words else _pairs(shard[first], fp[first], radius, agree):
-            for i, j in zip(a.tolist(), b.tolist()):
-                for x in range(first[i], ends[i]):
-                    for y in range(first[j], ends[j]):
-                        join(x, y)
-        up = np.array([top(i) for i in range(len(h))])
-        off = up != np.arange(len(h))
-        return h[off], h[up[off]]
-
-    run = _by_shard(("shard", "fp", "h", "norm"), work, ("a", "b"))
-    return members.repartition("shard").sortWithinPartitions("shard", "fp", "h").mapInArrow(run, "a long, b long")
+    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, line int, h long, prints binary")
 
 
 def _attach(docs: DataFrame, of_rows: DataFrame, how: str) -> DataFrame:
@@ -344,50 +176,56 @@ def _attach(docs: DataFrame, of_rows: DataFrame, how: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(shard, h, fp, norm) for wanted (rid, line, shard, h, fp)."""
-    each = stash(wanted.groupBy("rid").agg(F.collect_list(F.struct("line", "shard", "h", "fp")).alias("want")), "fuzzy_want")
+    """(shard, h, c, payload) for wanted (rid, line, shard, h, c): payload is the normalised line."""
+    each = wanted.groupBy("rid").agg(F.collect_list(F.struct("line", "shard", "h", "c")).alias("want"))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, want in zip(as_bytes(batch.column("text")), batch.column("want").to_pylist()):
-                lines = text.split(b"\n")
-                out += [(w["shard"], w["h"], w["fp"], normalised(lines[w["line"]]).decode()) for w in want]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=["shard", "h", "fp", "norm"])
+                lines, made = text.split(b"\n"), {}
+                for w in want:
+                    k = w["line"]
+                    if k not in made:
+                        made[k] = normalised(lines[k]).decode()
+                    out.append((w["shard"], w["h"], w["c"], made[k]))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, kinds)], names=["shard", "h", "c", "payload"])
 
-    return _attach(docs.select("rid", "text"), each, "inner").mapInArrow(run, "shard long, h long, fp long, norm string")
+    return _attach(docs.select("rid", "text"), each, "inner").mapInArrow(run, "shard long, h long, c long, payload string")
 
 
 def rid(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """(rid, lines): places of the lines of docs (rid, doc_id, text) that repeat an earlier line of the corpus; whole: see remove_repeats()."""
-    lines = stash(lines_of(docs, 1 if whole else MIN_WORDS), "fuzzy_lines")
+def repeats(docs: DataFrame) -> DataFrame:
+    """(rid, lines): places of the lines of docs (rid, doc_id, text) that repeat an earlier line of the corpus."""
+    lines = stash(lines_of(docs), "fuzzy_lines")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line").alias("first")
-    reps = stash(lines.groupBy("h").agg(F.min(order).alias("first"), F.first("fp").alias("fp")), "fuzzy_reps")
-    agree = blocks_in_common(reps.count(), RADIUS)
-    found = partners(reps.where("fp IS NOT NULL").select("h", "fp"), RADIUS, agree)
-    if whole:
-        found = found.unionByName(word_partners(docs))
-    found = found.withColumnRenamed("h", "k")
-    wanted = reps.join(found, F.col("h") == F.col("k")).select("first.rid", "first.line", "shard", "h", "fp")
-    groups = connected_components(verified_links(_texts(docs, wanted), RADIUS, agree), "fuzzy_links").withColumnRenamed("node", "k")
-    of = reps.join(groups, F.col("h") == F.col("k"), "left").select("h", "first", F.coalesce("component", "h").alias("c"))
+    reps = stash(lines.groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "fuzzy_reps")
+
+    def attach(members: DataFrame) -> DataFrame:
+        own = members.join(reps.select(F.col("h").alias("k"), "first"), F.col("h") == F.col("k"))
+        return _texts(docs, own.select("first.rid", "first.line", "shard", "h", "c"))
+
+    links = group_links(spread(lines.where("prints IS NOT NULL")), attach, near_lines, "fuzzy")
+    groups = connected_components(links, "fuzzy_links").withColumnRenamed("node", "k")
+    of = reps.join(groups, F.col("h") == F.col("k"), "left").where("n > 1 OR component IS NOT NULL").select("h", "first", F.coalesce("component", "h").alias("c"))
     least = of.groupBy("c").agg(F.min("first").alias("keep")).withColumnRenamed("c", "k")
     keep = of.join(least, F.col("c") == F.col("k")).select(F.col("h").alias("k"), F.col("keep.rid").alias("keep_rid"), F.col("keep.line").alias("keep_line"))
-    gone = lines.join(keep, F.col("h") == F.col("k")).where("rid <> keep_rid OR line <> keep_line")
-    return stash(gone.groupBy("rid").agg(F.collect_set("line").alias("lines")), "fuzzy_gone")
+    gone = lines.select("rid", "line", "h").join(keep, F.col("h") == F.col("k")).where("rid <> keep_rid OR line <> keep_line")
+    return gone.groupBy("rid").agg(F.collect_set("line").alias("lines"))
 
 
-def remove_repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, text without the repeats, n_lines, n_removed and kept_sha256 of the new text.
 
-    whole: candidates by words besides those by SimHash, and exact repeats of lines of one word and more; else lines of fewer than
-    MIN_WORDS words stay, as do partners that SimHash misses.  Lines without a word always stay.  Null text: no line, and an empty new text; empty text: one empty line.
-    A null doc_id comes last in order.  Rows that repeat id and text are one document: all keep the same lines; rows that repeat the
-    id only are different documents.  No size is capped.
+    Lines without a word always stay; lines of fewer than MIN_WORDS words go only if they repeat another exactly, once normalised.  Null
+    text: no line, and an empty new text; empty text: one empty line.  A null doc_id comes last in order.  Rows that repeat id and text
+    are one document: all keep the same lines; rows that repeat the id only are different documents.  No size is capped.  Lines
+    are named by 64-bit hashes.
     """
     rows = docs.select(rid(docs).alias("rid"), "doc_id", "text")
 
@@ -401,9 +239,9 @@ def remove_repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
                 removed.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())], names=["doc_id", "text", "n_lines", "n_removed", "kept_sha256"])
 
-    return _attach(rows, repeats(rows, whole), "left").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long, kept_sha256 string")
+    return _attach(rows, repeats(rows), "left").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long, kept_sha256 string")
 
 
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole remove_repeats() over all documents, without the texts."""
-    return remove_repeats(read_table(spark, sf_dir, "documents"), whole=True).drop("text")
+    """remove_repeats() over all documents, without the texts."""
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("text")

@@ -13,10 +13,9 @@ def brute(rows):
         order = (i is None, i or 0)
         first[k] = min(first.get(k, order), order)
     ks = list(first)
-    fps = {k: int(nd.bag_fingerprints([b" ".join(k)])[0]) for k in ks}
     sets = {k: {k[i : i + 5] for i in range(max(1, len(k) - 4))} if k else set() for k in ks}
     comp = {k: k for k in ks}
-    links = [(a, b) for a, b in itertools.combinations(ks, 2) if (fps[a] ^ fps[b]).bit_count() <= nd.RADIUS and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in itertools.combinations(ks, 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     for _ in range(len(ks)):
         was = dict(comp)
         for a, b in links:
