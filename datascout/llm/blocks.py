@@ -12,7 +12,7 @@ import numpy as np
 
 from .tokens import mix64
 
-SAMPLE = 3
+SAMPLE = 3  # items of a block, unless a caller names another number
 _U = np.uint64
 _ONE = np.float64(2.0**53).view(np.int64)
 _FACTORS = mix64(np.arange(1, 129, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -41,10 +41,10 @@ def block_prints(h: np.ndarray, first: np.ndarray, blocks: int, size: int = SAMP
 
 def _majority(x: list[np.ndarray]) -> np.ndarray:
     """SimHash of as many hashes: each bit is set if it is in over half of them."""
-    if len(x) == 1:
-        return x[0]
-    if len(x) == 2:
-        return x[0] & x[1]
     if len(x) == 3:
-        return (x[0] & x[1]) | (x[1] & x[2]) | (x[0] & x[2])
-    raise ValueError("a block samples one to three items")
+        a, b, c = x
+        return (a & b) | (b & c) | (a & c)
+    if len(x) == 4:
+        a, b, c, d = x
+        return (a & b & (c | d)) | (c & d & (a | b))
+    raise ValueError("a block samples three or four items")

@@ -22,7 +22,7 @@ from .common import stash
 from .components import connected_components
 from .tokens import mix64
 
-BLOCK = 256
+BLOCK = 512
 #: Rows of keys whose repeats are counted together, to tell hot keys.
 SPREAD_ROWS = 1_500_000
 
