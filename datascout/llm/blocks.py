@@ -14,14 +14,14 @@ from .tokens import mix64
 
 SAMPLE = 3  # items of a block, unless a caller names another number
 _U = np.uint64
-_ONE = np.float64(2.0**53).view(np.int64)
+_ONE = np.float32(2.0**24).view(np.int32)
 _FACTORS = mix64(np.arange(1, 129, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
 def block_prints(h: np.ndarray, first: np.ndarray, blocks: int, size: int = SAMPLE, ease: np.ndarray | None = None) -> np.ndarray:
     """(texts, blocks): SimHashes of samples of `size` items.  h: item hashes, text by text; first: where each text starts.
 
-    ease: for each item the inverse of its weight (items are drawn in proportion to their weight); None: all weigh the same.
+    ease: for each item the inverse of its weight, in 32 bits (items are drawn in proportion to their weight); None: all weigh the same.
     """
     out = np.empty((len(first), blocks), dtype=np.uint64)
     for k in range(blocks):
@@ -31,9 +31,9 @@ def block_prints(h: np.ndarray, first: np.ndarray, blocks: int, size: int = SAMP
             if ease is None:
                 least = np.minimum.reduceat(x, first)
             else:  # -log2 of a uniform number over its weight; the bits of a float are its logarithm, nearly
-                u = (x >> _U(11)).astype(np.float64)
+                u = (x >> _U(40)).astype(np.float32)
                 u += 1
-                least = np.minimum.reduceat((_ONE - u.view(np.int64)) * ease, first).view(np.uint64)
+                least = np.minimum.reduceat((_ONE - u.view(np.int32)) * ease, first).astype(np.float32).view(np.uint32).astype(np.uint64)
             drawn.append(mix64(least + _U(j)))
         out[:, k] = _majority(drawn)
     return out

@@ -5,7 +5,7 @@ the SimHash of four of the line's words, drawn in favour of long ones.  Lines th
 similarity; links make connected groups, and of each group only the first occurrence (by doc_id, then line) stays in the corpus.
 Exact repeats of a normalised line are one line, whatever its length.
 
-A single SimHash of all words finds one pair in nine that differs in one word; blocks find 95 % or more of the pairs whose edits replace,
+A single SimHash of all words finds one pair in nine that differs in one word; blocks find 92 % or more of the pairs whose edits replace,
 drop or add up to a fifth of their words (tests state the figures), and 80 to 90 % of those that misspell every fifth word.
 
 Only hashes go to the groups at first; texts follow for the lines that have a partner.  Hot blocks are split, see groups.py.
@@ -26,20 +26,22 @@ from pyspark.sql import functions as F
 from .blocks import block_prints
 from .common import read_table, stash
 from .components import connected_components
-from .groups import group_links, spread
+from .groups import crowded, group_links, spread
 from .language_model import slices
-from .tokens import as_bytes, hash_words, word_spans
+from .tokens import as_bytes, words_of
 
 #: Fewest words of a line that can be like another; edit similarity from which it is.
 MIN_WORDS, SIMILARITY = 5, 0.8
 #: Blocks of a line, and words of each; lines of few words have more, of three words each.
-BLOCKS, WORDS, SHORT, SHORT_BLOCKS = 12, 4, 9, 8
+BLOCKS, WORDS, SHORT, SHORT_BLOCKS = 10, 4, 9, 8
 #: Hash bins of three-letter runs, which bound the edit distance from below.
 BINS = 1024
 #: Words are drawn in proportion to their length, up to LONGEST bytes, to the power of LEAN.
 LONGEST, LEAN = 12, 2.0
+#: Bytes of a tiny word; other words that are enough for a line to be known by them alone.
+TINY, ENOUGH = 3, 8
 _PLAIN = bytes(48 if 48 <= x < 58 else 32 if x < 128 and not chr(x).isalnum() else ord(chr(x).lower()) if x < 128 else x for x in range(256))
-_EASE = np.maximum(np.arange(LONGEST + 1), 1.0) ** -LEAN
+_EASE = (np.maximum(np.arange(LONGEST + 1), 1.0) ** -LEAN).astype(np.float32)
 
 
 def normalised(line: bytes) -> bytes:
@@ -48,17 +50,19 @@ def normalised(line: bytes) -> bytes:
 
 
 def fingerprints(lines: list[bytes]) -> list[bytes]:
-    """The blocks of each line as bytes; every line has a word."""
+    """The blocks of each line as bytes; every line has a word.  Very short words count only in lines that have few others."""
     if not lines:
         return []
-    h, n = hash_words(lines)
-    starts, ends = word_spans(np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8))
-    ease, first = _EASE[np.minimum(ends - starts, LONGEST)], np.cumsum(n) - n
-    made = [x.tobytes() for x in block_prints(h, first, BLOCKS, WORDS, ease)]
+    h, size, n = words_of(lines)
+    line = np.repeat(np.arange(len(n)), n)
+    long = size > TINY
+    keep = long | (np.bincount(line[long], minlength=len(n)) < ENOUGH)[line]
+    h, ease, m = h[keep], _EASE[np.minimum(size[keep], LONGEST)], np.bincount(line[keep], minlength=len(n))
+    made = [x.tobytes() for x in block_prints(h, np.cumsum(m) - m, BLOCKS, WORDS, ease)]
     short = np.flatnonzero(n <= SHORT)
     if len(short):
-        at = np.repeat(n <= SHORT, n)
-        more = block_prints(h[at], np.cumsum(n[short]) - n[short], SHORT_BLOCKS, 3, ease[at])
+        at = np.repeat(n <= SHORT, m)
+        more = block_prints(h[at], np.cumsum(m[short]) - m[short], SHORT_BLOCKS, 3, ease[at])
         for i, x in zip(short.tolist(), more):
             made[i] += x.tobytes()
     return made
@@ -106,41 +110,67 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def _within(a: str, b: str, room: float) -> bool:
-    """Whether an alignment at the words that both hold once costs `room` edits at most: then the edit distance doesn't cost more."""
-    x, y = a.split(" "), b.split(" ")
-    nx, ny, at = Counter(x), Counter(y), {w: j for j, w in enumerate(y)}
-    once = [(i, at[w]) for i, w in enumerate(x) if nx[w] == 1 == ny.get(w)]
-    best: list[int] = []  # the longest run of these words that is in order in both
+def _in_order(once: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of once (i rises) in which j rises too."""
+    if all(p[1] < q[1] for p, q in zip(once, once[1:])):
+        return once
+    best: list[int] = []
     back, last = [0] * len(once), []
     for k, (_, j) in enumerate(once):
         n = bisect_left(best, j)
         back[k] = last[n - 1] if n else -1
         best[n : n + 1] = [j]
         last[n : n + 1] = [k]
-    anchors, k = [(len(x), len(y))], last[-1] if last else -1
+    out, k = [], last[-1]
     while k >= 0:
-        anchors.append(once[k])
+        out.append(once[k])
         k = back[k]
-    i = j = 0
-    for p, q in reversed(anchors):
-        u, v = x[i:p], y[j:q]
-        if u != v:
-            room -= edit_distance(" ".join(u), " ".join(v)) + (bool(u) != bool(v))
-            if room < 0:
-                return False
-        i, j = p + 1, q + 1
+    return out[::-1]
+
+
+def aligned(a: str, b: str, room: float) -> bool:
+    """Whether an alignment of words costs up to `room` edits: word by word, or at the words that both hold once, in order.
+
+    What an alignment costs is never below the edit distance; it is above it for words that moved.
+    """
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y):
+        gaps = [(u, v) for u, v in zip(x, y) if u != v]
+        if 3 * len(gaps) <= len(x) and _cheap(gaps, room):
+            return True
+    nx, ny, at = Counter(x), Counter(y), {w: j for j, w in enumerate(y)}
+    once = [(i, at[w]) for i, w in enumerate(x) if nx[w] == 1 == ny.get(w)]
+    gaps, i, j = [], -1, -1
+    for p, q in [*_in_order(once), (len(x), len(y))]:
+        if p - i > 1 or q - j > 1:
+            u, v = " ".join(x[i + 1 : p]), " ".join(y[j + 1 : q])
+            if u != v:
+                gaps.append((u + " ", v + " ") if u and v else (u + " " * bool(u), v + " " * bool(v)))
+        i, j = p, q
+    return _cheap(gaps, room)
+
+
+def _cheap(gaps: list[tuple[str, str]], room: float) -> bool:
+    """Whether the edit distances of all gaps add up to `room` at most."""
+    if sum([max(len(u), len(v)) for u, v in gaps]) <= room:
+        return True
+    if sum([abs(len(u) - len(v)) for u, v in gaps]) > room:
+        return False
+    for u, v in gaps:
+        room -= edit_distance(u, v)
+        if room < 0:
+            return False
     return True
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether 1 - edit distance / longer length is at least `least`.  Bounds decide most pairs; the distance decides the others."""
+    """Whether 1 - distance / longer length is at least `least`, by aligned()."""
     most = max(len(a), len(b))
     room = (1 - least) * most + 1e-9
     if abs(len(a) - len(b)) > room:
         return False
-    a, b = _trimmed(a, b)
-    return max(len(a), len(b)) <= room or _within(a, b, room) or edit_distance(a, b) <= room
+    x, y = _trimmed(a, b)
+    return max(len(x), len(y)) <= room or aligned(x, y, room)
 
 
 def _runs(line: str) -> np.ndarray:
@@ -246,7 +276,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         own = members.join(reps.select(F.col("h").alias("k"), "first"), F.col("h") == F.col("k"))
         return _texts(docs, own.select("first.rid", "first.line", "shard", "h", "c"))
 
-    links = group_links(spread(lines.where("prints IS NOT NULL")), attach, near_lines, "fuzzy")
+    prints = lines.where("prints IS NOT NULL").select("h", "prints")
+    links = group_links(spread(prints), crowded(prints), attach, near_lines, "fuzzy")
     groups = connected_components(links, "fuzzy_links").withColumnRenamed("node", "k")
     of = reps.join(groups, F.col("h") == F.col("k"), "left").where("n > 1 OR component IS NOT NULL").select("h", "first", F.coalesce("component", "h").alias("c"))
     least = of.groupBy("c").agg(F.min("first").alias("keep")).withColumnRenamed("c", "k")

@@ -1,6 +1,7 @@
 """Links within candidate groups: from (key, h) rows, where members of one key may be similar, to verified links (a, b).
 
 * Keys become groups: sets of members.  Keys that hold the same members are one group, so that texts go to it once.
+* A quarter of the groups is compared first; of the others only those follow whose members are not all connected by then.
 * A group is compared in one task, pair by pair, but never a pair that its links connect already: a group of very many
   versions of one text costs one comparison a member.
 * Keys of more than BLOCK members are split: each block of about so many is a group, and the key's smallest member goes to all
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .components import connected_components
 from .tokens import mix64
 
 BLOCK = 512
+#: One group in so many is compared first.
+FIRST_PART = 4
 #: Rows of keys whose repeats are counted together, to tell hot keys.
 SPREAD_ROWS = 1_500_000
 
@@ -54,34 +58,44 @@ def by_shard(columns: tuple[str, ...], work, out: tuple[str, ...]):
     return run
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, h of each) of rows (h, prints), many rows at a time."""
+    keys, ids, held = [], [], 0
+    for batch in batches:
+        column = batch.column("prints")
+        own = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64)
+        keys.append(own)
+        ids.append(np.repeat(batch.column("h").to_numpy(), pc.binary_length(column).to_numpy() // 8))
+        held += len(own)
+        if held >= SPREAD_ROWS:
+            yield np.concatenate(keys), np.concatenate(ids)
+            keys, ids, held = [], [], 0
+    if held:
+        yield np.concatenate(keys), np.concatenate(ids)
+
+
 def spread(prints: DataFrame) -> DataFrame:
-    """(key, h, c) for each 64-bit key in the binary `prints` of rows (h, prints); c: how often the key occurs in that part of the rows."""
+    """(key, h) for each 64-bit key in the binary `prints` of rows (h, prints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        for key, h in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h)], names=["key", "h"])
+
+    return prints.select("h", "prints").mapInArrow(run, "key long, h long")
 
-        def made() -> pa.RecordBatch:
-            key, h = np.concatenate(keys), np.concatenate(ids)
-            order = np.lexsort((h, key))
+
+def crowded(prints: DataFrame) -> DataFrame:
+    """(key, n, pivot): keys that several of the rows (h, prints) have in one part of the table, how many there, and one of these h."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, h in _chunks(batches):
+            order = np.argsort(key)
             key, h = key[order], h[order]
-            new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
-            key, h = key[new], h[new]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            n = np.diff(np.r_[first, len(key)])
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h), pa.array(np.repeat(n, n).astype(np.int32))], names=["key", "h", "c"])
+            n, least = np.diff(np.r_[first, len(key)]), np.minimum.reduceat(h, first)
+            yield pa.RecordBatch.from_arrays([pa.array(key[first][n > 1].view(np.int64)), pa.array(n[n > 1]), pa.array(least[n > 1])], names=["key", "n", "pivot"])
 
-        for batch in batches:
-            own = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("prints").to_pylist()]
-            keys += own
-            ids.append(np.repeat(batch.column("h").to_numpy(), [len(x) for x in own]))
-            held += len(ids[-1])
-            if held >= SPREAD_ROWS:
-                yield made()
-                keys, ids, held = [], [], 0
-        if held:
-            yield made()
-
-    return prints.select("h", "prints").mapInArrow(run, "key long, h long, c int")
+    return prints.select("h", "prints").mapInArrow(run, "key long, n long, pivot long")
 
 
 def _sets(keyed: DataFrame) -> DataFrame:
@@ -134,28 +148,43 @@ def verified(members: DataFrame, near_of: Callable[[list], Callable[[int, np.nda
     return members.repartition("shard").sortWithinPartitions("shard", "h").mapInArrow(run, "a long, b long")
 
 
-def group_links(keyed: DataFrame, attach: Callable[[DataFrame], DataFrame], near_of, name: str) -> DataFrame:
+def group_links(keyed: DataFrame, counts: DataFrame, attach: Callable[[DataFrame], DataFrame], near_of, name: str) -> DataFrame:
     """(a, b): links that connect all similar members of a key.
 
-    keyed (key, h, c): rows of spread(), or any other keys.  attach: adds `payload` to rows (shard, h, c).
+    keyed (key, h); counts (key, n, pivot): how many members parts of the rows hold, where there are several, and one of them.
+    attach: adds `payload` to rows (shard, h, c).
     """
-    counted = keyed.where("c > 1").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("pivot"))
-    hot = stash(counted.where(F.col("n") > BLOCK).select(F.col("key").alias("hot"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"), "pivot"), f"{name}_hot")
+    many = counts.groupBy("key").agg(F.sum("n").alias("n"), F.min("pivot").alias("pivot")).where(F.col("n") > BLOCK)
+    hot = stash(many.select(F.col("key").alias("hot"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"), "pivot"), f"{name}_hot")
     no_label = F.lit(None).cast("long").alias("c")
     if not hot.count():
-        return verified(attach(stash(_sets(keyed).select("shard", "h", no_label), f"{name}_members")), near_of)
+        return _in_two_steps(_sets(keyed).select("shard", "h", no_label), attach, near_of, name)
     split = keyed.select("key", "h").join(hot, F.col("key") == F.col("hot"), "left")
     block = F.pmod(F.xxhash64("h"), F.col("blocks"))
     own = split.where("blocks IS NOT NULL").select("key", block.alias("block"), "h", "blocks").distinct()
     own = stash(own, f"{name}_blocks")
     pivots = hot.select(F.col("hot").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("h"))
     shard = F.xxhash64("key", "block").alias("shard")
-    many = own.select(shard, "h").unionByName(pivots.select(shard, "h")).distinct()
-    members = stash(_sets(split.where("blocks IS NULL")).unionByName(many).select("shard", "h", no_label), f"{name}_members")
-    links = stash(verified(attach(members), near_of), f"{name}_links")
+    split_up = own.select(shard, "h").unionByName(pivots.select(shard, "h")).distinct()
+    links = stash(_in_two_steps(_sets(split.where("blocks IS NULL")).unionByName(split_up).select("shard", "h", no_label), attach, near_of, name), f"{name}_links")
     return links.unionByName(_across(own, links, attach, near_of, name))
 
 
+def _in_two_steps(members: DataFrame, attach, near_of, name: str) -> DataFrame:
+    """Links of members (shard, h, c): first of a part of the groups, then of those that these links don't connect already.
+
+    Texts that are alike share many groups, so most groups of the second step need no comparison, and no text.
+    """
+    members = stash(members, f"{name}_members")
+    early = F.pmod("shard", F.lit(FIRST_PART)) == 0
+    links = stash(verified(attach(members.where(early)), near_of), f"{name}_early")
+    comp = connected_components(links, f"{name}_early_links").withColumnRenamed("node", "of")
+    rest = members.where(~early).join(comp, F.col("h") == F.col("of"), "left").select("shard", "h", F.coalesce("component", "h").alias("c"))
+    apart = rest.groupBy(F.col("shard").alias("s")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
+    late = stash(rest.join(apart, F.col("shard") == F.col("s"), "left_semi"), f"{name}_late")
+    return links.unionByName(verified(attach(late), near_of))
+
+
 def _across(own: DataFrame, links: DataFrame, attach, near_of, name: str) -> DataFrame:
     """Links between the components that the blocks of a hot key are left in; own (key, block, h, blocks)."""
     comp = connected_components(links, f"{name}_first").withColumnRenamed("node", "of")

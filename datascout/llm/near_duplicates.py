@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .blocks import block_prints
 from .common import column, stash
 from .components import connected_components
-from .groups import by_shard, group_links, spread
+from .groups import by_shard, crowded, group_links, spread
 from .language_model import slices
 from .simhash import BKForest, blocks_in_common, link_groups, shard_keys
 from .tokens import as_bytes, hash_words, inside, mix64, windows
@@ -129,7 +129,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def bag_groups(reps: DataFrame, agree: int) -> DataFrame:
-    """(key, h, c): texts (h, fp) that a BK-tree shard connects by distances within RADIUS; key: the hash of the set; c: its size."""
+    """(key, h): texts (h, fp) that a BK-tree shard connects by distances within RADIUS; key: the hash of the set."""
 
     def work(t: pa.Table):
         shard, fp, h = t["shard"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["h"].to_numpy()
@@ -140,13 +140,13 @@ def bag_groups(reps: DataFrame, agree: int) -> DataFrame:
         group, h = group[order], h[order]
         start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         n = np.diff(np.r_[start, len(h)])
-        key = np.repeat(mix64(np.add.reduceat(mix64(h.view(np.uint64)), start) + n.astype(np.uint64)).view(np.int64), n)
-        n = np.repeat(n, n)
-        return key[n > 1], h[n > 1], n[n > 1].astype(np.int32)
+        key = mix64(np.add.reduceat(mix64(h.view(np.uint64)), start) + n.astype(np.uint64)).view(np.int64)
+        several = np.repeat(n > 1, n)
+        return np.repeat(key, n)[several], h[several]
 
     keyed = reps.select(F.explode(shard_keys(F.col("fp"), RADIUS, agree)).alias("shard"), "fp", "h")
-    run = by_shard(("shard", "fp", "h"), work, ("key", "h", "c"))
-    return keyed.repartition("shard").sortWithinPartitions("shard", "fp", "h").mapInArrow(run, "key long, h long, c int").dropDuplicates(["key", "h"])
+    run = by_shard(("shard", "fp", "h"), work, ("key", "h"))
+    return keyed.repartition("shard").sortWithinPartitions("shard", "fp", "h").mapInArrow(run, "key long, h long").dropDuplicates(["key", "h"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -176,8 +176,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
         near = docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("of")))
         return near.select("text", "want").mapInArrow(texts, "shard long, h long, c long, payload binary").dropDuplicates(["shard", "h"])
 
-    keyed = spread(rows.where("prints IS NOT NULL")).unionByName(bag_groups(reps.select("h", "fp"), agree))
-    links = group_links(keyed, attach, near_texts, "near")
+    prints = rows.where("prints IS NOT NULL").select("h", "prints")
+    bags = stash(bag_groups(reps.select("h", "fp"), agree), "near_bags")
+    counts = crowded(prints).unionByName(bags.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("pivot")))
+    links = group_links(spread(prints).unionByName(bags), counts, attach, near_texts, "near")
     comp = connected_components(links, "near_links").withColumnRenamed("node", "k")
     groups = reps.join(comp, F.col("h") == F.col("k"), "left").select("h", "first", F.coalesce("component", "h").alias("c"))
     least = groups.groupBy("c").agg(F.min(F.struct("first", "h")).alias("keep"))

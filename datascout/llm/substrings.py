@@ -2,14 +2,15 @@
 
 Words covered by a window of `window` words that also starts in a document with a smaller id are removed.
 
-Level 1 looks at windows of about half the length.  A window of the full length is known by the smallest hash of the
-half-length windows inside it: equal windows have the same one, and neighbours mostly share it, so a quarter of the
-half-length windows speaks for all.  Those that occur in one document only are dropped.  Level 2 extends the ones that repeat to
-the full length (about twice theirs) and compares all full-length windows around them.  Longer windows are made of
-windows of the full length, so further doubling removes no further word, and the levels end there.
-
-Documents are dealt once into groups of bounded size by their id, and that shuffle serves all levels.  Windows are dealt by their
-hash; a group sends a window once, however many of its documents hold it, so a passage that very many documents
+Levels look at windows of 4, 8, ... words and at last of `window` words: those that repeat at one length alone are extended to twice that
+length, until the full length is reached or no candidate survives.  At a level below the full length a full-length window is
+known by the smallest hash of the level's windows inside it: equal full windows have the same one, and neighbours mostly share
+it, so a fraction of the level's windows speaks for all.  A full window stays a candidate while its smallest one occurs in another document.
+The full windows themselves are compared by 95 bits of two independent hashes: of 10**13 different windows, 1 in 1,000 runs has two that agree.
+Longer windows are made of windows of the full length, so further doubling removes no further word.
+
+Documents are dealt once into groups of bounded size by a hash of their id and text, and that shuffle serves all levels.  Windows are
+dealt by their hash; a group sends a window once, however many of its documents hold it, so a passage that very many documents
 share is no hot key: it costs one entry a group.
 """
 
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_SQL, read_table
-from .tokens import as_bytes, covered, hash_words, inside, sliding_min, windows
+from .tokens import as_bytes, covered, hash_words, inside, mix64, sliding_min, windows
 
-WINDOW = 13
+#: Words of a window that may occur once only, and of the first level's windows.
+WINDOW, FIRST_LEVEL = 13, 4
 #: Bytes of text in a group; windows of so many groups share a task.
 GROUP_BYTES, GROUPS_A_BUCKET = 2 << 20, 4
 _LAST = np.iinfo(np.int64).max
@@ -38,12 +40,25 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Bytes of 64-bit values, all first bytes first: small ids then hold long runs of zeros, which shuffles compress."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Bytes of the values, all first bytes first: small ids then hold long runs of zeros, which shuffles compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def _unpack(b: bytes, kind=np.uint64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _all(column: pa.ChunkedArray, kind=np.uint64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_unpack(b, kind) for b in column.to_pylist())])
+
+
+def level_lengths(window: int, first: int = FIRST_LEVEL) -> list[int]:
+    """Words of the windows at each level: each length is twice the one before, the last is the full one."""
+    out = []
+    while first < window:
+        out.append(first)
+        first *= 2
+    return [*out, window]
 
 
 def _deal(names: list[str], label: np.ndarray, *columns: np.ndarray) -> pa.Table:
@@ -56,23 +71,31 @@ def _deal(names: list[str], label: np.ndarray, *columns: np.ndarray) -> pa.Table
     return pa.table({names[0]: pa.array(label[first], pa.int64()), **{n: pa.array(b, pa.binary()) for n, b in zip(names[1:], blobs)}})
 
 
-def _first_of(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the smallest id of each, and whether it has several ids."""
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+def _first_of(key: np.ndarray, ids: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct keys (with `more`, pairs of both), the smallest id of each, whether it has several ids, and its part of more."""
+    order = np.lexsort((ids, key) if more is None else (ids, more, key))
+    key, ids, more = key[order], ids[order], more[order] if more is not None else None
+    new = key[1:] != key[:-1] if more is None else (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    first = np.flatnonzero(np.r_[True, new]) if len(key) else np.zeros(0, dtype=np.int64)
     last = np.r_[first[1:], len(key)] - 1
-    return key[first], ids[first], ids[first] != ids[last[: len(first)]]
+    return key[first], ids[first], ids[first] != ids[last[: len(first)]], more[first] if more is not None else None
 
 
 def _group(table: pa.Table, n: int):
-    """Of a group of documents: ids, texts, words per text, starts of the windows of n words, and their halves' smallest hash and own hash."""
+    """Of a group of documents: ids, texts, word hashes, words per text, and the starts of the windows of n words."""
     ids, texts = _ids(table["id"]), as_bytes(table["text"])
     h, counts = hash_words(texts)
-    at = np.flatnonzero(inside(counts, n))
-    half = (n + 1) // 2
-    seeds = sliding_min(windows(h, half), n - half + 1)
-    return ids, texts, counts, at, seeds[at] & ~_ONE, windows(h, n)[at] & ~_ONE
+    return ids, texts, h, counts, np.flatnonzero(inside(counts, n))
+
+
+def _seeds(h: np.ndarray, at: np.ndarray, n: int, window: int) -> np.ndarray:
+    """For the windows at `at` the smallest hash of the windows of n words inside each."""
+    return sliding_min(windows(h, n), window - n + 1)[at] & ~_ONE
+
+
+def _full(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """63 bits of one hash and 32 of another, of the windows of n words at `at`."""
+    return windows(h, n)[at] & ~_ONE, (windows(mix64(h + np.uint64(0x9E3779B97F4A7C15)), n)[at] >> np.uint64(32)).astype(np.uint32)
 
 
 def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -80,15 +103,31 @@ def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
-    """(g, h, least) for the groups g of docs (g, id, text): hashes of windows that also start in another document, and the smallest id."""
+    """(g, h, x, least) for the groups g of docs (g, id, text): hashes of windows that also start in another document, and the smallest id."""
     buckets = max(1, groups // GROUPS_A_BUCKET)
-    seed_cols, full_cols = ["bucket", "h"], ["bucket", "h", "id"]
-
-    def seeds(table: pa.Table) -> pa.Table:
-        ids, _, counts, at, half, _ = _group(table, window)
-        key, _, several = _first_of(half, np.repeat(ids, counts)[at])
-        out = _deal(seed_cols, _buckets(key, buckets), key | several.astype(np.uint64))
-        return out.append_column("g", pa.array([table["g"][0].as_py()] * len(out), pa.int64()))
+    *levels, _ = level_lengths(window)
+
+    def candidates(length: int, before: int | None):
+        """Seeds of a level, for the windows whose seed of the level before repeats."""
+
+        def run(docs_of: pa.Table, found: pa.Table | None) -> pa.Table:
+            known = _all(found["h"]) if found is not None else None
+            if not len(docs_of) or known is not None and not len(known):
+                return _deal(["bucket", "h"], np.zeros(0, np.int64), np.zeros(0, np.uint64)).append_column("g", pa.array([], pa.int64()))
+            ids, _, h, counts, at = _group(docs_of, window)
+            if known is not None:
+                at = at[np.isin(_seeds(h, at, before, window), known)]
+            key, _, several, _ = _first_of(_seeds(h, at, length, window), np.repeat(ids, counts)[at])
+            out = _deal(["bucket", "h"], _buckets(key, buckets), key | several.astype(np.uint64))
+            return out.append_column("g", pa.array([docs_of["g"][0].as_py()] * len(out), pa.int64()))
+
+        return run
+
+    def apply(run, found: DataFrame | None, schema: str) -> DataFrame:
+        """run(documents of a group, what was found for it)."""
+        if found is None:
+            return docs.groupBy("g").applyInArrow(lambda docs_of: run(docs_of, None), schema)
+        return docs.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(lambda docs_of, of: run(docs_of, of), schema)
 
     def repeat(table: pa.Table) -> pa.Table:
         parts = [_unpack(b) for b in table["h"].to_pylist()]
@@ -99,37 +138,43 @@ def repeated_windows(docs: DataFrame, groups: int, window: int = WINDOW) -> Data
         keep = (n > 1)[place] | several[place]
         return _deal(["g", "h"], g[keep], h[keep] & ~_ONE)
 
-    def extend(docs_of: pa.Table, found: pa.Table) -> pa.Table:
-        known = np.concatenate([np.zeros(0, np.uint64), *(_unpack(b) for b in found["h"].to_pylist())])
-        if not len(docs_of) or not len(known):
-            return _deal(full_cols, np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2).append_column("g", pa.array([], pa.int64()))
-        ids, _, counts, at, half, full = _group(docs_of, window)
-        go = np.isin(half, known)
-        key, least, several = _first_of(full[go], np.repeat(ids, counts)[at[go]])
-        out = _deal(full_cols, _buckets(key, buckets), key | several.astype(np.uint64), least.view(np.uint64))
+    def extend(docs_of: pa.Table, found: pa.Table | None) -> pa.Table:
+        """Full windows whose seed of the last level repeats."""
+        known = _all(found["h"]) if found is not None else None
+        if not len(docs_of) or known is not None and not len(known):
+            return _deal(["bucket", "h", "x", "id"], *[np.zeros(0, k) for k in (np.int64, np.uint64, np.uint32, np.uint64)]).append_column("g", pa.array([], pa.int64()))
+        ids, _, h, counts, at = _group(docs_of, window)
+        if known is not None:
+            at = at[np.isin(_seeds(h, at, levels[-1], window), known)]
+        full, x = _full(h, at, window)
+        key, least, several, x = _first_of(full, np.repeat(ids, counts)[at], x)
+        out = _deal(["bucket", "h", "x", "id"], _buckets(key, buckets), key | several.astype(np.uint64), x, least.view(np.uint64))
         return out.append_column("g", pa.array([docs_of["g"][0].as_py()] * len(out), pa.int64()))
 
     def settle(table: pa.Table) -> pa.Table:
-        parts, firsts = [_unpack(b) for b in table["h"].to_pylist()], [_unpack(b, np.int64) for b in table["id"].to_pylist()]
-        h, own, g = np.concatenate(parts), np.concatenate(firsts), np.repeat(table["g"].to_numpy(), [len(p) for p in parts])
-        _, place = np.unique(h >> _ONE, return_inverse=True)
-        least = np.full(place.max(initial=-1) + 1, _LAST)
-        np.minimum.at(least, place, own)
-        least = least[place]
+        parts = [_unpack(b) for b in table["h"].to_pylist()]
+        h, x, own = np.concatenate(parts), _all(table["x"], np.uint32), _all(table["id"], np.int64)
+        g = np.repeat(table["g"].to_numpy(), [len(p) for p in parts])
+        order = np.lexsort((own, x, h >> _ONE))
+        h, x, own, g = h[order], x[order], own[order], g[order]
+        new = np.r_[True, (h[1:] >> _ONE != h[:-1] >> _ONE) | (x[1:] != x[:-1])] if len(h) else np.zeros(0, dtype=bool)
+        least = own[np.flatnonzero(new)][np.cumsum(new) - 1]
         keep = (least < own) | ((h & _ONE) == _ONE)  # else it is nobody's repeat in this group
-        return _deal(["g", "h", "id"], g[keep], h[keep] & ~_ONE, least[keep].view(np.uint64))
+        return _deal(["g", "h", "x", "least"], g[keep], h[keep] & ~_ONE, x[keep], least[keep].view(np.uint64))
 
-    bucketed = "bucket long, h binary, g long"
-    first = docs.groupBy("g").applyInArrow(seeds, bucketed).groupBy("bucket").applyInArrow(repeat, "g long, h binary")
-    second = docs.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(extend, "bucket long, h binary, id binary, g long")
-    return second.groupBy("bucket").applyInArrow(settle, "g long, h binary, id binary").withColumnRenamed("id", "least")
+    found = None
+    for length, before in zip(levels, [None, *levels]):
+        made = apply(candidates(length, before), found, "bucket long, h binary, g long")
+        found = made.groupBy("bucket").applyInArrow(repeat, "g long, h binary")
+    full = apply(extend, found, "bucket long, h binary, x binary, id binary, g long")
+    return full.groupBy("bucket").applyInArrow(settle, "g long, h binary, x binary, least binary")
 
 
 def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
     """docs as (g, id, text), and how many groups g there are: as many as the total size asks for."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    g = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(groups))
+    g = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(groups))  # rows that share an id, or have none, are spread by their texts
     return docs.select(g.alias("g"), F.col("doc_id").cast("long").alias("id"), F.col("text")), groups
 
 
@@ -142,16 +187,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GRO
     rows, groups = grouped(docs, group_bytes)
 
     def finish(docs_of: pa.Table, found: pa.Table) -> pa.Table:
-        ids, texts, counts, at, _, full = _group(docs_of, window)
-        known = np.concatenate([np.zeros(0, np.uint64), *(_unpack(b) for b in found["h"].to_pylist())])
-        least = np.concatenate([np.zeros(0, np.int64), *(_unpack(b, np.int64) for b in found["least"].to_pylist())])
+        ids, texts, h, counts, at = _group(docs_of, window)
+        full, x = _full(h, at, window)
+        known, known_x, least = _all(found["h"]), _all(found["x"], np.uint32), _all(found["least"], np.int64)
         gone = np.zeros(int(counts.sum()), dtype=bool)
         if len(known) and len(full):
-            order = np.argsort(known)
-            known, least = known[order], least[order]
+            order = np.lexsort((known_x, known))
+            known, known_x, least = known[order], known_x[order], least[order]
             place = np.minimum(np.searchsorted(known, full), len(known) - 1)
+            step = np.minimum(place + 1, len(known) - 1)  # should two windows agree in the first hash
+            place = np.where((known_x[place] != x) & (known[step] == full), step, place)
             own = np.repeat(ids, counts)[at]
-            gone = covered(at[(known[place] == full) & (least[place] < own)], window, len(gone))
+            gone = covered(at[(known[place] == full) & (known_x[place] == x) & (least[place] < own)], window, len(gone))
         kept, removed = [], []
         for text, s, e in zip(texts, np.cumsum(counts) - counts, np.cumsum(counts)):
             mine, words = gone[s:e], text.split()

@@ -41,8 +41,17 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
 
 
-def _spans_hashed(buf: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends = word_spans(buf)
+def words_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and length of every word of the lines, in order, and the number of words of each line."""
+    buf = np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8)
+    spans = word_spans(buf)
+    starts, h = _spans_hashed(buf, spans=spans)
+    at = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in lines]))
+    return h, spans[1] - starts, np.diff(at, prepend=0)
+
+
+def _spans_hashed(buf: np.ndarray, prefix: int = 0, spans: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends = spans or word_spans(buf)
     if prefix:
         ends = np.minimum(ends, starts + prefix)
     up, down = _power_tables(len(buf) + 1)

@@ -50,3 +50,18 @@ def test_only_nulls_and_empty_table(spark):
     assert substrings.remove_repeats(documents(spark, [])).collect() == []
     got = substrings.remove_repeats(documents(spark, [(None, None), (1, "a b")])).collect()
     assert sorted((x.n_words, x.n_removed) for x in got) == [(0, 0), (2, 0)]
+
+
+def test_levels_and_other_windows(spark):
+    assert [substrings.level_lengths(n) for n in (3, 4, 5, 13, 50)] == [[3], [4], [4, 5], [4, 8, 13], [4, 8, 16, 32, 50]]
+    rows = cases()[:40]
+    for n in (3, 20):
+        got = substrings.remove_repeats(documents(spark, rows), window=n, group_bytes=500).drop("text").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows, n)))
+
+
+def test_repeated_ids_are_spread(spark):
+    rows = [(7, " ".join(words(i, 60))) for i in range(50)]
+    spread, groups = substrings.grouped(documents(spark, rows), 500)
+    assert spread.select("g").distinct().count() > groups / 3
+    assert {r.n_removed for r in substrings.remove_repeats(documents(spark, rows)).collect()} == {0}
