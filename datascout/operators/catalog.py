@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as X
+from ..sources import keyed
 
 #: Columns that must be there for a search document to load.
 REQUIRED = ("id",)
 
 
+def _tie(rows: DataFrame) -> Column:
+    """A hash of the row, to order rows of equal keys and order values alike in every run; maps have none."""
+    return F.xxhash64(*[f"`{c}`" for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"])
+
+
 def last_per_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """The row of each key with the largest seq: last write wins."""
-    order = Window.partitionBy(key).orderBy(F.desc(seq))
+    """The row of each key with the largest seq: last write wins; of equal ones that with the largest hash of the row."""
+    order = Window.partitionBy(key).orderBy(F.desc(seq), F.desc(_tie(rows)))
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
 def first_per_key(rows: DataFrame, key: str, pos: str) -> DataFrame:
-    """The first row of each key by input position; null keys are left out."""
-    order = Window.partitionBy(key).orderBy(pos)
+    """The first row of each key by input position (of equal positions by a hash of the row); null keys are left out."""
+    order = Window.partitionBy(key).orderBy(pos, _tie(rows))
     return rows.where(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
@@ -30,10 +37,13 @@ def first_n(rows: DataFrame, group: str, order: list[str], n: int, default: int
 
 
 def upsert(current: DataFrame, arrivals: DataFrame, key: str, seq: str) -> DataFrame:
-    """current with arrivals put over it by key; of several arrivals of a key the last counts.  Columns are those of current."""
-    both = current.withColumn("__new", F.lit(0)).unionByName(last_per_key(arrivals, key, seq).withColumn("__new", F.lit(1)).select(*current.columns, "__new"))
-    order = Window.partitionBy(key).orderBy(F.desc("__new"))
-    return both.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__new")
+    """current (one row a key) with arrivals put over it by key; of several arrivals of a key the last counts.  Columns are those of current.
+
+    Rows that stay are an anti-join away: Spark broadcasts the arrivals' keys if they are small, and current isn't sorted.
+    """
+    new = last_per_key(arrivals, key, seq).select(*current.columns)
+    gone = new.select(F.col(key).alias("__k"))
+    return current.join(gone, F.col(key).eqNullSafe(F.col("__k")), "left_anti").unionByName(new)
 
 
 def load_counts(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
@@ -87,17 +97,27 @@ def top_portals(portals: DataFrame, limit: int = 100) -> DataFrame:
     return shown.orderBy(F.desc("dataset_count"), "domain").limit(limit)
 
 
-def store_profiles(records: DataFrame, path: str, buckets: int = 16) -> None:
-    """Whole records as JSON by id, in folders by a hash of the id; an id that is there already is replaced with its folder."""
+def portal_upsert(portals: DataFrame, arrivals: DataFrame, catalog: DataFrame, indexed_at: Column) -> DataFrame:
+    """portals (domain, provider, display_label, dataset_count, last_indexed_at) after the domains of arrivals (domain, provider) were indexed.
+
+    They get their label, the catalog's present count and the time; other portals stay as they are.  Arrivals without a domain are left
+    out; of several of a domain that with the last provider name counts.
+    """
+    rows = portal_rows(catalog, arrivals.where("domain IS NOT NULL AND domain <> ''")).withColumn("last_indexed_at", indexed_at)
+    return upsert(portals, rows, "domain", "provider")
+
+
+def store_profiles(records: DataFrame, path: str) -> None:
+    """Whole records as JSON by id, put over those at `path`: an id that is there already is replaced, all others stay."""
     spark = records.sparkSession
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets))
-    rows = records.select("id", F.to_json(F.struct("*")).alias("profile"), bucket.alias("bucket"))
-    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    rows = records.select("id", F.to_json(F.struct("*")).alias("profile"))
+    schema = T.StructType([rows.schema["id"], T.StructField("profile", T.StringType())])
+    keyed.put(spark, path, rows, "id", "profile", schema, keyed.newest(spark, path) + 1)
+
+
+def read_profiles(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """(id, profile) as store_profiles() left them."""
+    return keyed.read(spark, path, T.StructType().add("id", id_type).add("profile", "string"))
 
 
 def find_profiles(wanted: DataFrame, profiles: DataFrame, key: str = "name") -> DataFrame:
@@ -118,3 +138,34 @@ def work_items(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = F.coalesce(F.col("base_url"), F.concat(F.lit("https://"), F.col("domain")))
     items = rows.withColumn("dataset_id", key).where("dataset_id IS NOT NULL").select("dataset_id", F.coalesce("provider", F.lit("socrata")).alias("provider"), F.coalesce(F.col("domain"), X.host_of(base)).alias("domain"), base.alias("base_url"), X.csv_url(base, F.col("dataset_id")).alias("csv_url"))
     return items, rows.where(key.isNull())
+
+
+def assemble(metadata: DataFrame, coverage: DataFrame, profiles: DataFrame, fallback_box: Column | None = None) -> DataFrame:
+    """Catalog records: metadata joined by id with coverage and profiles, with defaults where one of these is missing, and `errors`.
+
+    metadata: id, title, description, source, domain, provider, download_url, headers (names of the columns), error.
+    coverage: id, label, box (four numbers), start, end, error.  profiles: id, nb_rows, types, columns, box, sample, error.
+    Each error is null where a step went well.  A record without a profile, or with a failed one, gets the minimal profile: type
+    'categorical', no columns, and the headers as keywords.  A title that is missing is the id.  Ids repeat in none of the three.
+    """
+    c = coverage.select(F.col("id").alias("c_id"), "label", F.col("box").alias("c_box"), "start", "end", F.col("error").alias("c_error"))
+    p = profiles.select(F.col("id").alias("p_id"), "nb_rows", "types", "columns", F.col("box").alias("p_box"), "sample", F.col("error").alias("p_error"))
+    x = metadata.join(c, F.col("id") == F.col("c_id"), "left").join(p, F.col("id") == F.col("p_id"), "left")
+    fine = F.col("p_id").isNotNull() & F.col("p_error").isNull()
+    names = F.when(fine, F.transform("columns", lambda e: e["name"])).otherwise(F.col("headers"))
+    types = F.when(fine, F.coalesce("types", F.array().cast("array<string>"))).otherwise(F.array(F.lit("categorical")))
+    box = X.choose_bbox(F.when(fine, F.col("p_box")), F.col("c_box"), fallback_box if fallback_box is not None else F.lit(None).cast("array<double>"))
+    count = lambda test: F.size(F.filter(F.when(fine, F.col("columns")).otherwise(F.slice("columns", 1, 0)), test))
+    failed = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c)))
+    errors = F.array_compact(F.array(failed("metadata", "error"), failed("coverage", "c_error"), F.when(F.col("p_id").isNull(), F.lit("profile missing")).otherwise(failed("profile", "p_error"))))
+    profile = F.struct(
+        F.coalesce("nb_rows", F.lit(0).cast("long")).alias("nb_rows"), F.greatest(F.coalesce(F.size(names), F.lit(0)), F.lit(0)).alias("nb_columns"),
+        F.greatest(count(lambda e: e["structural_type"].contains("GeoCoordinates")), F.lit(0)).alias("nb_spatial_columns"), F.greatest(count(lambda e: e["structural_type"].contains("Date")), F.lit(0)).alias("nb_temporal_columns"),
+        types.alias("types"), names.alias("attribute_keywords"), F.when(fine, F.col("columns")).alias("columns"),
+    )
+    return x.select(
+        "id", X.non_empty(F.col("title"), F.col("id")).alias("title"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("source", F.lit("")).alias("source"), "domain", "provider", "download_url",
+        F.coalesce("sample", F.lit("")).alias("sample"), types.alias("types"), F.struct("start", "end").alias("temporal_coverage"),
+        F.struct(F.coalesce("label", F.lit("")).alias("label"), F.struct(F.lit("envelope").alias("type"), X.envelope(box).alias("coordinates")).alias("bbox")).alias("spatial_coverage"),
+        profile.alias("profiler_metadata"), errors.alias("errors"),
+    )

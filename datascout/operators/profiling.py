@@ -162,10 +162,10 @@ def csv_sample(table: DataFrame, order: list[str], rows: int = 20) -> DataFrame:
 
 def sample_bytes(lines: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
     """Lines (source, pos, line) of each source while rows and bytes last, with `upto`, the bytes so far; whole lines only."""
-    run = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.octet_length("line") + 1
-    numbered = lines.withColumns({"upto": F.sum(size).over(run), "row": F.row_number().over(Window.partitionBy("source").orderBy("pos"))})
-    return numbered.where((F.col("row") <= max_rows) & (F.col("upto") <= max_bytes))
+    run = Window.partitionBy("source").orderBy("pos")
+    first = lines.withColumn("row", F.row_number().over(run)).where(F.col("row") <= max_rows)  # Spark keeps so many rows a source before it shuffles
+    upto = F.sum(F.octet_length("line") + 1).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return first.withColumn("upto", upto).where(F.col("upto") <= max_bytes)
 
 
 def telemetry(all_lines: DataFrame, kept: DataFrame, max_rows: int) -> DataFrame:

@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where a profile keeps sample rows, first match first; then the CSV text.
-ROW_KEYS, TEXT_KEY = ("sample_data", "sampleData", "rows", "data"), "sample"
-PLACES = ("$", "$.profiler_metadata", "$.columns[0]", "$.profiler_metadata.columns[0]", "$.metadata", "$.profile")
+#: Keys of a profile that hold sample rows, first match first; then the key of CSV text, and those whose values are searched first.
+ROW_KEYS, TEXT_KEY, FIRST_PLACES = ("sample_data", "sampleData", "rows", "data"), "sample", ("profiler_metadata", "columns")
+
+
+def _is_csv(x: object) -> bool:
+    """A header and at least one row: two lines that aren't blank."""
+    return isinstance(x, str) and sum(bool(line.strip()) for line in x.splitlines()) > 1
+
+
+def _as_text(x: object) -> str | None:
+    return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+def find_sample(profile: object) -> tuple[list | None, str | None]:
+    """Row array or CSV text of a parsed profile, wherever it is nested: the first in order of the places that are to be searched."""
+    todo = [profile]
+    while todo:
+        x = todo.pop()
+        if _is_csv(x):
+            return None, x
+        if isinstance(x, dict):
+            rows = next((x[k] for k in ROW_KEYS if isinstance(x.get(k), list)), None)
+            if rows is not None:
+                return rows, None
+            if _is_csv(x.get(TEXT_KEY)):
+                return None, x[TEXT_KEY]
+            todo += reversed(sorted(x.values(), key=lambda v: min((i for i, k in enumerate(FIRST_PLACES) if x.get(k) is v), default=len(FIRST_PLACES))))
+        elif isinstance(x, list):
+            todo += reversed(x)
+    return None, None
+
 
+@F.udf(returnType="struct<rows:array<map<string,string>>,text:string>")
+def _located(profile: str | None):
+    try:
+        rows, text = find_sample(json.loads(profile)) if profile else (None, None)
+    except ValueError:
+        return None
+    return rows and [{k: _as_text(v) for k, v in r.items()} if isinstance(r, dict) else {"value": _as_text(r)} for r in rows], text
 
-def located_rows(profile: Column) -> Column:
-    """Rows (maps of text) of the first non-empty row array in a profile's JSON; scalars become rows with the field 'value'."""
-    found = [F.filter(F.from_json(F.get_json_object(profile, f"{p}.{k}"), "array<string>"), lambda x: x.isNotNull()) for p in PLACES for k in ROW_KEYS]
-    rows = F.coalesce(*[F.when(F.size(a) > 0, a) for a in found])
-    return F.transform(rows, lambda x: F.when(x.startswith("{"), F.from_json(x, "map<string,string>")).otherwise(F.create_map(F.lit("value"), x)))
 
+def located(profile: Column) -> Column:
+    """rows (maps of text) or text (CSV) of the sample in a profile's JSON, at any depth; scalar rows get the field 'value'.
 
-def located_text(profile: Column) -> Column:
-    """CSV sample text of a profile without row arrays; null if there is none."""
-    found = F.coalesce(*[F.nullif(F.get_json_object(profile, f"{p}.{TEXT_KEY}"), F.lit("")) for p in PLACES])
-    return F.when(located_rows(profile).isNull(), found)
+    Null, and a text that is no JSON: null.  A profile is one small document, so a row's search is a plain Python helper.
+    """
+    return _located(profile)
 
 
 def headers(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import boxes_touch
-from .text import lexical
+from .text import Index, lexical
 from .vectors import knn
 
 #: Years, and degrees, in a cell of the grids that turn overlap joins into equal joins.
@@ -98,10 +98,11 @@ def join_boxes(queries: DataFrame, records: DataFrame) -> DataFrame:
     return q.join(r, ["cx", "cy"]).where(boxes_touch(box("q"), box("r"))).select("qid", "id").distinct()
 
 
-def hybrid(queries: DataFrame, query_vectors: DataFrame, records: DataFrame, vectors: DataFrame, keep: Column, k: int = 10, knn_filter: str = "post", **text) -> DataFrame:
+def hybrid(queries: DataFrame, query_vectors: DataFrame, records: DataFrame, vectors: DataFrame, keep: Column, k: int = 10, knn_filter: str = "post", index: Index | None = None, **text) -> DataFrame:
     """(qid, id, score): records that pass `keep` and match the text or are among the k nearest; scores add up.
 
     knn_filter 'post' (default) finds neighbours in all records and filters then; 'pre' finds them among those that pass.
+    index: the stored text index of records, if there is one.
     """
     if knn_filter not in ("post", "pre"):
         raise ValueError("knn_filter is 'post' or 'pre'")
@@ -109,6 +110,6 @@ def hybrid(queries: DataFrame, query_vectors: DataFrame, records: DataFrame, vec
     ids = passing.select("id")
     pool = vectors.join(ids, "id", "left_semi") if knn_filter == "pre" else vectors
     near = knn(query_vectors, pool, k).select("qid", "id", F.col("score").alias("vector_score"))
-    words = lexical(queries, records, **text).select("qid", "id", F.col("score").alias("text_score"))
+    words = lexical(queries, index or records, **text).select("qid", "id", F.col("score").alias("text_score"))
     both = words.join(near, ["qid", "id"], "full_outer").join(ids, "id", "left_semi")
     return both.select("qid", "id", F.round(F.coalesce("text_score", F.lit(0.0)) + F.coalesce("vector_score", F.lit(0.0)), 6).alias("score"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Token pattern, English stop words, and the ranking constants.
 TOKEN = r"([\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*)"
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 K1, B = 1.2, 0.75
+#: Most query terms, all queries together, that are broadcast to the postings.
+MOST_TERMS = 200_000
 #: Description column of each arm.
 ARMS = {"original": "description", "ufd": "ufd", "sfd": "sfd"}
 
@@ -49,6 +53,53 @@ def bm25(queries: DataFrame, records: DataFrame, field: str) -> DataFrame:
     return x.groupBy("qid", "id").agg(F.sum(F.col("qtf") * idf * norm).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored text index: postings (field, term, id, tf, dl), terms (field, term, df) and stats (field, n, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def build_index(records: DataFrame, fields: list[str], path: str) -> Index:
+    """Tokenises the fields of records (id, ...) once and writes their index; searches then read postings, never texts.
+
+    Postings are grouped by (field, term, id), so no term is a hot key; the term and field tables are counted from the
+    written postings.  A record without tokens in a field counts in none of its numbers.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields]))
+    rows = records.select("id", each.alias("x")).select("x.field", "id", F.size("x.toks").cast("long").alias("dl"), F.explode("x.toks").alias("term"))
+    rows.groupBy("field", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).write.partitionBy("field").parquet(f"{path}/postings")
+    held = open_index(records.sparkSession, path, dict(records.dtypes)["id"], ("postings",))
+    held.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).write.partitionBy("field").parquet(f"{path}/terms")
+    per_doc = held.postings.groupBy("field", "id").agg(F.first("dl").alias("dl"))
+    per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl")).write.parquet(f"{path}/stats")
+    return open_index(records.sparkSession, path, dict(records.dtypes)["id"])
+
+
+def open_index(spark: SparkSession, path: str, id_type: str = "bigint", parts: tuple[str, ...] = ("postings", "terms", "stats")) -> Index:
+    """The index at path, as build_index() wrote it."""
+    ddl = {"postings": f"term string, id {id_type}, dl bigint, tf bigint, field string", "terms": "term string, df bigint, field string", "stats": "field string, n bigint, avgdl double"}
+    return Index(*[spark.read.schema(ddl[p]).parquet(f"{path}/{p}") if p in parts else None for p in ddl])
+
+
+def indexed_bm25(queries: DataFrame, index: Index, field: str) -> DataFrame:
+    """As bm25(), from a stored index: the queries' terms meet the term table, then the postings.
+
+    The terms of all queries are broadcast if they are few, so that postings aren't shuffled for the join and a frequent term is
+    no hot key; larger query tables join by term, where Spark splits skewed terms.
+    """
+    terms = query_terms(queries).join(index.terms.where(F.col("field") == field).select(F.col("term").alias("t"), "df"), F.col("term") == F.col("t")).drop("t")
+    terms = terms.crossJoin(F.broadcast(index.stats.where(F.col("field") == field).select("n", "avgdl")))  # one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = terms.select(F.col("term").alias("t"), "qid", "n_terms", "avgdl", (F.col("qtf") * idf).alias("weight"))
+    few = queries.agg(F.sum(F.size(tokens(F.col("keywords"))))).first()[0] or 0
+    x = index.postings.where(F.col("field") == field).join(F.broadcast(terms) if few <= MOST_TERMS else terms, F.col("term") == F.col("t"))
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return x.groupBy("qid", "id").agg(F.sum(F.col("weight") * norm).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
+
+
 def search_fields(arm: str, title_boost: float) -> dict[str, float]:
     """Weights of the fields searched: the title (unless its boost isn't positive) and the arm's description."""
     if arm not in ARMS:
@@ -56,13 +107,13 @@ def search_fields(arm: str, title_boost: float) -> dict[str, float]:
     return ({"title": title_boost} if title_boost > 0 else {}) | {ARMS[arm]: 1.0}
 
 
-def lexical(queries: DataFrame, records: DataFrame, arm: str = "original", title_boost: float = 2.0, operator: str = "and") -> DataFrame:
-    """(qid, id, score): best field of each match; 'and' asks for all terms in one field."""
+def lexical(queries: DataFrame, records: DataFrame | Index, arm: str = "original", title_boost: float = 2.0, operator: str = "and") -> DataFrame:
+    """(qid, id, score): best field of each match; 'and' asks for all terms in one field.  records: a table, or its index."""
     if operator not in ("and", "or"):
         raise ValueError(f"operator must be 'and' or 'or', not {operator!r}")
     every = None
     for field, boost in search_fields(arm, title_boost).items():
-        own = bm25(queries, records, field)
+        own = indexed_bm25(queries, records, field) if isinstance(records, Index) else bm25(queries, records, field)
         own = (own.where("matched = n_terms") if operator == "and" else own).select("qid", "id", (F.col("score") * boost).alias("score"))
         every = own if every is None else every.unionByName(own)
     return every.groupBy("qid", "id").agg(F.round(F.max("score"), 6).alias("score"))

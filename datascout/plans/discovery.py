@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import catalog as C
 from ..operators import samples as N
 from ..sources import readers as R
+from ..sources import sinks
 from ..sources.workdir import table, work_dir
 from ..streaming import ingest
 from .facade import CATALOG, catalog
@@ -66,8 +69,7 @@ w AS (SELECT * FROM v WHERE kind IN ('dataset', 'tabular') AND d <> 0)"""
 
 
 def q_viable(spark, sf):
-    get = lambda p: F.get_json_object("payload", p)
-    return assets(spark, sf).where(R.viable(get("$.type"), get("$.resource.type"), get("$.resource.download_count"))).select("pos")
+    return assets(spark, sf).where(R.is_viable(R.assets_of(F.col("payload")))).select("pos")
 
 
 def q_listing(spark, sf):
@@ -115,15 +117,27 @@ def q_scan(spark, sf):
 
 
 def q_record(spark, sf):
-    r = records(spark, sf)
-    return r.select("id", "title", F.to_json("spatial_coverage").alias("spatial"), F.size("profiler_metadata.columns").alias("columns"), "start")
+    """Records assembled from metadata, coverage and profiles, each of which is missing or failed for some ids."""
+    c, i = catalog(spark, sf), F.col("id")
+    metadata = c.select("id", F.when(i % 5 != 0, F.col("title")).otherwise(S("")).alias("title"), "description", S("Socrata").alias("source"), "domain", "provider", F.concat(S("https://"), F.col("domain"), S("/"), i).alias("download_url"), F.array(S("id"), S("text")).alias("headers"), F.when(i % 13 == 0, S("timeout")).alias("error"))
+    box = F.array("min_lon", "min_lat", "max_lon", "max_lat")
+    coverage = c.where("id % 7 <> 0").select("id", F.col("domain").alias("label"), F.when(i % 3 != 0, box).alias("box"), F.date_format("t_start", "yyyy-MM-dd").alias("start"), F.date_format("t_end", "yyyy-MM-dd").alias("end"), F.when(i % 11 == 0, S("no rows")).alias("error"))
+    column = lambda n, t: F.struct(S(n).alias("name"), S(t).alias("structural_type"))
+    profiles = c.where("id % 4 <> 0").select("id", F.length("description").cast("long").alias("nb_rows"), F.array(S("numerical"), S("spatial")).alias("types"), F.array(column("a", "Number"), column("b", "GeoCoordinates"), column("c", "DateTime")).alias("columns"), S(None).cast("array<double>").alias("box"), S("a,b,c").alias("sample"), F.when(i % 9 == 0, S("boom")).alias("error"))
+    r = C.assemble(metadata, coverage, profiles)
+    p = F.col("profiler_metadata")
+    return r.select("id", "title", F.to_json("spatial_coverage").alias("spatial"), F.col("temporal_coverage.start").alias("start"), p["nb_rows"].alias("nb_rows"), p["nb_columns"].alias("columns"), (p["nb_spatial_columns"] * 10 + p["nb_temporal_columns"]).alias("kinds"), F.array_join(p["attribute_keywords"], ",").alias("keywords"), F.array_join("types", ",").alias("types"), F.array_join("errors", ";").alias("errors"))
 
 
 def q_fallback(spark, sf):
+    """Records of documents whose profile is a label: missing for most, failed where the quality is 0."""
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
-    x = d.select("doc_id", "source").join(lab.select(F.col("doc_id").alias("of"), "quality"), F.col("doc_id") == F.col("of"), "left")
-    errors = F.array_compact(F.array(F.when(F.col("of").isNull(), S("profile missing")), F.when(F.col("quality") == 0, S("profile failed"))))
-    return x.select("doc_id", F.coalesce(F.col("quality").cast("string"), S("none")).alias("profile"), F.array_join(errors, ";").alias("errors"))
+    none = lambda kind, name: S(None).cast(kind).alias(name)
+    metadata = d.select(F.col("doc_id").alias("id"), S("").alias("title"), none("string", "description"), none("string", "source"), F.col("source").alias("domain"), none("string", "provider"), none("string", "download_url"), F.array(S("text")).alias("headers"), none("string", "error"))
+    coverage = d.select(F.col("doc_id").alias("id"), none("string", "label"), none("array<double>", "box"), none("string", "start"), none("string", "end"), none("string", "error")).limit(0)
+    profiles = lab.select(F.col("doc_id").alias("id"), S(1).cast("long").alias("nb_rows"), F.array(S("numerical")).alias("types"), none("array<struct<name:string,structural_type:string>>", "columns"), none("array<double>", "box"), none("string", "sample"), F.when(F.col("quality") == 0, S("failed")).alias("error"))
+    r = C.assemble(metadata, coverage, profiles)
+    return r.select(F.col("id").alias("doc_id"), "title", F.array_join("types", ",").alias("types"), F.array_join("errors", ";").alias("errors"))
 
 
 def q_upsert(spark, sf):
@@ -168,9 +182,42 @@ def q_plots(spark, sf):
 
 
 def q_store(spark, sf):
-    path = work_dir(spark, "profiles")
-    C.store_profiles(catalog(spark, sf).select("id", "domain", "provider"), path)
-    return spark.read.parquet(path).select("id", "profile")
+    """All profiles are written, then a tenth of them again with another provider."""
+    path, c = work_dir(spark, "profiles"), catalog(spark, sf).select("id", "domain", "provider")
+    C.store_profiles(c, path)
+    C.store_profiles(c.where("id % 10 = 3").withColumn("provider", S("again")), path)
+    return C.read_profiles(spark, path)
+
+
+def q_catalog_json(spark, sf):
+    path = work_dir(spark, "catalog")
+    c = catalog(spark, sf)
+    sinks.write_catalog(c.select(F.col("id").cast("string").alias("id"), "title", "domain", "provider", "types", F.struct(F.date_format("t_start", "yyyy-MM-dd").alias("start")).alias("temporal_coverage")), path)
+    return R.read_catalog(spark, path).select("id", "title", "domain", "provider", F.array_join("types", ",").alias("types"), F.col("temporal_coverage.start").alias("start"))
+
+
+def q_csv_table(spark, sf):
+    """Orders written as CSV, some cells bad, and read with their types."""
+    path = work_dir(spark, "csv")
+    bad = F.when(F.col("o_orderkey") % 7 == 0, S("n/a")).otherwise(F.col("o_custkey").cast("string"))
+    table(spark, sf, "orders").select("o_orderkey", bad.alias("o_custkey"), F.concat(S('a "b", '), F.col("o_orderstatus")).alias("note")).write.option("header", True).option("escape", '"').csv(path)
+    return R.read_table(spark, path, "o_orderkey bigint, o_custkey bigint, note string")
+
+
+def q_registry_json(spark, sf):
+    path = work_dir(spark, "registry")
+    sinks.write_registry(q_registry_filter(spark, sf), path)
+    return R.registry_domains(R.read_registry(spark, path)).select("url", "dataset_count")
+
+
+def q_table_create(spark, sf):
+    """A table is made, filled, left alone by a second making, and made anew empty under another name."""
+    name, rows = f"made_{uuid.uuid4().hex}", table(spark, sf, "nation").select("n_nationkey", "n_name")
+    for n, replace in ((name, False), (f"{name}_new", True)):
+        sinks.create_table(spark, n, "n_nationkey int, n_name string")
+        rows.write.mode("append").saveAsTable(n)
+        sinks.create_table(spark, n, "n_nationkey int, n_name string", replace)
+    return spark.table(name).select("n_nationkey", "n_name", S("kept").alias("state")).unionByName(spark.table(f"{name}_new").select("n_nationkey", "n_name", S("anew").alias("state")))
 
 
 def q_lookup(spark, sf):
@@ -179,15 +226,15 @@ def q_lookup(spark, sf):
 
 
 def q_located(spark, sf):
-    """Samples at different places of profiles made from events; headers are the keys of all rows."""
+    """Samples at different places and depths of profiles made from events; headers are the keys of all rows."""
     e = table(spark, sf, "events")
     i = F.col("event_id")
     two = F.concat(S('['), F.col("props"), S(',{"e":"'), F.col("event_type"), S('"}]'))
-    profile = F.when(i % 4 == 0, F.concat(S('{"rows":'), two, S("}"))).when(i % 4 == 1, F.concat(S('{"profiler_metadata":{"data":'), two, S("}}"))).when(i % 4 == 2, F.concat(S('{"data":[1,"'), F.col("event_type"), S('"]}'))).otherwise(S('{"sample":"a,b\\n1,2"}'))
-    rows = e.select(i.alias("id"), F.explode_outer(N.located_rows(profile)).alias("row"), N.located_text(profile).alias("text"))
+    kinds = [F.concat(S('{"rows":'), two, S("}")), F.concat(S('{"x":"y","profiler_metadata":{"data":'), two, S("}}")), F.concat(S('{"data":[1,"'), F.col("event_type"), S('"]}')), S('{"sample":"a,b\\n1,2"}'), F.concat(S('{"columns":[{"name":"x"},{"name":"y","deep":{"er":{"sampleData":'), two, S("}}}]}")), S('{"a":[{"b":"no"},{"c":{"notes":"p,q\\n3,4"}}],"rows":"none"}')]
+    profile = F.element_at(F.array(*kinds), (i % 6 + 1).cast("int"))
+    rows = e.select(i.alias("id"), N.located(profile).alias("at")).select("id", F.explode_outer("at.rows").alias("row"), F.col("at.text").alias("text"))
     names = N.headers(rows.where("row IS NOT NULL")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
-    texts = rows.where("text IS NOT NULL").select("id", F.length("text").cast("string").alias("names"))
-    return names.unionByName(texts)
+    return names.unionByName(rows.where("text IS NOT NULL").select("id", F.col("text").alias("names")))
 
 
 def q_portal_label(spark, sf):
@@ -199,8 +246,11 @@ def q_portal_counts(spark, sf):
 
 
 def q_portal_upsert(spark, sf):
-    portals = table(spark, sf, "nation").select(F.concat(S("src"), F.col("n_nationkey")).alias("domain"), F.col("n_name").alias("provider"))
-    return C.portal_rows(catalog(spark, sf), portals)
+    """Portals known before, some of which are indexed anew, some for the first time, some not."""
+    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
+    before = n.where("n_nationkey < 15").select(F.concat(S("src"), k).alias("domain"), S("old").alias("provider"), S("Old").alias("display_label"), S(-1).cast("long").alias("dataset_count"), S("2020-01-01T00:00:00Z").alias("last_indexed_at"))
+    arrivals = n.where("n_nationkey >= 5").select(F.concat(S("src"), k % 12 + 8).alias("domain"), F.col("n_name").alias("provider"))
+    return C.portal_upsert(before, arrivals, catalog(spark, sf), S("2024-06-01T00:00:00Z"))
 
 
 def q_portals_top(spark, sf):
@@ -256,7 +306,7 @@ def q_name_hints(spark, sf):
 
 def q_query_norm(spark, sf):
     c = table(spark, sf, "conversations")
-    words = F.when(F.col("turn") % 3 == 0, S("  ")).otherwise(F.concat(S(" "), F.substring("text", 1, 20), S(" ")))
+    words = F.when(F.col("turn") % 3 == 0, S("  ")).otherwise(F.concat(S(" "), F.col("text"), S(" ")))
     return c.select("conv_id", "turn", F.nullif(F.trim(words), S("")).alias("keywords"), F.coalesce(F.when(F.col("turn") % 2 == 0, F.col("turn")), S(20)).cast("long").alias("limit"))
 
 
@@ -273,11 +323,26 @@ def _stream(spark, sf):
 
 
 def q_stream_upsert(spark, sf):
-    return ingest.stream_upsert(_stream(spark, sf), work_dir(spark, "stream"), "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
+    """The stream is run, and started again when nothing new is there."""
+    path = work_dir(spark, "stream")
+    ingest.stream_upsert(_stream(spark, sf), path, "user_id", "event_id")
+    return ingest.stream_upsert(_stream(spark, sf), path, "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
 def q_stream_counts(spark, sf):
-    return ingest.stream_counts(_stream(spark, sf), work_dir(spark, "counts"), "event_type")
+    path = work_dir(spark, "counts")
+    ingest.stream_counts(_stream(spark, sf), path, "event_type")
+    return ingest.stream_counts(_stream(spark, sf), path, "event_type")
+
+
+def q_stream_unchanged(spark, sf):
+    """Events arrive in two parts, with a start in between; an arrival of the same type as its user's last one is skipped."""
+    top, e, got = work_dir(spark, "parts"), table(spark, sf, "events").select("user_id", "event_id", "event_type"), None
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{top}/in")
+        arrivals = spark.readStream.schema(e.schema).parquet(f"{top}/in")
+        got = ingest.stream_upsert(arrivals, f"{top}/table", "user_id", "event_id", unchanged="event_type")
+    return got
 
 
 QUERIES = {
@@ -285,6 +350,7 @@ QUERIES = {
     "listing_ids": q_listing, "view_metadata": q_views, "cap_domains": q_cap_domains, "cap_datasets": q_cap_datasets, "work_items": q_work_items,
     "catalog_scan": q_scan, "catalog_record": q_record, "record_fallback": q_fallback, "catalog_upsert": q_upsert, "load_counts": q_load_counts, "staleness": q_staleness, "source_ts": q_source_ts,
     "apply_timestamp": q_apply, "search_payload": q_payload, "strip_plots": q_plots, "profile_store": q_store, "profile_lookup": q_lookup, "portal_label": q_portal_label, "sample_located": q_located,
+    "catalog_json": q_catalog_json, "csv_table": q_csv_table, "registry_json": q_registry_json, "table_create": q_table_create,
     "portal_counts": q_portal_counts, "portal_upsert": q_portal_upsert, "portals_top": q_portals_top,
     "safe_float": _scalar("safe_float"),
     "epoch_norm": _scalar("epoch_norm"),
@@ -302,9 +368,9 @@ QUERIES = {
     "embed_text": q_embed_text,
     "stream_upsert": q_stream_upsert,
     "stream_counts": q_stream_counts,
+    "stream_unchanged": q_stream_unchanged,
 }
 _ISO = "'%Y-%m-%dT%H:%M:%SZ'"
-_RECORD = "CASE WHEN id % 4 = 0 THEN 1 ELSE 2 END"
 _META = """'{"nb_rows":' || length(description) || ',"columns":[{"name":"id","structural_type":"Number","semantic_types":[]}' || CASE WHEN id % 4 = 0 THEN '' ELSE ',{"name":"text","structural_type":"Text","semantic_types":[]}' END || ']}'"""
 _HASH_COL = """',"semantic_types":[],"num_distinct_values":' || len(types) || '}'"""
 SQL = {
@@ -319,8 +385,13 @@ SQL = {
     "cap_datasets": f"WITH {CATALOG} SELECT id, domain FROM (SELECT id, domain, row_number() OVER (PARTITION BY domain ORDER BY id) AS n FROM catalog) WHERE n <= 10",
     "work_items": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'd' || o_orderkey ELSE 'i' || o_orderkey END AS dataset_id, CASE WHEN o_orderkey % 5 = 0 THEN 'ckan' ELSE 'socrata' END AS provider, CASE WHEN o_orderkey % 2 = 0 THEN 'h' || (o_orderkey % 50) || '.org' ELSE 'b' || (o_orderkey % 9) || '.gov' END AS domain, CASE WHEN o_orderkey % 2 = 0 THEN 'https://h' || (o_orderkey % 50) || '.org' ELSE 'https://b' || (o_orderkey % 9) || '.gov/' END AS base_url, CASE WHEN o_orderkey % 2 = 0 THEN 'https://h' || (o_orderkey % 50) || '.org' ELSE 'https://b' || (o_orderkey % 9) || '.gov' END || '/api/views/' || CASE WHEN o_orderkey % 3 = 0 THEN 'd' || o_orderkey ELSE 'i' || o_orderkey END || '/rows.csv?accessType=DOWNLOAD' AS csv_url FROM orders WHERE o_orderkey % 3 < 2",
     "catalog_scan": f"WITH {CATALOG} SELECT provider, count(*) AS n, count(DISTINCT domain) AS domains FROM catalog GROUP BY provider",
-    "catalog_record": f"""WITH {CATALOG} SELECT id, title, '{{"label":"' || domain || '","bbox":{{"type":"envelope","coordinates":[[' || min_lon || ',' || max_lat || '],[' || max_lon || ',' || min_lat || ']]}}}}' AS spatial, {_RECORD} AS columns, strftime(t_start, '%Y-%m-%d') AS start FROM catalog""",
-    "record_fallback": "SELECT d.doc_id, coalesce(quality::VARCHAR, 'none') AS profile, CASE WHEN l.doc_id IS NULL THEN 'profile missing' WHEN quality = 0 THEN 'profile failed' ELSE '' END AS errors FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "catalog_record": f"""WITH {CATALOG}, x AS (SELECT *, id % 4 <> 0 AND id % 9 <> 0 AS fine, id % 7 <> 0 AND id % 3 <> 0 AS boxed FROM catalog)
+SELECT id, CASE WHEN id % 5 <> 0 AND title <> '' THEN title ELSE id::VARCHAR END AS title,
+  '{{"label":"' || coalesce(CASE WHEN id % 7 <> 0 THEN domain END, '') || '","bbox":{{"type":"envelope","coordinates":' || CASE WHEN boxed THEN '[[' || min_lon || ',' || max_lat || '],[' || max_lon || ',' || min_lat || ']]' ELSE '[[-180.0,90.0],[180.0,-90.0]]' END || '}}}}' AS spatial,
+  CASE WHEN id % 7 <> 0 THEN strftime(t_start, '%Y-%m-%d') END AS start, coalesce(CASE WHEN id % 4 <> 0 THEN length(description) END, 0) AS nb_rows, CASE WHEN fine THEN 3 ELSE 2 END AS columns, CASE WHEN fine THEN 11 ELSE 0 END AS kinds,
+  CASE WHEN fine THEN 'a,b,c' ELSE 'id,text' END AS keywords, CASE WHEN fine THEN 'numerical,spatial' ELSE 'categorical' END AS types,
+  array_to_string(list_filter([CASE WHEN id % 13 = 0 THEN 'metadata: timeout' END, CASE WHEN id % 7 <> 0 AND id % 11 = 0 THEN 'coverage: no rows' END, CASE WHEN id % 4 = 0 THEN 'profile missing' WHEN id % 9 = 0 THEN 'profile: boom' END], lambda e: e IS NOT NULL), ';') AS errors FROM x""",
+    "record_fallback": "SELECT d.doc_id, d.doc_id::VARCHAR AS title, CASE WHEN l.doc_id IS NULL OR quality = 0 THEN 'categorical' ELSE 'numerical' END AS types, CASE WHEN l.doc_id IS NULL THEN 'profile missing' WHEN quality = 0 THEN 'profile: failed' ELSE '' END AS errors FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "catalog_upsert": f"WITH {CATALOG}, n AS (SELECT user_id AS id, arg_max(event_type, event_id) AS e, max(event_id) AS seq FROM events GROUP BY user_id) SELECT coalesce(n.id, c.id) AS id, CASE WHEN n.id IS NULL THEN title ELSE 'new ' || e END AS title, CASE WHEN n.id IS NULL THEN domain ELSE 'events' END AS domain, coalesce(seq, 0) AS seq FROM catalog c FULL JOIN n ON c.id = n.id",
     "load_counts": f"WITH {REGISTRY} SELECT count(*) FILTER (trim(url) <> '') AS loaded, count(*) FILTER (url IS NULL OR trim(url) = '') AS failed FROM registry",
     "staleness": f"""WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'ckan' ELSE 'Socrata' END AS provider, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate::DATE, {_ISO}) END AS source_ts FROM orders),
@@ -331,12 +402,18 @@ SELECT * FROM s WHERE state <> 'current'""",
     "apply_timestamp": f"WITH {CATALOG} SELECT id, CASE WHEN id % 2 = 0 THEN '2024-01-0' || (id % 9 + 1) ELSE 'old' END AS last_update_date, CASE WHEN id % 2 = 0 THEN '2024-01-0' || (id % 9 + 1) || 'T10:00:00Z' END AS socrata_updated_at, CASE WHEN id % 2 = 0 THEN '2024-01-0' || (id % 9 + 1) || 'T10:00:00Z' END AS source_updated_at FROM catalog",
     "search_payload": f"WITH {CATALOG} SELECT id, {_META} AS meta FROM catalog",
     "strip_plots": f"""WITH {CATALOG} SELECT id, '[{{"name":"id","structural_type":"Number"' || {_HASH_COL} || CASE WHEN id % 4 = 0 THEN '' ELSE ',{{"name":"text","structural_type":"Text"' || {_HASH_COL} END || ']' AS columns FROM catalog""",
-    "profile_store": f"""WITH {CATALOG} SELECT id, '{{"id":' || id || ',"domain":"' || domain || '","provider":"' || provider || '"}}' AS profile FROM catalog""",
+    "profile_store": f"""WITH {CATALOG} SELECT id, '{{"id":' || id || ',"domain":"' || domain || '","provider":"' || CASE WHEN id % 10 = 3 THEN 'again' ELSE provider END || '"}}' AS profile FROM catalog""",
+    "catalog_json": f"WITH {CATALOG} SELECT id::VARCHAR AS id, title, domain, provider, array_to_string(types, ',') AS types, strftime(t_start, '%Y-%m-%d') AS start FROM catalog",
+    "csv_table": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS o_custkey, 'a "b", ' || o_orderstatus AS note FROM orders""",
+    "registry_json": "SELECT 'p' || p_partkey AS url, p_size::BIGINT AS dataset_count FROM part WHERE p_size % 5 <> 0 AND p_size % 7 <> 0 AND p_size >= 10",
+    "table_create": "SELECT n_nationkey, n_name, 'kept' AS state FROM nation",
     "profile_lookup": "WITH p AS (SELECT doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '_profile.json' END AS name FROM documents) SELECT want, name, rank FROM (SELECT item_id::VARCHAR AS want, name, row_number() OVER (PARTITION BY item_id ORDER BY name <> item_id::VARCHAR, name) AS rank FROM benchmark JOIN p ON starts_with(name, item_id::VARCHAR)) WHERE rank = 1",
     "portal_label": f"WITH {REGISTRY} SELECT url, 'N' || substr(replace(replace(url, 'data.', ''), '.gov', ''), 2) AS label FROM kept",
-    "sample_located": "SELECT event_id AS id, CASE event_id % 4 WHEN 2 THEN 'value' WHEN 3 THEN '7' ELSE 'e,k' END AS names FROM events",
+    "sample_located": "SELECT event_id AS id, CASE event_id % 6 WHEN 2 THEN 'value' WHEN 3 THEN 'a,b' || chr(10) || '1,2' WHEN 5 THEN 'p,q' || chr(10) || '3,4' ELSE 'e,k' END AS names FROM events",
     "portal_counts": "SELECT source AS domain, count(*) AS n FROM documents GROUP BY source",
-    "portal_upsert": "SELECT 'src' || n_nationkey AS domain, n_name AS provider, 'Src' || n_nationkey AS display_label, (SELECT count(*) FROM documents WHERE source = 'src' || n_nationkey) AS dataset_count FROM nation",
+    "portal_upsert": """WITH a AS (SELECT 'src' || (n_nationkey % 12 + 8) AS domain, max(n_name) AS provider FROM nation WHERE n_nationkey >= 5 GROUP BY 1)
+SELECT domain, provider, 'Src' || substr(domain, 4) AS display_label, (SELECT count(*) FROM documents WHERE source = a.domain) AS dataset_count, '2024-06-01T00:00:00Z' AS last_indexed_at FROM a
+UNION ALL SELECT 'src' || n_nationkey, 'old', 'Old', -1, '2020-01-01T00:00:00Z' FROM nation WHERE n_nationkey < 15 AND 'src' || n_nationkey NOT IN (SELECT domain FROM a)""",
     "portals_top": "SELECT s_name AS domain, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE upper(s_name) END AS display_label, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey ELSE 0 END AS dataset_count FROM supplier WHERE s_suppkey % 10 <> 0 ORDER BY 3 DESC, 1 LIMIT 50",
     "safe_float": f"SELECT event_id, CASE WHEN regexp_matches(trim({_NUMBER_SQL}), '{X.NUMBER}') THEN TRY_CAST(trim({_NUMBER_SQL}) AS DOUBLE) END AS number FROM events",
     "epoch_norm": f"SELECT event_id, strftime(to_timestamp(1700000000 + event_id)::TIMESTAMP, {_ISO}) AS ts FROM events",
@@ -350,8 +427,11 @@ SELECT * FROM s WHERE state <> 'current'""",
     "bbox_choice": f"SELECT event_id, CASE WHEN {_VALID_SQL} THEN (b[1] * 100)::BIGINT || ',' || (b[2] * 100)::BIGINT || ',' || (b[3] * 100)::BIGINT || ',' || (b[4] * 100)::BIGINT WHEN b IS NULL AND event_id % 2 = 0 THEN '100,200,300,400' WHEN event_id % 3 = 0 THEN '0,0,100,100' ELSE '-18000,-9000,18000,9000' END AS box FROM (SELECT event_id, {_BOX_SQL} AS b FROM events)",
     "page_domains": "SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS domain, count(*) AS n FROM pages GROUP BY 1",
     "json_props": "SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1",
-    "query_norm": "SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN nullif(trim(substr(text, 1, 20), ' '), '') END AS keywords, CASE WHEN turn % 2 = 0 THEN turn ELSE 20 END AS \"limit\" FROM conversations",
+    "query_norm": "SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN nullif(trim(text, ' '), '') END AS keywords, CASE WHEN turn % 2 = 0 THEN turn ELSE 20 END AS \"limit\" FROM conversations",
     "embed_text": f"WITH {CATALOG} SELECT id, md5(CASE WHEN id % 3 <> 0 THEN title ELSE '' END || chr(10) || chr(10) || CASE WHEN id % 4 <> 0 THEN description ELSE '' END) AS text_md5 FROM catalog",
     "stream_upsert": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "stream_unchanged": """WITH p AS (SELECT user_id, event_id % 2 AS part, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL OR a.event_type IS NOT DISTINCT FROM b.event_type THEN a.event_id ELSE b.event_id END AS event_id, CASE WHEN b.user_id IS NULL THEN a.event_type ELSE b.event_type END AS event_type
+FROM (SELECT * FROM p WHERE part = 0) a FULL JOIN (SELECT * FROM p WHERE part = 1) b ON a.user_id = b.user_id""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import search as S
 from ..operators import text as T
 from ..operators import vectors as V
-from .facade import CATALOG, RANGES, catalog, queries, query_ranges, vectors
+from .facade import CATALOG, RANGES, catalog, queries, query_ranges, text_index, vectors
 
 def tokens_sql(text: str) -> str:
     stop = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -16,7 +16,6 @@ def tokens_sql(text: str) -> str:
 
 
 FULL = "q AS (SELECT item_id AS qid, text AS keywords FROM benchmark)"
-SHORT = "q AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:3], ' ') AS keywords FROM benchmark)"
 #: A stated query set for vectors: ids divisible by 20.
 NEAR = """near AS (SELECT qid, id, score AS vscore, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
   SELECT a.vec_id AS qid, b.vec_id AS id, round(1.0::DOUBLE / (1.0::DOUBLE + list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)))), 6) AS score
@@ -56,23 +55,23 @@ def q_tokens(spark, sf):
 
 
 def q_postings(spark, sf):
-    p = T.postings(catalog(spark, sf), "description")
+    p = text_index(spark, sf).postings.where("field = 'description'")
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 def q_bm25(spark, sf):
-    hits = T.bm25(queries(spark, sf), catalog(spark, sf), "description").select("qid", "id", F.round("score", 6).alias("score"))
+    hits = T.indexed_bm25(queries(spark, sf), text_index(spark, sf), "description").select("qid", "id", F.round("score", 6).alias("score"))
     return T.ranked(hits, 10)
 
 
-def _lexical(arm, boost, op, words=None, limit=10, offset=0):
-    return lambda spark, sf: T.ranked(T.lexical(queries(spark, sf, words), catalog(spark, sf), arm, boost, op), limit, offset)
+def _lexical(arm, boost, op, limit=10, offset=0):
+    return lambda spark, sf: T.ranked(T.lexical(queries(spark, sf), text_index(spark, sf), arm, boost, op), limit, offset)
 
 
 def q_arms(spark, sf):
-    every = None
+    every, index = None, text_index(spark, sf)
     for arm in T.ARMS:
-        own = T.ranked(T.lexical(queries(spark, sf), catalog(spark, sf), arm, 0.0, "or"), 5).withColumn("arm", F.lit(arm))
+        own = T.ranked(T.lexical(queries(spark, sf), index, arm, 0.0, "or"), 5).withColumn("arm", F.lit(arm))
         every = own if every is None else every.unionByName(own)
     return every
 
@@ -86,7 +85,7 @@ def _filtered_sql(where):
 
 
 def _matches(spark, sf):
-    return T.lexical(queries(spark, sf), catalog(spark, sf), "original", 0.0, "or")
+    return T.lexical(queries(spark, sf), text_index(spark, sf), "original", 0.0, "or")
 
 
 def q_total(spark, sf):
@@ -111,14 +110,14 @@ def q_knn(spark, sf):
     return V.knn(v.where("id % 20 = 0").withColumnRenamed("id", "qid"), v)
 
 
-def q_lsh(spark, sf):
+def q_approximate(spark, sf):
     v = vectors(spark, sf)
-    return V.knn_lsh(v.where("id % 20 = 0").withColumnRenamed("id", "qid"), v)
+    return V.knn_lists(v.where("id % 20 = 0").withColumnRenamed("id", "qid"), v)
 
 
 def q_hybrid(spark, sf):
     v = vectors(spark, sf)
-    hits = S.hybrid(queries(spark, sf), v.where("id % 20 = 0").withColumnRenamed("id", "qid"), catalog(spark, sf), v, F.col("provider") == "socrata", title_boost=0.0, operator="or")
+    hits = S.hybrid(queries(spark, sf), v.where("id % 20 = 0").withColumnRenamed("id", "qid"), catalog(spark, sf), v, F.col("provider") == "socrata", index=text_index(spark, sf), title_boost=0.0, operator="or")
     return T.ranked(hits, 10)
 
 
@@ -136,7 +135,7 @@ def q_browse(spark, sf):
 
 
 def q_embed(spark, sf):
-    return V.embed(catalog(spark, sf).select("id", "title"), "title").select("id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
+    return V.embed(catalog(spark, sf).select("id", "description"), "description").select("id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
 
 
 _BOX_A = "(CASE WHEN q_min_lon <= q_max_lon THEN min_lon <= q_max_lon AND q_min_lon <= max_lon ELSE (min_lon <= 180 AND q_min_lon <= max_lon) OR (min_lon <= q_max_lon AND -180 <= max_lon) END)"
@@ -145,8 +144,8 @@ QUERIES = {
     "postings": q_postings,
     "bm25": q_bm25,
     "search_lexical": _lexical("original", 2.0, "or"),
-    "search_and": _lexical("original", 2.0, "and", words=3),
-    "search_or": _lexical("original", 2.0, "or", words=3),
+    "search_and": _lexical("original", 2.0, "and"),
+    "search_or": _lexical("original", 1.0, "or"),
     "search_boost": _lexical("ufd", 5.0, "or"),
     "search_arms": q_arms,
     "search_page": _lexical("original", 2.0, "or", limit=10, offset=20),
@@ -161,7 +160,7 @@ QUERIES = {
     "join_bbox": q_join_boxes,
     "browse": q_browse,
     "knn": q_knn,
-    "knn_lsh": q_lsh,
+    "knn_lsh": q_approximate,
     "search_hybrid": q_hybrid,
     "embed_hash": q_embed,
 }
@@ -170,8 +169,8 @@ SQL = {
     "postings": f"WITH {CATALOG} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest({tokens_sql('description')}) AS term FROM catalog) GROUP BY ALL) GROUP BY term",
     "bm25": lexical_sql("description", 0, "or") + top_sql(10),
     "search_lexical": lexical_sql("description", 2.0, "or") + top_sql(10),
-    "search_and": lexical_sql("description", 2.0, "and", SHORT) + top_sql(10),
-    "search_or": lexical_sql("description", 2.0, "or", SHORT) + top_sql(10),
+    "search_and": lexical_sql("description", 2.0, "and") + top_sql(10),
+    "search_or": lexical_sql("description", 1.0, "or") + top_sql(10),
     "search_boost": lexical_sql("ufd", 5.0, "or") + top_sql(10),
     "search_arms": f"WITH {FULL}, {CATALOG}, " + ", ".join(bm25_sql(f"b{a}", f) for a, f in T.ARMS.items()) + " SELECT qid, id, score, rank, arm FROM (SELECT *, row_number() OVER (PARTITION BY arm, qid ORDER BY score DESC, id) AS rank FROM (" + " UNION ALL ".join(f"SELECT qid, id, round(score, 6) AS score, '{a}' AS arm FROM b{a}" for a in T.ARMS) + ")) WHERE rank <= 5",
     "search_page": lexical_sql("description", 2.0, "or") + top_sql(10, 20),

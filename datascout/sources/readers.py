@@ -59,20 +59,30 @@ def viable(type_: Column, resource_type: Column, downloads: Column) -> Column:
     return F.coalesce(kind.isin(*TABULAR), F.lit(False)) & (downloads.isNull() | X.safe_float(downloads).isNotNull())
 
 
+def assets_of(payload: Column) -> Column:
+    """The fields of a listing payload that are looked at, parsed once."""
+    return F.from_json(payload, "type string, id string, nbe_id string, nbeId string, uid string, resource struct<id:string,uid:string,type:string,download_count:string>")
+
+
+def is_viable(asset: Column) -> Column:
+    return viable(asset["type"], asset["resource"]["type"], asset["resource"]["download_count"])
+
+
 def listing_ids(assets: DataFrame) -> DataFrame:
     """(id, pos) of viable assets (pos, payload JSON): the first candidate field that is a 4x4 id; the first of each id."""
-    get = lambda p: F.get_json_object("payload", p)
-    key = X.dataset_id(*[get(p) for p in ("$.resource.id", "$.id", "$.nbe_id", "$.nbeId", "$.uid", "$.resource.uid")])
-    kept = assets.where(viable(get("$.type"), get("$.resource.type"), get("$.resource.download_count"))).select("pos", key.alias("id"))
+    a = F.col("a")
+    key = X.dataset_id(a["resource"]["id"], a["id"], a["nbe_id"], a["nbeId"], a["uid"], a["resource"]["uid"])
+    kept = assets.select("pos", assets_of(F.col("payload")).alias("a")).where(is_viable(a)).select("pos", key.alias("id"))
     return first_per_key(kept, "id", "pos")
 
 
 def view_metadata(views: DataFrame) -> DataFrame:
-    """(id, title, description, publisher, source, last_update_date, download_url) of views (id, base_url, payload JSON)."""
-    get = lambda *names: X.non_empty(*[F.get_json_object("payload", f"$.{n}") for n in names])
-    updated = X.non_empty(F.get_json_object("payload", "$.rowsUpdatedAt"), F.get_json_object("payload", "$.viewLastModified"))
-    return views.select(
+    """(id, title, description, publisher, source, last_update_date, download_url) of views (id, base_url, payload JSON), parsed once."""
+    names = ("name", "title", "displayName", "description", "notes", "blurb", "ownerDisplayName", "attribution", "ownerName", "rowsUpdatedAt", "viewLastModified", "downloadUrl", "csvDownloadUrl")
+    x = views.withColumn("v", F.from_json("payload", ", ".join(f"{n} string" for n in names)))
+    get = lambda *wanted: X.non_empty(*[F.col("v")[n] for n in wanted])
+    return x.select(
         "id", F.coalesce(get("name", "title", "displayName"), F.col("id").cast("string")).alias("title"), F.coalesce(get("description", "notes", "blurb"), F.lit("")).alias("description"),
-        F.coalesce(get("ownerDisplayName", "attribution", "ownerName"), F.lit("")).alias("publisher"), F.lit("Socrata").alias("source"), F.to_date(X.parse_time(updated)).alias("last_update_date"),
+        F.coalesce(get("ownerDisplayName", "attribution", "ownerName"), F.lit("")).alias("publisher"), F.lit("Socrata").alias("source"), F.to_date(X.parse_time(get("rowsUpdatedAt", "viewLastModified"))).alias("last_update_date"),
         F.coalesce(get("downloadUrl", "csvDownloadUrl"), X.csv_url(F.col("base_url"), F.col("id").cast("string"))).alias("download_url"),
     )

@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def write_registry(rows: DataFrame, path: str) -> None:
-    """(url, dataset_count) as one JSON file, largest first."""
-    rows.orderBy(F.desc("dataset_count"), "url").coalesce(1).write.mode("overwrite").json(path)
+    """(url, dataset_count) as a JSON array, largest first; a registry is small, one row a portal."""
+    every = F.array_sort(F.collect_list(F.struct((-F.col("dataset_count")).alias("order"), "url", "dataset_count")))
+    rows.agg(F.to_json(F.transform(every, lambda x: x.dropFields("order"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_catalog(records: DataFrame, path: str, per_file: int = 1000) -> None:
+    """Records as JSON arrays of about per_file each, one a file, as read_catalog() takes them."""
+    files = max(1, records.count() // per_file)
+    of = F.pmod(F.xxhash64("id"), F.lit(files))
+    arrays = records.groupBy(of.alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*records.columns))), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def create_table(spark: SparkSession, name: str, ddl: str, replace: bool = False) -> None:
@@ -17,9 +26,3 @@ def create_table(spark: SparkSession, name: str, ddl: str, replace: bool = False
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     if not spark.catalog.tableExists(name):
         spark.createDataFrame([], ddl).write.format("parquet").saveAsTable(name)
-
-
-def write_version(df: DataFrame, path: str, version: int) -> DataFrame:
-    """Writes a version of a table beside those before it, and returns it read back: readers of the last one aren't disturbed."""
-    df.write.mode("overwrite").parquet(f"{path}/v{version}")
-    return df.sparkSession.read.parquet(f"{path}/v{version}")

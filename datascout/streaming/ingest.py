@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import last_per_key, upsert
-from ..sources.sinks import write_version
+from ..operators.catalog import last_per_key
+from ..sources import keyed
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
@@ -16,35 +16,31 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataF
 def stream_upsert(arrivals: DataFrame, path: str, key: str, seq: str, unchanged: str | None = None) -> DataFrame:
     """Puts each arriving batch over the catalog at `path` by key, and returns the catalog after all that is there has arrived.
 
-    unchanged: a column; an arrival whose value equals the catalog's is skipped.  A batch that runs again writes its version again.
+    unchanged: a column; an arrival (the last of its key in the batch) whose value equals the catalog's is skipped.  A batch
+    rewrites only the key buckets it touches; one that runs again writes its version again.  A stream that starts again without new arrivals
+    returns the catalog as it is.
     """
     spark, schema = arrivals.sparkSession, arrivals.schema
 
-    def current(batch: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{path}/v{batch - 1}") if batch else spark.createDataFrame([], schema)
-
-    last = {"version": -1}
-
     def put(batch: DataFrame, number: int) -> None:
-        now = current(number)
+        own = batch.sparkSession
         if unchanged:
-            old = now.select(F.col(key).alias("__k"), F.col(unchanged).alias("__v"))
-            batch = last_per_key(batch, key, seq).join(old, (F.col(key) == F.col("__k")) & F.col(unchanged).eqNullSafe(F.col("__v")), "left_anti")
-        write_version(upsert(now, batch, key, seq), path, number)
-        last["version"] = number
+            old = keyed.read(own, f"{path}/rows", schema, number).select(F.col(key).alias("__k"), F.col(unchanged).alias("__v"))
+            same = F.col(key).eqNullSafe(F.col("__k")) & F.col(unchanged).eqNullSafe(F.col("__v"))
+            batch = last_per_key(batch, key, seq).join(old, same, "left_anti")
+        keyed.put(own, f"{path}/rows", batch, key, seq, schema, number)
 
-    arrivals.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
-    return current(last["version"] + 1)
+    arrivals.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return keyed.read(spark, f"{path}/rows", schema)
 
 
 def stream_counts(arrivals: DataFrame, path: str, by: str) -> DataFrame:
-    """Counts by a column, kept up to date with each batch; the last ones are returned."""
-    spark, last = arrivals.sparkSession, {"version": -1}
+    """Counts by a column, kept up to date with each batch; the last ones are returned, also by a stream that starts again without arrivals."""
+    spark = arrivals.sparkSession
     counts = arrivals.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:
-        write_version(batch, path, number)
-        last["version"] = number
+        keyed.put(batch.sparkSession, f"{path}/rows", batch, by, "n", counts.schema, number)
 
-    counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/v{last['version']}") if last["version"] >= 0 else spark.createDataFrame([], counts.schema)
+    counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return keyed.read(spark, f"{path}/rows", counts.schema)

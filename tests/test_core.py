@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datascout.functions import scalars as X
+from datascout.plans.facade import vectors
 from datascout.operators import catalog as C
 from datascout.operators import profiling as P
 from datascout.operators import samples as N
@@ -87,12 +88,33 @@ def test_vectors(spark):
     q = v.where("id < 3").withColumnRenamed("id", "qid")
     exact = {(r.qid, r.id, r.score) for r in V.knn(q, v, 3).collect()}
     assert {(0, 0, 1.0), (0, 1, 0.5), (0, 2, 0.2)} <= exact and len(exact) == 9
-    assert {(r.qid, r.id, r.score) for r in V.knn_lsh(q, v, 3, radius=1.5).collect()} <= {(r.qid, r.id, r.score) for r in V.knn(q, v, 20).collect()}
+    assert {(r.qid, r.id, r.score) for r in V.knn_lists(q, v, 3).collect()} <= {(r.qid, r.id, r.score) for r in V.knn(q, v, 20).collect()}
+    assert V.knn_lists(q, v.where("id < 0"), 3).collect() == [] and len(V.knn_lists(q, v.where("id = 4"), 3).collect()) == 3
     t = spark.createDataFrame([(1, "red fish"), (2, None)], "id long, text string")
     assert [len(r.vector) for r in V.embed(t, "text", 16).collect()] == [16, 16]
     assert [r.vector for r in V.embed(t, "text", encoder=lambda xs: [[float(len(x))] for x in xs]).orderBy("id").collect()] == [[8.0], [0.0]]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_approximate_neighbours(spark, sf):
+    v = vectors(spark, f"/root/testdata/{sf}")
+    q = v.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    exact = {(r.qid, r.id) for r in V.knn(q, v).collect()}
+    got = {(r.qid, r.id) for r in V.knn_lists(q, v).collect()}
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
+
+
+def test_index_search_is_the_plain_search(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 3} x", f"w{i % 5} y w{i % 2} w{i % 5}" if i % 7 else None) for i in range(60)] + [(99, None, "the of")], "id long, title string, description string")
+    q = spark.createDataFrame([(1, "w1 y y"), (2, "w0 x"), (3, "the"), (4, None), (5, "zzz w1")], "qid long, keywords string")
+    index = T.build_index(docs, ["title", "description"], work_dir(spark, "index"))
+    rows = lambda df: sorted((r.qid, r.id, r.score) for r in df.collect())
+    for op in ("and", "or"):
+        assert rows(T.lexical(q, index, operator=op)) == rows(T.lexical(q, docs, operator=op))
+    none = T.build_index(docs.where("id < 0"), ["title", "description"], work_dir(spark, "index"))
+    assert rows(T.lexical(q, none, operator="or")) == []
+
+
 def test_hybrid_filter_before_or_after(spark):
     docs = spark.createDataFrame([(i, "none", "none", i % 2) for i in range(10)], "id long, title string, description string, odd int")
     v = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "id long, vector array<float>")
@@ -163,8 +185,11 @@ def test_profile_store_replaces_by_key(spark):
     path = work_dir(spark, "p")
     rows = spark.createDataFrame([(i, f"v{i}") for i in range(30)], "id int, v string")
     C.store_profiles(rows, path)
-    C.store_profiles(rows, path)
-    assert spark.read.parquet(path).count() == 30
+    C.store_profiles(rows.where("id = 7").selectExpr("id", "'new' AS v"), path)
+    C.store_profiles(spark.createDataFrame([(99, "x")], "id int, v string"), path)
+    got = {r.id: json.loads(r.profile)["v"] for r in C.read_profiles(spark, path, "int").collect()}
+    assert got == {**{i: f"v{i}" for i in range(30)}, 7: "new", 99: "x"}
+    assert C.read_profiles(spark, work_dir(spark, "none"), "int").collect() == []
     found = C.find_profiles(spark.createDataFrame([("ab",), ("abc",), ("q",)], "want string"), spark.createDataFrame([("abc",), ("ab_profile.json",), ("abd",)], "name string"))
     assert {(r.want, r.name) for r in found.collect()} == {("ab", "ab_profile.json"), ("abc", "abc")}
 
@@ -176,7 +201,14 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = lambda: ingest.file_stream(spark, str(tmp_path / "in"), "*.parquet", spark.read.parquet(str(tmp_path / "in")).schema)
     got = ingest.stream_upsert(stream(), str(tmp_path / "cat"), "id", "seq")
     assert {r.id for r in got.collect()} == set(range(7)) and got.count() == 7
-    assert {(r.v, r.n) for r in ingest.stream_counts(stream(), str(tmp_path / "n"), "v").collect()} == {(f"v{k}-{i}", 1) for k in range(3) for i in range(20)}
+    assert sorted(map(str, ingest.stream_upsert(stream(), str(tmp_path / "cat"), "id", "seq").collect())) == sorted(map(str, got.collect()))
+    spark.createDataFrame([(3, "late", 999), (50, "new", 1)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late = {r.id: r.v for r in ingest.stream_upsert(stream(), str(tmp_path / "cat"), "id", "seq").collect()}
+    assert late == {**{r.id: r.v for r in got.where("id <> 3").collect()}, 3: "late", 50: "new"}
+    none = ingest.file_stream(spark, str(tmp_path / "in"), "*.nothing", spark.read.parquet(str(tmp_path / "in")).schema)
+    assert ingest.stream_upsert(none, str(tmp_path / "empty"), "id", "seq").collect() == []
+    ingest.stream_counts(stream(), str(tmp_path / "n"), "v")
+    assert {(r.v, r.n) for r in ingest.stream_counts(stream(), str(tmp_path / "n"), "v").where("v LIKE 'v%'").collect()} == {(f"v{k}-{i}", 1) for k in range(3) for i in range(20)}
 
 
 def test_portal_defaults(spark):
@@ -184,3 +216,18 @@ def test_portal_defaults(spark):
     some, none, default = spark.createDataFrame([("a", 1)], kind), spark.createDataFrame([], kind), spark.createDataFrame([("x", 0), ("y", 0)], kind)
     assert [r.domain for r in N.or_default(some, default).collect()] == ["a"]
     assert sorted(r.domain for r in N.or_default(none, default).collect()) == ["x", "y"]
+
+
+def test_find_sample_at_any_depth():
+    rows = [{"a": 1}]
+    cases = [({"rows": rows}, (rows, None)), ({"x": {"y": [{"z": {"data": rows}}]}}, (rows, None)), ({"a": "p,q\n1,2", "columns": [{"c": 1}, {"sampleData": [5]}]}, ([5], None)), ({"sample": "only", "b": "u,v\r\n\r\n3,4"}, (None, "u,v\r\n\r\n3,4")), ({"rows": "no", "profiler_metadata": {"sample_data": []}}, ([], None)), ([], (None, None)), (None, (None, None)), (3, (None, None))]
+    for profile, want in cases:
+        assert N.find_sample(profile) == want
+
+
+def test_last_write_with_equal_order_values(spark):
+    rows = [(1, "a", 5), (1, "b", 5), (1, "c", 5), (None, "n", 1)]
+    got = {str(sorted(map(str, C.last_per_key(spark.createDataFrame(rows[k:] + rows[:k], "id int, v string, seq int").repartition(k + 1), "id", "seq").collect()))) for k in range(4)}
+    assert len(got) == 1
+    now = spark.createDataFrame([(None, "old", 0), (1, "old", 0)], "id int, v string, seq int")
+    assert {(r.id, r.v) for r in C.upsert(now, spark.createDataFrame([(None, "new", 1)], "id int, v string, seq int"), "id", "seq").collect()} == {(None, "new"), (1, "old")}
