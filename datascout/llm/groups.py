@@ -24,7 +24,7 @@ from .common import stash
 from .components import connected_components
 from .tokens import mix64
 
-BLOCK = 512
+BLOCK = 1024
 #: One group in so many is compared first.
 FIRST_PART = 4
 #: Rows of keys whose repeats are counted together, to tell hot keys.
@@ -115,11 +115,15 @@ def _sets(keyed: DataFrame) -> DataFrame:
     return rows.mapInArrow(by_shard(("shard", "h"), work, ("shard", "h")), "shard long, h long").dropDuplicates(["shard", "h"])
 
 
-def join_pairs(h: np.ndarray, label: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list, list]:
-    """Links of one group: near(i, others) tells which others are similar to member i; members of one label are connected already."""
+def join_pairs(h: np.ndarray, label: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], guest: np.ndarray | None = None) -> tuple[list, list]:
+    """Links of one group: near(i, others) tells which others are similar to member i; members of one label are connected already.
+
+    guest: where there are guests, members are compared with these only.
+    """
     group, a, b = label.copy(), [], []
-    for i in range(len(h) - 1):
-        js = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+    guests = np.flatnonzero(guest) if guest is not None and guest.any() else None
+    for i in range(len(h) - 1) if guests is None else np.flatnonzero(~guest).tolist():
+        js = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1 if guests is None else guests[group[guests] != group[i]]
         if len(js):
             js = js[near(i, js)]
             for g in np.unique(group[js]).tolist():
@@ -130,21 +134,21 @@ def join_pairs(h: np.ndarray, label: np.ndarray, near: Callable[[int, np.ndarray
 
 
 def verified(members: DataFrame, near_of: Callable[[list], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
-    """(a, b): links of members (shard, h, c, payload).  near_of(payloads of a group): see join_pairs(); c: component known, or null."""
+    """(a, b): links of members (shard, h, c, guest, payload).  near_of(payloads of a group), guest: see join_pairs(); c: component known, or null."""
 
     def work(t: pa.Table):
         shard, h = t["shard"].to_numpy(), t["h"].to_numpy()
         label = np.where(t["c"].is_null().to_numpy(), h, t["c"].fill_null(0).to_numpy())
-        payload = t["payload"].to_pylist()
+        guest, payload = t["guest"].to_numpy(), t["payload"].to_pylist()
         first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist()
         a, b = [], []
         for s, e in zip(first, [*first[1:], len(h)]):
-            x, y = join_pairs(h[s:e], label[s:e], near_of(payload[s:e]))
+            x, y = join_pairs(h[s:e], label[s:e], near_of(payload[s:e]), guest[s:e])
             a += x
             b += y
         return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
-    run = by_shard(("shard", "h", "c", "payload"), work, ("a", "b"))
+    run = by_shard(("shard", "h", "c", "guest", "payload"), work, ("a", "b"))
     return members.repartition("shard").sortWithinPartitions("shard", "h").mapInArrow(run, "a long, b long")
 
 
@@ -152,13 +156,13 @@ def group_links(keyed: DataFrame, counts: DataFrame, attach: Callable[[DataFrame
     """(a, b): links that connect all similar members of a key.
 
     keyed (key, h); counts (key, n, pivot): how many members parts of the rows hold, where there are several, and one of them.
-    attach: adds `payload` to rows (shard, h, c).
+    attach: adds `payload` to rows (shard, h, c, guest).
     """
     many = counts.groupBy("key").agg(F.sum("n").alias("n"), F.min("pivot").alias("pivot")).where(F.col("n") > BLOCK)
     hot = stash(many.select(F.col("key").alias("hot"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"), "pivot"), f"{name}_hot")
-    no_label = F.lit(None).cast("long").alias("c")
+    plain = (F.lit(None).cast("long").alias("c"), F.lit(False).alias("guest"))
     if not hot.count():
-        return _in_two_steps(_sets(keyed).select("shard", "h", no_label), attach, near_of, name)
+        return _in_two_steps(_sets(keyed).select("shard", "h", *plain), attach, near_of, name)
     split = keyed.select("key", "h").join(hot, F.col("key") == F.col("hot"), "left")
     block = F.pmod(F.xxhash64("h"), F.col("blocks"))
     own = split.where("blocks IS NOT NULL").select("key", block.alias("block"), "h", "blocks").distinct()
@@ -166,7 +170,7 @@ def group_links(keyed: DataFrame, counts: DataFrame, attach: Callable[[DataFrame
     pivots = hot.select(F.col("hot").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("h"))
     shard = F.xxhash64("key", "block").alias("shard")
     split_up = own.select(shard, "h").unionByName(pivots.select(shard, "h")).distinct()
-    links = stash(_in_two_steps(_sets(split.where("blocks IS NULL")).unionByName(split_up).select("shard", "h", no_label), attach, near_of, name), f"{name}_links")
+    links = stash(_in_two_steps(_sets(split.where("blocks IS NULL")).unionByName(split_up).select("shard", "h", *plain), attach, near_of, name), f"{name}_links")
     return links.unionByName(_across(own, links, attach, near_of, name))
 
 
@@ -179,21 +183,24 @@ def _in_two_steps(members: DataFrame, attach, near_of, name: str) -> DataFrame:
     early = F.pmod("shard", F.lit(FIRST_PART)) == 0
     links = stash(verified(attach(members.where(early)), near_of), f"{name}_early")
     comp = connected_components(links, f"{name}_early_links").withColumnRenamed("node", "of")
-    rest = members.where(~early).join(comp, F.col("h") == F.col("of"), "left").select("shard", "h", F.coalesce("component", "h").alias("c"))
+    rest = members.where(~early).join(comp, F.col("h") == F.col("of"), "left").select("shard", "h", F.coalesce("component", "h").alias("c"), "guest")
     apart = rest.groupBy(F.col("shard").alias("s")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
     late = stash(rest.join(apart, F.col("shard") == F.col("s"), "left_semi"), f"{name}_late")
     return links.unionByName(verified(attach(late), near_of))
 
 
 def _across(own: DataFrame, links: DataFrame, attach, near_of, name: str) -> DataFrame:
-    """Links between the components that the blocks of a hot key are left in; own (key, block, h, blocks)."""
+    """Links between the components that the blocks of a hot key are left in; own (key, block, h, blocks).
+
+    Members outside the largest one are guests in all blocks; there, a block's own members meet the guests only.
+    """
     comp = connected_components(links, f"{name}_first").withColumnRenamed("node", "of")
     own = stash(own.join(comp, F.col("h") == F.col("of"), "left").select("key", "block", "h", "blocks", F.coalesce("component", "h").alias("c")), f"{name}_labelled")
     sizes = own.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("parts"))
     most = most.where("parts > 1").select(F.col("key").alias("k"), "most")
     left = own.join(most, F.col("key") == F.col("k")).drop("k")
-    rest = left.where("c <> most").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "h", "c")
-    every = left.select("key", "block", "h", "c").unionByName(rest)
-    members = stash(every.select(F.xxhash64("key", "block", F.lit("across")).alias("shard"), "h", "c").distinct(), f"{name}_across")
+    rest = left.where("c <> most").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "h", "c", F.lit(True).alias("guest"))
+    every = left.select("key", "block", "h", "c", F.lit(False).alias("guest")).unionByName(rest)
+    members = stash(every.select(F.xxhash64("key", "block", F.lit("across")).alias("shard"), "h", "c", "guest").distinct(), f"{name}_across")
     return verified(attach(members), near_of)

@@ -54,3 +54,25 @@ def test_two_or_three_common_blocks_find_the_same(spark, monkeypatch):
     from datascout.llm.simhash import blocks_in_common
 
     assert [blocks_in_common(n, 6) for n in (1000, 10**9)] == [2, 3]
+
+
+def test_hot_groups_in_blocks_find_the_same(spark, monkeypatch):
+    """A family of versions of one text, a chain whose ends are unlike, and strangers, with blocks so small that all groups are split."""
+    from datascout.llm import groups
+
+    r, rows = random.Random(3), []
+    base = words(1, 120)
+    for i in range(60):
+        w = list(base)
+        w[r.randrange(120)] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    chain = words(2, 120)
+    for i in range(25):
+        rows.append((100 + i, " ".join(chain[2 * i :] + words(3, 2 * i))))
+    rows += [(200 + i, " ".join(words(50 + i, 80))) for i in range(15)]
+    want, links = brute(rows)
+    docs = documents(spark, rows)
+    for size in (4, 10, 1 << 10):
+        monkeypatch.setattr(groups, "BLOCK", size)
+        got = {(x.doc_id, tuple(x.text.encode().lower().split())) for x in nd.keep_one(docs).collect()}
+        assert got == want
