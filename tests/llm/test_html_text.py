@@ -61,3 +61,56 @@ def test_short_sections_of_the_article_stay():
     assert ht.main_text(plain, ["html/body/div/section"])[0] == want
     one = f"<article><h1>Title</h1>{parts[1]}</article>"
     assert ht.main_text(one, ["html/article/section"])[0] == " ".join(("Title " + "short text " * 14).split())
+
+
+def test_unclosed_elements_lose_nothing():
+    for tag in ("svg", "math", "script", "style", "textarea", "iframe"):
+        assert ht.main_text(f"<p>before it</p><{tag}><path/><p>after it is a long article</p>", [])[0] == "before it after it is a long article", tag
+    assert ht.main_text("<article><p>one</p><svg><p>two</p><svg><path/></svg><p>three</p></article>", [])[0] == "one two three"
+    assert ht.main_text("<p>one</p><!-- open <p>two</p>", [])[0] == "one two"
+    assert ht.main_text("<p>one</p><script>var a = '<p>no</p>';</script><p>two</p><script>b()<p>three</p>", [])[0] == "one two three"
+    assert ht.main_text("<article><p class='byline'>By A</p><div class='tags'>words</div><p>text</p></article><div class='tags'>x y z</div>", [])[0] == "By A words text"
+
+
+def test_long_and_hostile_pages_take_linear_time():
+    import time
+
+    made = ['<x a="', "<div><p>w</p>", "<div>", "<b><p>w", "</i>", "<svg>", "<!--", "<script>", "<a href='", "<ul><li><a href=x>w</a>", "<p>w</div>", "<", "</b", "&amp", "<i><p><b>x</i>"]
+    for part in made:
+        took = []
+        for size in (100_000, 400_000):
+            html = part * (size // len(part))
+            began = time.process_time()
+            ht.main_text(html, [])
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 1.0, (part, took)
+    long = "<article>" + "<p>word and word</p>" * 60_000 + "</article>"
+    assert len(ht.main_text(long, [])[0]) == 14 * 60_000 - 1
+
+
+def test_consensus_against_brute_force(spark):
+    """Paths of most votes on the host, found by counting in plain Python, on pages of many layouts, more than any small number of paths a host."""
+    import random
+    from collections import Counter
+
+    r, rows = random.Random(8), []
+    for i in range(160):
+        host = f"h{i % 3}.example"
+        sizes = [r.randrange(40, 90)] + [r.randrange(1, 5) for _ in range(r.randrange(5))]
+        parts = [f"<div class='k{chr(97 + r.randrange(26))}{chr(97 + r.randrange(2))}'><p>{'some words ' * n}</p></div>" for n in r.sample(sizes, len(sizes))]
+        rows.append((i, f"http://{host}/{i}", f"<body>{''.join(parts)}</body>"))
+    votes, able = Counter(), {}
+    for i, url, html in rows:
+        elements, _ = ht.parse(html)
+        own = ht.best_container(elements)
+        votes[url.split("/")[2], own.path] += 1
+        able[i] = {e.path for e in elements if e.container is e and ht.weight(e) > 0}
+    assert max(Counter(h for h, _ in votes).values()) > 16
+    want = {}
+    for i, url, html in rows:
+        host = url.split("/")[2]
+        paths = sorted((p for p in able[i] if (host, p) in votes), key=lambda p: (-votes[host, p], p))
+        want[i] = ht.main_text(html, paths)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: (x.text, x.path) for x in ht.extract(pages).collect()}
+    assert got == want and len({p for _, p in want.values()}) > 20
