@@ -5,9 +5,10 @@ log importance is the sum of the log ratios of its features.  As many texts are
 best parts the labelled ones, sampled by Gumbel top-k: keys are log importance plus Gumbel noise, and the k largest stay.
 
 Features of each word: the word without case and punctuation, its first bytes (stems), the pair with the word before,
-and the pair of its shape (case, digits, symbols, repeats) with the shape before.  A ratio counts only where the two models differ by
-more than chance, and only against a text: words that are usual in target texts don't make up, by their number, for
-words that never occur there.  Ratios are centred on their mean over target texts, so that length alone has no weight.
+and the pair of its shape (case, digits, symbols, repeats) with the shape before.  The target model is smoothed towards the raw one: a
+feature has its own target probability only where the counts tell it from the raw one, by CHANCE standard deviations and a factor
+of FACTOR, for or against a text alike; else it has the raw probability and weighs nothing.  So a long text isn't decided by many differences
+that the choice of labelled texts makes.  Ratios are centred on their mean over target texts, so that length alone has no weight.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import from_planes, planes
-from .common import hash52, read_table, stash, text_key
+from .common import column, hash52, read_table, stash, text_key
 from .language_model import slices
 from .tokens import as_bytes, hash_words, mix64, word_spans
 
@@ -29,8 +30,8 @@ MAX_LABELLED = 20_000
 #: Hash buckets (a power of two) and shape pairs; lengths of stems in bytes.
 BITS, SHAPES, STEMS = 20, 64, (4, 6)
 FEATURES = (1 << BITS) + SHAPES * SHAPES
-#: Pseudo-count of both models; least difference in standard deviations, and least factor, for a ratio to count.
-SMOOTH, CHANCE, FACTOR = 2.0, 5.0, 4.0
+#: Smoothing: pseudo-count of both models; standard deviations, and factor, up to which the target model takes the raw probability.
+SMOOTH, CHANCE, FACTOR = 2.0, 4.0, 2.0
 #: Ranges of features that are summed up as one row.
 RANGE = 1 << 15
 _U = np.uint64
@@ -101,7 +102,7 @@ def _counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log p_target / p_raw of each feature where it is negative by more than chance and FACTOR, else 0; less the mean over target texts.
+    """log p_target / p_raw of each feature, the target model smoothed towards the raw one; less the mean over target texts.
 
     Hashed words and shape pairs are models of their own.
     """
@@ -110,15 +111,14 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
         r, t = raw[at].astype(float), target[at].astype(float)
         if t.sum():
             due = r * (t.sum() / r.sum())
-            low = due - t > CHANCE * np.sqrt(due + SMOOTH)
             ratio = np.log((t + SMOOTH) / (due + SMOOTH))
-            ratio = np.where(low & (ratio < -np.log(FACTOR)), ratio, 0)
+            ratio = np.where((np.abs(due - t) > CHANCE * np.sqrt(due + SMOOTH)) & (np.abs(ratio) > np.log(FACTOR)), ratio, 0)
             out[at] = ratio - (t * ratio).sum() / t.sum()
     return out
 
 
-def with_scores(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns keep of docs and `log_weight` of `text` (null: as an empty text, 0)."""
+def with_scores(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns keep of docs and `log_weight` of its text (null: as an empty text, 0)."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # FEATURES numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +127,9 @@ def with_scores(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFr
             for i, j in slices(texts):
                 f, doc = features(texts[i:j])
                 out.append(np.bincount(doc, sent.value[f], minlength=j - i))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*keep, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.concatenate([np.zeros(0), *out]))], names=[*keep, "log_weight"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, docs.select(*keep).schema.add("log_weight", "double"))
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, docs.select(*keep).schema.add("log_weight", "double"))
 
 
 def gumbel_key(log_weight: Column, doc_id: Column) -> Column:
@@ -179,21 +179,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame]:
     return log_ratios(*_counted(rows)), known
 
 
+def _least_key(rows: DataFrame, known: DataFrame, doc_id: str = "doc_id") -> int:
+    """The least key that is kept, of scored rows (doc_id, log_weight, key)."""
+    level = best_level(rows.join(F.broadcast(known), F.col(doc_id) == F.col("id")).select("good", "log_weight"))
+    k = rows.where(F.col("log_weight") >= F.lit(level)).count()
+    return kth_largest(rows, "key", k) if k else 1 << 62
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     """Scored rows (doc_id, log_weight, key), the log ratios, and the least key that is kept."""
     weights, known = fit(docs, labels)
     rows = with_scores(docs, weights, ["doc_id"]).withColumn("key", gumbel_key(F.col("log_weight"), F.col("doc_id")))
     rows = stash(rows, "importance")
-    level = best_level(rows.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("good", "log_weight"))
-    k = rows.where(F.col("log_weight") >= F.lit(level)).count()
-    return rows, weights, kth_largest(rows, "key", k) if k else 1 << 62
+    return rows, weights, _least_key(rows, known)
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns; see op3 for special rows."""
-    _, weights, least = judge(docs, labels)
-    names = docs.columns
-    return with_scores(docs, weights, names).where(gumbel_key(F.col("log_weight"), F.col("doc_id")) >= F.lit(least)).select(*names)
+    """The rows of docs that are kept, with all their columns, whatever their names; see op3 for special rows.
+
+    The scored table is written once, so texts are scored once.
+    """
+    weights, known = fit(docs, labels)
+    at = {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    packed = docs.select(*[column(n).alias(c) for n, c in at.items()])
+    rows = with_scores(packed, weights, list(at.values()), at["text"]).withColumn("key", gumbel_key(F.col("log_weight"), F.col(at["doc_id"])))
+    rows = stash(rows, "importance")
+    return rows.where(F.col("key") >= F.lit(_least_key(rows, known, at["doc_id"]))).select(*[F.col(c).alias(n) for n, c in at.items()])
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
