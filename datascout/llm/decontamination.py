@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation (operator 8, native).
 
-Texts become templates: case and punctuation go, and numbers, units after numbers and names (capitalised words inside a
-sentence) become typed slots.  Windows of template words are hash-joined with the benchmark's windows.  Where windows of an
+Texts become templates: case and punctuation go, and numbers (digits and words), units after numbers and names (capitalised words
+inside a sentence) become typed slots.  Windows of template words are hash-joined with the benchmark's windows.  Where windows of an
 item match along one alignment, the slots they cover are compared: a text that is the item with other values gives each
-value of the item one value of its own.  That is a leak, like a plain copy; an alignment that gives one value two is not.
+value of the item one value of its own.  That is a leak; an alignment that gives one value two is not.  Windows of plain words, of which
+none is a slot, are joined as well: so copies in another case, and of items that are slots for the most part, are found too.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ WINDOW, LITERALS, MATCHES = 8, 5, 3
 BROADCAST_WINDOWS = 500_000
 #: Fixed value: measures that count as units after a number.
 UNITS = "mm|cm|m|km|in|ft|yd|mi|mg|g|kg|t|lb|lbs|oz|ml|cl|l|s|sec|min|h|hr|hrs|kb|mb|gb|w|kw|v|a|hz|pm|am|inch|inches|feet|foot|yards?|miles?|met(?:er|re)s?|kilomet(?:er|re)s?|grams?|kilograms?|pounds?|ounces?|lit(?:er|re)s?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
+#: Fixed value: number words that count as numbers.
+NUMBER_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million"
 #: Slots: private-use characters, so that no text word equals one but by intent.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 _SLOTS = f"{NAME}-{UNIT}"
@@ -35,10 +38,16 @@ def template(words: Column) -> Column:
     x = F.regexp_replace(x, r"(?<=[\p{L}\p{N},;:] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME)
     x = F.regexp_replace(x, r"\p{Nd}(?:[\p{Nd}.,:/]*\p{Nd})?", NUMBER)
     x = F.lower(x)
+    x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{M}}])(?:{NUMBER_WORDS})(?![\p{{L}}\p{{M}}])", NUMBER)
     x = F.regexp_replace(x, rf"(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{M}}])", UNIT)
     return F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{N}}{_SLOTS} ]+", "")
 
 
+def plain(words: Column) -> Column:
+    """A spaced text without case and signs, of as many words."""
+    return F.regexp_replace(F.lower(words), r"[^\p{L}\p{M}\p{N} ]+", "")
+
+
 def _words(x: Column) -> Column:
     return F.filter(F.split(x, " "), lambda w: w != "")
 
@@ -67,40 +76,58 @@ def _windows(rows: DataFrame, keys: list[str], size: int, check: bool = False) -
     return rows.select(*keys, F.posexplode(window_hashes(F.col("words"), size, check)).alias("at", "h")).where("h IS NOT NULL")
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, size): items that have a word; size is that of their windows, all words of a shorter item."""
+def item_words(benchmark: DataFrame, of) -> DataFrame:
+    """(item_id, raw, words, size): items that have a word; size is that of their windows, all words of a shorter item.  of: template or plain."""
     t = benchmark.select("item_id", spaced(F.col("text")).alias("raw"))
-    t = t.withColumn("words", _words(template(F.col("raw")))).where("size(words) > 0")
+    t = t.withColumn("words", _words(of(F.col("raw")))).where("size(words) > 0")
     return t.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, rid, item_id, n_windows, n_item_windows, n_slots, n_changed, kind) of each row of docs that holds an item.
+def _found(rows: DataFrame, items: DataFrame, check: bool) -> DataFrame | None:
+    """(doc_id, rid, item_id, offset, n_windows, n_item_windows, size, spots): alignments of rows (doc_id, rid, words) with items.
 
-    rid is a hash of the row's id and text: rows that repeat both give one result, rows that repeat the id only are judged
-    each.  kind: 'copy' (no slot differs) or 'reparameterised'.  Null or empty texts match nothing; nor do items
-    without words, or with slots for all but a few of them.  A null doc_id or item_id stays null in the result.
+    check: windows of an item that hold too many slots count nowhere.  None: there are no items.
     """
-    items = item_windows(benchmark)
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW values
-    rid = F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid")
-    rows = docs.select("doc_id", rid, _words(template(spaced(F.col("text")))).alias("words"))
-    none = docs.sparkSession.createDataFrame([], "doc_id long, rid long, item_id long, offset int, n_windows long, n_item_windows int, size int, spots array<int>")
-    found = [none]
-    for size in sizes:
-        own = items.where(F.col("size") == size)
-        held = _windows(own, ["item_id", "words"], size, check=True).select(F.col("item_id"), F.col("h").alias("ih"), F.col("at").alias("spot"), (F.size("words") - size + 1).alias("n_item_windows"))
+    found = None
+    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):  # at most WINDOW values
+        own = _windows(items.where(F.col("size") == size), ["item_id"], size, check).select("item_id", F.col("h").alias("ih"), F.col("at").alias("spot"))
+        of = own.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).cast("int").alias("n_item_windows"))
+        held = own.join(of, F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
         if held.count() <= BROADCAST_WINDOWS:
             held = F.broadcast(held)
         hits = _windows(rows, ["doc_id", "rid"], size).join(held, F.col("h") == F.col("ih"))
         # equal texts repeat their windows, hence the set of spots; an item's spots are as many as its words at most
         at = hits.groupBy("doc_id", "rid", "item_id", (F.col("at") - F.col("spot")).alias("offset")).agg(F.collect_set("spot").alias("spots"), F.first("n_item_windows").alias("n_item_windows"))
         at = at.withColumn("n_windows", F.size("spots").cast("long")).where(F.col("n_windows") >= F.least(F.lit(MATCHES), F.col("n_item_windows")))
-        found.append(at.select("doc_id", "rid", "item_id", "offset", "n_windows", "n_item_windows", F.lit(size).alias("size"), "spots"))
-    every = found[0]
-    for x in found[1:]:
+        at = at.select("doc_id", "rid", "item_id", "offset", "n_windows", "n_item_windows", F.lit(size).alias("size"), "spots")
+        found = at if found is None else found.unionByName(at)
+    return found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, rid, item_id, n_windows, n_item_windows, n_slots, n_changed, kind) of each row of docs that holds an item.
+
+    rid is a hash of the row's id and text: rows that repeat both give one result, rows that repeat the id only are judged
+    each.  kind: 'copy' (no slot differs; found by its template or by its plain words) or 'reparameterised'.  Null or empty texts match
+    nothing; nor do items without words.  An item of which all windows hold more than 3 slots is found by its plain words only (n_slots
+    is 0 then).  A null doc_id or item_id stays null in the result.
+    """
+    rid = F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid")
+    raw = docs.select("doc_id", rid, spaced(F.col("text")).alias("raw"))
+    results = [docs.sparkSession.createDataFrame([], "doc_id long, rid long, item_id long, n_windows long, n_item_windows int, n_slots int, n_changed int")]
+    by_template, by_words = item_words(benchmark, template), item_words(benchmark, plain)
+    found = _found(raw.select("doc_id", "rid", _words(template(F.col("raw"))).alias("words")), by_template, True)
+    if found is not None:
+        results.append(_consistent(found, docs.select("doc_id", rid, "text"), by_template))
+    found = _found(raw.select("doc_id", "rid", _words(plain(F.col("raw"))).alias("words")), by_words, False)
+    if found is not None:
+        results.append(found.select("doc_id", "rid", "item_id", "n_windows", "n_item_windows", F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed")))
+    every = results[0]
+    for x in results[1:]:
         every = every.unionByName(x)
-    return _consistent(every, docs.select("doc_id", rid, "text"), items)
+    best = F.max_by(F.struct("n_windows", "n_item_windows", "n_slots", "n_changed"), F.struct("n_windows", -F.col("n_changed"), "n_slots", "n_item_windows")).alias("b")
+    x = every.groupBy("doc_id", "rid", "item_id").agg(best).select("doc_id", "rid", "item_id", "b.*")
+    return x.withColumn("kind", F.when(F.col("n_changed") == 0, "copy").otherwise("reparameterised"))
 
 
 def _slots(words: Column, raw: Column) -> Column:
@@ -121,17 +148,13 @@ def _consistent(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
     x = x.withColumn("pairs", F.array_distinct(F.transform(pairs, lambda p: F.struct(p["i"]["value"].alias("i"), p["d"]["value"].alias("d")))))
     one_each = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))
-    x = x.where(one_each).select("doc_id", "rid", "item_id", "n_windows", "n_item_windows", F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
-    best = F.max_by(F.struct("n_windows", "n_item_windows", "n_slots", "n_changed"), F.struct("n_windows", -F.col("n_changed"), "n_slots")).alias("b")
-    x = x.groupBy("doc_id", "rid", "item_id").agg(best).select("doc_id", "rid", "item_id", "b.*")
-    return x.withColumn("kind", F.when(F.col("n_changed") == 0, "copy").otherwise("reparameterised"))
+    return x.where(one_each).select("doc_id", "rid", "item_id", "n_windows", "n_item_windows", F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark item."""
+    """docs without the rows that hold a benchmark item; columns are those of docs, whatever their names."""
     gone = leaks(docs, benchmark).select("rid").distinct()
-    rid = F.xxhash64(F.col("doc_id"), F.col("text"))
-    return docs.join(gone, rid == F.col("rid"), "left_anti")
+    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["rid"], "left_anti")
 
 
 def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

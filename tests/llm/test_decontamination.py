@@ -29,19 +29,80 @@ def test_short_items_and_tables_without_rows(spark):
     assert run(spark, [], [(1, ITEM)]) == [] and run(spark, [(1, ITEM)], []) == []
 
 
-def test_against_brute_force(spark):
-    import re
+def brute(docs, items):
+    """leaks() in plain Python: {(doc_id, item_id): (n_windows, n_item_windows, n_slots, n_changed)} for rows of distinct ids."""
+    import regex
+
+    slot, spaces = regex.compile("[\ue000-\ue002]"), regex.compile(r"[\x20\x09-\x0D]+")
+
+    def raw_of(t):
+        return spaces.sub(" ", t or "").strip(" ").split(" ")
+
+    def template(raw):
+        x = regex.sub("[\ue000-\ue002]", "", " ".join(raw))
+        x = regex.sub(r"(?<=[\p{L}\p{N},;:] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", "\ue000", x)
+        x = regex.sub(r"\p{Nd}(?:[\p{Nd}.,:/]*\p{Nd})?", "\ue001", x).lower()
+        x = regex.sub(rf"(?<![\p{{L}}\p{{M}}])(?:{dc.NUMBER_WORDS})(?![\p{{L}}\p{{M}}])", "\ue001", x)
+        x = regex.sub(rf"(?<=\ue001 ?)(?:{dc.UNITS})(?![\p{{L}}\p{{M}}])", "\ue002", x)
+        return regex.sub(r"[^\p{L}\p{M}\p{N}\ue000-\ue002 ]+", "", x).split(" ")
 
+    def plain(raw):
+        return regex.sub(r"[^\p{L}\p{M}\p{N} ]+", "", " ".join(raw).lower()).split(" ")
+
+    bare = lambda w: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w).lower()
+    both = lambda form, raw: [(w, r) for w, r in zip(form, raw) if w]
+    out = {}
+    sides = []
+    for form, check in ((template, True), (plain, False)):
+        index = {}
+        for item, text in items:
+            words = both(form(raw_of(text)), raw_of(text))
+            size = min(dc.WINDOW, len(words))
+            spots = [k for k in range(len(words) - size + 1) if words and not (check and sum(bool(slot.search(w)) for w, _ in words[k : k + size]) > size - min(dc.LITERALS, size))]
+            for k in spots:
+                index.setdefault((size, tuple(w for w, _ in words[k : k + size])), []).append((item, k, len(spots), words))
+        sides.append((form, check, index, sorted({size for size, _ in index})))
+    for doc, text in docs:
+        for form, check, index, sizes in sides:
+            words = both(form(raw_of(text)), raw_of(text))
+            for size in sizes:
+                hits = {}
+                for k in range(len(words) - size + 1):
+                    for item, spot, n, theirs in index.get((size, tuple(w for w, _ in words[k : k + size])), ()):
+                        hits.setdefault((item, k - spot), (set(), n, theirs))[0].add(spot)
+                for (item, offset), (spots, n, theirs) in hits.items():
+                    if len(spots) < min(dc.MATCHES, n):
+                        continue
+                    pairs = set()
+                    for at in {s + d for s in spots for d in range(size)} if check else ():
+                        (iw, ir), (w, r) = theirs[at], words[at + offset]
+                        if slot.search(iw) and slot.search(w):
+                            pairs.add((bare(ir), bare(r)))
+                    if len(pairs) == len({i for i, _ in pairs}):
+                        changed = sum(i != d for i, d in pairs)
+                        got = (len(spots), -changed, len(pairs), n)
+                        out[doc, item] = max(out.get((doc, item), got), got)
+    return {k: (w, n, s, -c) for k, (w, c, s, n) in out.items()}
+
+
+def test_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
-    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    plain = lambda t: [w for w in (re.sub(r"[^\w]", "", x.lower()) for x in t.split()) if w]
-    items = {r.item_id: " ".join(plain(r.text)) for r in bench.collect()}
-    want = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if f" {t} " in f" {' '.join(plain(r.text or ''))} "}
-    got = {(r.doc_id, r.item_id) for r in dc.op8_template_decontamination(spark, sf).collect()}
-    assert want and want <= got
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items += [(1000, "What is 12 plus 7 times 3 minus 4?"), (1001, "Compute 12 plus 7 times 3"), (1002, ITEM)]
+    docs += [(10_000 + i, t) for i, t in enumerate(["so: what is 12 plus 7 times 3 minus 4", "what is 12 plus 8 times 3 minus 4", "COMPUTE 12 PLUS 7 TIMES 3", OTHER, MIXED, ITEM.upper(), OTHER.lower(), ITEM.replace("120", "nine"), ITEM.replace("3 km", "three miles"), None, ""])]
+    docs += [(20_000 + i, t.lower()) for i, (_, t) in enumerate(items)] + [(30_000 + i, "before it " + " ".join(t.split()[2:-2])) for i, (_, t) in enumerate(items)]
+    path = saved(spark, documents=documents(spark, docs), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    rows = dc.op8_template_decontamination(spark, path).collect()
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_item_windows, r.n_slots, r.n_changed) for r in rows}
+    want = brute(docs, items)
+    assert got == want and len(rows) == len(want) and len({k for k, v in want.items() if v[3]}) >= 2
+    assert all((r.kind == "copy") == (r.n_changed == 0) for r in rows)
+    assert {(10_000, 1000), (10_002, 1001), (10_003, 1002), (10_005, 1002), (10_007, 1002), (10_008, 1002)} <= want.keys() and (10_004, 1002) not in want
+    assert all((20_000 + i, item) in want for i, (item, _) in enumerate(items))
 
 
 def test_pipeline_form_keeps_all_others(spark):
-    docs = documents(spark, [(1, ITEM), (2, "clean text"), (3, None), (None, "clean")])
+    docs = documents(spark, [(1, ITEM), (2, "clean text"), (3, None), (None, "clean")], extra=["rid", "item_id", "`a.b`", "__leak"])
     kept = dc.decontaminate(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["2", "3", "None"]
