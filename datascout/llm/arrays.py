@@ -35,6 +35,13 @@ def write(path: str, bucket: int, **arrays: np.ndarray) -> None:
         os.replace(made, f"{path}/{bucket}.{name}.npy")
 
 
+def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value that occurs, and where: the work grows with the values that occur, not with those that could."""
+    first = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, dtype=np.int64)
+    for s, e in zip(first.tolist(), np.r_[first[1:], len(sorted_values)].tolist()):
+        yield int(sorted_values[s]), slice(s, e)
+
+
 _open: dict[tuple[str, int, str], np.ndarray] = {}
 
 
@@ -51,14 +58,12 @@ def load(path: str, bucket: int, name: str) -> np.ndarray:
 
 def find(path: str, buckets: int, keys: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
     """For sorted keys: (bucket, their slice, which of them are in its array `key`, their places there)."""
-    cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1)).tolist()
-    for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            own, held = keys[cuts[b] : cuts[b + 1]], load(path, b, "key")
-            place = np.searchsorted(held, own)
-            hit = place < len(held)
-            hit[hit] = held[place[hit]] == own[hit]
-            yield b, slice(cuts[b], cuts[b + 1]), hit, place[hit]
+    for b, at in runs(bucket_of(keys, buckets)):
+        own, held = keys[at], load(path, b, "key")
+        place = np.searchsorted(held, own)
+        hit = place < len(held)
+        hit[hit] = held[place[hit]] == own[hit]
+        yield b, at, hit, place[hit]
 
 
 def gather(path: str, buckets: int, keys: np.ndarray, **fill: object) -> dict[str, np.ndarray]:
@@ -118,9 +123,8 @@ class Tally:
         if self.parts:
             keys, counts = add_up(*(np.concatenate(x) for x in zip(*self.parts)))
             self.parts, self.held = [], 0
-            cuts = np.searchsorted(bucket_of(keys, self.buckets), np.arange(self.buckets + 1)).tolist()
-            full = [b for b in range(self.buckets) if cuts[b] < cuts[b + 1]]
-            yield full, [pack_sorted(keys[cuts[b] : cuts[b + 1]]) for b in full], [planes(counts[cuts[b] : cuts[b + 1]]) for b in full]
+            full = list(runs(bucket_of(keys, self.buckets)))
+            yield [b for b, _ in full], [pack_sorted(keys[at]) for _, at in full], [planes(counts[at]) for _, at in full]
 
 
 def merge_counts(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

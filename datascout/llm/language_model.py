@@ -3,12 +3,13 @@
 Spark counts it in two passes over the texts, and tasks write it to the shared folder as sorted hash arrays, which workers
 map into memory to score texts in a third pass.
 
-* Words: hash ranges of words get sorted arrays of word hashes and counts; a word's number is its place in all of them.
+* Words: hash ranges of words get sorted arrays of word hashes and counts; a word's number is its range's first number plus its place.
 * Pairs: tasks count (word number, word number) pairs; a pair's key is a bijection of the two numbers, so keys never
   collide.  Each key range gets a sorted array of keys and counts.
 * Continuations: from the pairs, each word gets how many pairs start with it once, twice and more often, and how many end in it.
 
-Nothing but a few numbers for each range goes through the driver.
+Nothing but a few sums goes through the driver.  Ranges are of bounded size, so there are more of them for a larger corpus; tasks only touch
+those that hold a word or pair of theirs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import read_table, shared_dir
 from .tokens import as_bytes, hash_words, mix64
 
 #: Bytes of text for each range of words or pairs; bytes of text that a task works on at a time.
-RANGE_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
+RANGE_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
 #: Hashes that stand for the end and the start of a text; no word has their first bit pattern but by chance of 2**-64.
 END, START = np.uint64(0x5D1F_0E9A_77C3_2B41), np.uint64(0xA2C4_9B17_03DE_6F85)
 _U = np.uint64
@@ -73,7 +74,7 @@ class Model:
 
     path: str
     buckets: int
-    offsets: list[int]  # of the word ranges
+    stride: int  # numbers that each word range has
     tokens: int
     distinct: int
     pair_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -85,7 +86,7 @@ class Model:
         """Word numbers of sorted hashes; -1: unknown."""
         out = np.full(len(hashes), -1, dtype=np.int64)
         for b, at, hit, place in arrays.find(f"{self.path}/words", self.buckets, hashes):
-            out[at][hit] = self.offsets[b] + place
+            out[at][hit] = self.stride * b + place
         return out
 
 
@@ -150,13 +151,12 @@ def train(texts: DataFrame, buckets: int) -> Model:
         arrays.write(f"{path}/words", b, key=key, n=n)
         return pa.table({"bucket": [b], "size": [len(key)], "total": [int(n.sum())], "starts": [int(n[key == START].sum())]})
 
-    got = _counted(texts, buckets, words_of).groupBy("bucket").applyInArrow(write_words, "bucket long, size long, total long, starts long").collect()
-    sizes = {r.bucket: r.size for r in got}
-    offsets = np.cumsum([0, *(sizes.get(b, 0) for b in range(buckets))]).tolist()
-    if offsets[-1] >= 1 << 32:
+    made = _counted(texts, buckets, words_of).groupBy("bucket").applyInArrow(write_words, "bucket long, size long, total long, starts long")
+    sums = made.agg(F.sum("size"), F.sum("total"), F.sum("starts"), F.max("size")).first()
+    distinct, total, starts, stride = (x or 0 for x in sums)
+    if stride * buckets >= 1 << 32:
         raise ValueError("the model numbers words with 32 bits")
-    starts = sum(r.starts for r in got)
-    first = Model(path, buckets, offsets, sum(r.total for r in got) - starts, offsets[-1] - (starts > 0))
+    first = Model(path, buckets, stride, total - starts, distinct - (starts > 0))
     if not starts:
         return first
 
@@ -175,13 +175,10 @@ def train(texts: DataFrame, buckets: int) -> Model:
         w, ends = arrays.add_up(w.astype(_U), np.ones(len(w), dtype=np.int64))
         out = {"bucket": [], "kind": [], "id": [], **{f"v{k}": [] for k in range(3)}}
         for kind, ids, values in ((0, a, (n1, n2, n3)), (1, w, (ends,))):
-            cuts = np.searchsorted(ids, np.array(offsets, dtype=_U)).tolist()
-            for r in range(buckets):
-                if cuts[r] < cuts[r + 1]:
-                    at = slice(cuts[r], cuts[r + 1])
-                    row = (r, kind, arrays.pack_sorted(ids[at]), *[arrays.planes(v[at].astype(np.uint32)) for v in values], b"", b"")
-                    for x, v in zip(out.values(), row):
-                        x.append(v)
+            for r, at in arrays.runs(ids // _U(stride)):
+                row = (r, kind, arrays.pack_sorted(ids[at]), *[arrays.planes(v[at].astype(np.uint32)) for v in values], b"", b"")
+                for x, v in zip(out.values(), row):
+                    x.append(v)
         f = _freqs(n)
         for k, x in enumerate(out.values()):  # one row more: how many counts are 1, 2, 3 and 4
             x.append([-1, 2, np.array([*f, len(key)], dtype=np.int64).tobytes(), b"", b"", b""][k])
@@ -191,24 +188,24 @@ def train(texts: DataFrame, buckets: int) -> Model:
         b, kinds = table["bucket"][0].as_py(), table["kind"].to_pylist()
         if b < 0:
             sums = np.sum([np.frombuffer(x, dtype=np.int64) for x in table["id"].to_pylist()], axis=0)
-            return pa.table({"bucket": [b], "n": [sums.tolist()]})
+            return pa.table({"pairs": [True], "n": [sums.tolist()]})
         cols = [table[c].to_pylist() for c in ("id", "v0", "v1", "v2")]
-        values = np.zeros((4, sizes.get(b, 0)), dtype=np.int64)
+        values = np.zeros((4, len(arrays.load(f"{path}/words", b, "key"))), dtype=np.int64)
         for kind, i, *v in zip(kinds, *cols):
-            at = (arrays.unpack_sorted(i) - _U(offsets[b])).astype(np.int64)  # places are distinct within a row
+            at = (arrays.unpack_sorted(i) - _U(stride * b)).astype(np.int64)  # places are distinct within a row
             for k, x in enumerate(v[: 1 if kind else 3]):
                 values[3 if kind else k][at] += arrays.from_planes(x, np.uint32)
         arrays.write(f"{path}/words", b, n1=values[0], n2=values[1], n3=values[2], ends=values[3])
-        return pa.table({"bucket": [b], "n": [[*_freqs(values[3]), int((values[3] > 2).sum())]]})
+        return pa.table({"pairs": [False], "n": [[*_freqs(values[3]), int((values[3] > 2).sum())]]})
 
     kinds = "bucket long, kind long, id binary, v0 binary, v1 binary, v2 binary"
     pairs = _counted(texts, buckets, pairs_of).groupBy("bucket").applyInArrow(write_pairs, kinds)
-    got = pairs.groupBy("bucket").applyInArrow(write_rest, "bucket long, n array<long>").collect()
-    of_pairs = next(r.n for r in got if r.bucket < 0)
-    of_words = np.sum([r.n for r in got if r.bucket >= 0], axis=0).tolist()
+    made = pairs.groupBy("bucket").applyInArrow(write_rest, "pairs boolean, n array<long>")
+    sums = made.groupBy("pairs").agg(*[F.sum(F.get("n", F.lit(k))).alias(f"n{k}") for k in range(5)]).collect()  # two rows
+    of_pairs, of_words = ([next((r[f"n{k}"] for r in sums if r.pairs == p), 0) for k in range(5)] for p in (True, False))
     d2, d1, total = discounts(of_pairs[:4]), discounts(of_words[:4]), of_pairs[4]
     gamma = (d1[0] * of_words[0] + d1[1] * of_words[1] + d1[2] * of_words[4]) / total
-    return Model(path, buckets, offsets, first.tokens, first.distinct, d2, d1, total, gamma)
+    return Model(path, buckets, stride, first.tokens, first.distinct, d2, d1, total, gamma)
 
 
 def score_texts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
