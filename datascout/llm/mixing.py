@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_SQL, bucket_count, hash52, hash52_sql, range_bucket, read_table, stash, text_key, word_count
+from .common import WORD, WORD_SQL, bucket_count, column, hash52, hash52_sql, range_bucket, read_table, stash, text_key, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -78,7 +78,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents.
 
     Null text has no words and is never taken; a null source is one source, the last; rows that repeat a doc_id are
-    rows of their own (ties go by size).  An empty table gives an empty mix.
+    rows of their own (ties go by size; rows of one id and size are alike here).  An empty table gives an empty mix.
     """
     docs = read_table(spark, sf_dir, "documents")
     narrow = stash(_narrow(docs, [], bucket_count(docs.count())), "mix_rows")
@@ -88,19 +88,21 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the rows of docs, one for each epoch that takes words of it.
 
-    A row that the budget ends in keeps its first words, as many as the budget has left, joined by one space; all others
-    keep their text as it is.  n_chars follows a cut text if there is such a column.  Columns are those of docs.
+    Rows that share id and word count come in the order of a hash of their text, so the mix is the same in any order of input.  A row that the budget ends in keeps its first words, as many as the budget has left, joined by one space; all others
+    keep their text as it is.  n_chars follows a cut text if there is such a column.  Columns are those of docs, whatever their names.
     """
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    got = take(_narrow(docs, [row], bucket_count(docs.count())), F.col("size")).where("taken > 0")
+    row = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    at = {c: F.col(f"row.c{i}") for i, c in enumerate(docs.columns)}
+    needed = docs.select(row, *[F.col(c) for c in ("doc_id", "source", "text")])
+    got = take(_narrow(needed, [F.col("row"), F.xxhash64("text").alias("tie")], bucket_count(docs.count())), F.col("size"), F.col("tie")).where("taken > 0")
     epochs = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
     epoch = F.explode(F.sequence(F.lit(1).cast("long"), epochs))
-    text = F.col("row.text")
+    text = at["text"]
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
     cut = (F.col("epoch") > F.col("whole")) & (F.col("part") < F.col("size"))
     made = got.withColumn("epoch", epoch).withColumn("cut", F.when(cut, first))
-    new = {"text": F.coalesce("cut", text), "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return made.select(*[new.get(c, F.col(f"row.{c}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    new = {"text": F.coalesce("cut", text), "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut")).otherwise(at["n_chars"]) if "n_chars" in docs.columns else None}
+    return made.select(*[new.get(c, at[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 OP1_SQL = f"""

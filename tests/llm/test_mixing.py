@@ -75,3 +75,14 @@ def test_empty_tables(spark):
     assert mixing.op1_mix_sources(spark, saved(spark, documents=documents(spark, []))).collect() == []
     assert mixing.mix_documents(documents(spark, [])).collect() == []
     assert [g.taken for g in mixing.op1_mix_sources(spark, saved(spark, documents=documents(spark, [(1, None), (2, "")]))).collect()] == [0, 0]
+
+
+def test_mix_is_the_same_in_any_order_of_rows(spark):
+    rows = [(1, f"word{k} " * 5, "en", f"s{k % 2}") for k in range(20)] + [(2, "a b c", "en", "s0")]
+    made = set()
+    for k in (0, 7, 13):
+        docs = documents(spark, rows[k:] + rows[:k], extra=["`x.y`", "row", "tie"]).repartition(3)
+        got = mixing.mix_documents(docs)
+        assert got.columns == docs.columns
+        made.add(str(sorted(map(str, got.collect()))))
+    assert len(made) == 1

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from datascout.llm import importance, mixing, sharding
+from tests.llm.helpers import documents, saved
 from tests.llm.test_near_duplicates import brute
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,15 @@ def test_stages_and_run(spark):
     assert all(r.shard == shards[r.doc_id] for r in kept["shard"]) and len(kept["shard"]) == len(kept["mix_sources"])
     run = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(str, run)) == sorted(map(str, kept["shard"]))
+
+
+def test_special_rows_and_clashing_columns_go_through(spark):
+    long = " ".join(f"w{i * 7 % 1009}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (None, "no id here at all"), (4, long), (5, long + " more"), (6, "A"), (7, None), (None, None)]
+    docs = documents(spark, rows, extra=["rid", "key", "log_weight", "__text", "row", "shard_of", "`a.b`", "h", "c0", "taken"])
+    labels = spark.createDataFrame([(3, 1, 0), (6, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "A"), (None, None)], "item_id long, text string")
+    got = corpus_pipeline.run(spark, saved(spark, documents=docs, labels=labels, benchmark=bench))
+    assert got.columns == [*docs.columns, "shard", "grown_shard"]
+    assert {r.doc_id for r in got.collect()} <= {3, 4, 5, None} and got.where("doc_id = 4 OR doc_id = 5").select("doc_id").distinct().count() <= 1
+    assert corpus_pipeline.run(spark, saved(spark, documents=docs.limit(0), labels=labels.limit(0), benchmark=bench.limit(0))).collect() == []
