@@ -26,8 +26,9 @@ def connected_components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, component) for every node of links (a, b): component is the smallest node reachable.
 
     Rounds go on until the links no longer change; then each node links to its component's smallest node.  Links are
-    grouped by node with a minimum, which is pre-aggregated before the shuffle, so that a node with very many links is
-    no bottleneck; each round is written to the shared folder, which cuts the lineage.  No links: no rows.
+    grouped by node with a minimum, which is pre-aggregated before the shuffle; then they meet their node's one row in an inner
+    join, in which Spark splits a node with very many links (adaptive skew join).  Each round is written to the shared folder,
+    which cuts the lineage.  No links: no rows.
     """
     sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
     e = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}_0")

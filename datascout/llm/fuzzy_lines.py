@@ -242,24 +242,20 @@ def _attach(docs: DataFrame, of_rows: DataFrame, how: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(shard, h, c, guest, payload) for wanted (rid, line, shard, h, c, guest): payload is the normalised line."""
-    each = wanted.groupBy("rid").agg(F.collect_list(F.struct("line", "shard", "h", "c", "guest")).alias("want"))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+    """(h, payload) for wanted (rid, line, h), a row each: payload is the normalised line."""
+    each = wanted.groupBy("rid").agg(F.collect_list(F.struct("line", "h")).alias("want"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            hs, lines = [], []
             for text, want in zip(as_bytes(batch.column("text")), batch.column("want").to_pylist()):
-                lines, made = text.split(b"\n"), {}
+                own = text.split(b"\n")
                 for w in want:
-                    k = w["line"]
-                    if k not in made:
-                        made[k] = normalised(lines[k]).decode()
-                    out.append((w["shard"], w["h"], w["c"], w["guest"], made[k]))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, kinds)], names=["shard", "h", "c", "guest", "payload"])
+                    hs.append(w["h"])
+                    lines.append(normalised(own[w["line"]]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(lines, pa.string())], names=["h", "payload"])
 
-    return _attach(docs.select("rid", "text"), each, "inner").mapInArrow(run, "shard long, h long, c long, guest boolean, payload string")
+    return _attach(docs.select("rid", "text"), each, "inner").mapInArrow(run, "h long, payload string").dropDuplicates(["h"])
 
 
 def rid(docs: DataFrame) -> Column:
@@ -274,7 +270,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def attach(members: DataFrame) -> DataFrame:
         own = members.join(reps.select(F.col("h").alias("k"), "first"), F.col("h") == F.col("k"))
-        return _texts(docs, own.select("first.rid", "first.line", "shard", "h", "c", "guest"))
+        return _texts(docs, own.select("first.rid", "first.line", "h"))
 
     prints = lines.where("prints IS NOT NULL").select("h", "prints")
     links = group_links(spread(prints), crowded(prints), attach, near_lines, "fuzzy")

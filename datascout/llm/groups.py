@@ -133,8 +133,8 @@ def join_pairs(h: np.ndarray, label: np.ndarray, near: Callable[[int, np.ndarray
     return a, b
 
 
-def verified(members: DataFrame, near_of: Callable[[list], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
-    """(a, b): links of members (shard, h, c, guest, payload).  near_of(payloads of a group), guest: see join_pairs(); c: component known, or null."""
+def verified(members: DataFrame, texts: DataFrame, near_of: Callable[[list], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
+    """(a, b): links of members (shard, h, c, guest) by texts (h, payload).  near_of(payloads of a group), guest: see join_pairs(); c: component known, or null."""
 
     def work(t: pa.Table):
         shard, h = t["shard"].to_numpy(), t["h"].to_numpy()
@@ -149,20 +149,22 @@ def verified(members: DataFrame, near_of: Callable[[list], Callable[[int, np.nda
         return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
     run = by_shard(("shard", "h", "c", "guest", "payload"), work, ("a", "b"))
-    return members.repartition("shard").sortWithinPartitions("shard", "h").mapInArrow(run, "a long, b long")
+    rows = members.join(texts.withColumnRenamed("h", "of"), F.col("h") == F.col("of")).drop("of")
+    return rows.repartition("shard").sortWithinPartitions("shard", "h").mapInArrow(run, "a long, b long")
 
 
 def group_links(keyed: DataFrame, counts: DataFrame, attach: Callable[[DataFrame], DataFrame], near_of, name: str) -> DataFrame:
     """(a, b): links that connect all similar members of a key.
 
     keyed (key, h); counts (key, n, pivot): how many members parts of the rows hold, where there are several, and one of them.
-    attach: adds `payload` to rows (shard, h, c, guest).
+    attach: (h, payload), a row each, for rows (h) of which each occurs once; called once, for all that have a partner.
     """
     many = counts.groupBy("key").agg(F.sum("n").alias("n"), F.min("pivot").alias("pivot")).where(F.col("n") > BLOCK)
     hot = stash(many.select(F.col("key").alias("hot"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"), "pivot"), f"{name}_hot")
     plain = (F.lit(None).cast("long").alias("c"), F.lit(False).alias("guest"))
     if not hot.count():
-        return _in_two_steps(_sets(keyed).select("shard", "h", *plain), attach, near_of, name)
+        members, texts = _with_texts(_sets(keyed).select("shard", "h", *plain), attach, name)
+        return _in_two_steps(members, texts, near_of, name)
     split = keyed.select("key", "h").join(hot, F.col("key") == F.col("hot"), "left")
     block = F.pmod(F.xxhash64("h"), F.col("blocks"))
     own = split.where("blocks IS NOT NULL").select("key", block.alias("block"), "h", "blocks").distinct()
@@ -170,26 +172,32 @@ def group_links(keyed: DataFrame, counts: DataFrame, attach: Callable[[DataFrame
     pivots = hot.select(F.col("hot").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("h"))
     shard = F.xxhash64("key", "block").alias("shard")
     split_up = own.select(shard, "h").unionByName(pivots.select(shard, "h")).distinct()
-    links = stash(_in_two_steps(_sets(split.where("blocks IS NULL")).unionByName(split_up).select("shard", "h", *plain), attach, near_of, name), f"{name}_links")
-    return links.unionByName(_across(own, links, attach, near_of, name))
+    members, texts = _with_texts(_sets(split.where("blocks IS NULL")).unionByName(split_up).select("shard", "h", *plain), attach, name)
+    links = stash(_in_two_steps(members, texts, near_of, name), f"{name}_links")
+    return links.unionByName(_across(own, links, texts, near_of, name))
 
 
-def _in_two_steps(members: DataFrame, attach, near_of, name: str) -> DataFrame:
+def _with_texts(members: DataFrame, attach, name: str) -> tuple[DataFrame, DataFrame]:
+    """members, written, and the payloads (h, payload) of all of them."""
+    members = stash(members, f"{name}_members")
+    return members, stash(attach(members.select("h").distinct()), f"{name}_texts")
+
+
+def _in_two_steps(members: DataFrame, texts: DataFrame, near_of, name: str) -> DataFrame:
     """Links of members (shard, h, c): first of a part of the groups, then of those that these links don't connect already.
 
     Texts that are alike share many groups, so most groups of the second step need no comparison, and no text.
     """
-    members = stash(members, f"{name}_members")
     early = F.pmod("shard", F.lit(FIRST_PART)) == 0
-    links = stash(verified(attach(members.where(early)), near_of), f"{name}_early")
+    links = stash(verified(members.where(early), texts, near_of), f"{name}_early")
     comp = connected_components(links, f"{name}_early_links").withColumnRenamed("node", "of")
     rest = members.where(~early).join(comp, F.col("h") == F.col("of"), "left").select("shard", "h", F.coalesce("component", "h").alias("c"), "guest")
     apart = rest.groupBy(F.col("shard").alias("s")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
     late = stash(rest.join(apart, F.col("shard") == F.col("s"), "left_semi"), f"{name}_late")
-    return links.unionByName(verified(attach(late), near_of))
+    return links.unionByName(verified(late, texts, near_of))
 
 
-def _across(own: DataFrame, links: DataFrame, attach, near_of, name: str) -> DataFrame:
+def _across(own: DataFrame, links: DataFrame, texts: DataFrame, near_of, name: str) -> DataFrame:
     """Links between the components that the blocks of a hot key are left in; own (key, block, h, blocks).
 
     Members outside the largest one are guests in all blocks; there, a block's own members meet the guests only.
@@ -203,4 +211,4 @@ def _across(own: DataFrame, links: DataFrame, attach, near_of, name: str) -> Dat
     rest = left.where("c <> most").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "h", "c", F.lit(True).alias("guest"))
     every = left.select("key", "block", "h", "c", F.lit(False).alias("guest")).unionByName(rest)
     members = stash(every.select(F.xxhash64("key", "block", F.lit("across")).alias("shard"), "h", "c", "guest").distinct(), f"{name}_across")
-    return verified(attach(members), near_of)
+    return verified(members, texts, near_of)

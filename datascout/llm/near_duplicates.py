@@ -159,22 +159,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id").alias("first")
     reps = stash(rows.groupBy("h").agg(F.min(order).alias("first"), F.first("fp").alias("fp")), "near_reps")
     agree = blocks_in_common(reps.count(), RADIUS)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.large_binary())
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, own = [], as_bytes(b.column("text"))
+            own = as_bytes(b.column("text"))
             keys = np.concatenate([text_keys(own[i:j]) for i, j in slices(own)]).view(np.int64).tolist() if own else []
-            for text, key, want in zip(own, keys, b.column("want").to_pylist()):
-                out += [(w["shard"], w["h"], w["c"], w["guest"], text) for w in want if w["h"] == key]
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["shard", "h", "c", "guest", "payload"])
+            out = [(key, text) for text, key, want in zip(own, keys, b.column("want").to_pylist()) if key in want]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out], pa.large_binary())], names=["h", "payload"])
 
     def attach(members: DataFrame) -> DataFrame:
         own = members.join(reps.select(F.col("h").alias("k"), "first"), F.col("h") == F.col("k"))
-        want = own.groupBy(F.col("first.doc_id").alias("of")).agg(F.collect_list(F.struct("shard", "h", "c", "guest")).alias("want"))
+        want = own.groupBy(F.col("first.doc_id").alias("of")).agg(F.collect_list("h").alias("want"))
         near = docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("of")))
-        return near.select("text", "want").mapInArrow(texts, "shard long, h long, c long, guest boolean, payload binary").dropDuplicates(["shard", "h", "guest"])
+        return near.select("text", "want").mapInArrow(texts, "h long, payload binary").dropDuplicates(["h"])
 
     prints = rows.where("prints IS NOT NULL").select("h", "prints")
     bags = stash(bag_groups(reps.select("h", "fp"), agree), "near_bags")
