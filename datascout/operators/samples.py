@@ -39,7 +39,6 @@ def find_sample(profile: object) -> tuple[list | None, str | None]:
     return None, None
 
 
-@F.udf(returnType="struct<rows:array<map<string,string>>,text:string>")
 def _located(profile: str | None):
     try:
         rows, text = find_sample(json.loads(profile)) if profile else (None, None)
@@ -53,7 +52,7 @@ def located(profile: Column) -> Column:
 
     Null, and a text that is no JSON: null.  A profile is one small document, so a row's search is a plain Python helper.
     """
-    return _located(profile)
+    return F.udf(_located, "struct<rows:array<map<string,string>>,text:string>")(profile)
 
 
 def headers(rows: DataFrame) -> DataFrame:

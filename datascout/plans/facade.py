@@ -17,7 +17,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     lines = F.split("text", "\n")
     title = F.get(lines, F.lit(0))
-    odd, even = (F.array_join(F.filter(lines, lambda x, i, k=k: i % 2 == k), "\n") for k in (0, 1))
+    odd = F.array_join(F.filter(lines, lambda x, i: i % 2 == 0), "\n")
+    even = F.array_join(F.filter(lines, lambda x, i: i % 2 == 1), "\n")
     start = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))
     lon, lat = ((F.col("doc_id") * 37) % 358 - 180).cast("double"), ((F.col("doc_id") * 17) % 178 - 90).cast("double")
     types = F.array_compact(F.array("lang", F.when(F.col("n_chars") > 1000, F.lit("long")), F.when(F.col("doc_id") % 3 == 0, F.lit("spatial"))))

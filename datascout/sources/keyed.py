@@ -21,7 +21,7 @@ def _bucket(key: str) -> Column:
 
 def _versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All rows of all versions, with version and bucket; none if there is no such folder."""
-    whole = T.StructType([*schema, T.StructField("version", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    whole = T.StructType([*schema, T.StructField("table_version", T.IntegerType()), T.StructField("table_bucket", T.IntegerType())])
     try:
         return spark.read.schema(whole).parquet(path)
     except AnalysisException as e:
@@ -32,20 +32,20 @@ def _versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 def newest(spark: SparkSession, path: str) -> int:
     """Number of the newest version; -1 if there is none."""
-    got = _versions(spark, path, T.StructType()).agg(F.max("version")).first()[0]
+    got = _versions(spark, path, T.StructType()).agg(F.max("table_version")).first()[0]
     return -1 if got is None else got
 
 
 def _current(spark: SparkSession, path: str, schema: T.StructType, before: int | None) -> DataFrame:
     rows = _versions(spark, path, schema)
-    rows = rows if before is None else rows.where(F.col("version") < before)
-    last = rows.groupBy(F.col("bucket").alias("b")).agg(F.max("version").alias("v"))  # BUCKETS rows at most
-    return rows.join(F.broadcast(last), (F.col("bucket") == F.col("b")) & (F.col("version") == F.col("v")), "left_semi").drop("version")
+    rows = rows if before is None else rows.where(F.col("table_version") < before)
+    last = rows.groupBy(F.col("table_bucket").alias("__b")).agg(F.max("table_version").alias("__v"))  # BUCKETS rows at most
+    return rows.join(F.broadcast(last), (F.col("table_bucket") == F.col("__b")) & (F.col("table_version") == F.col("__v")), "left_semi").drop("table_version")
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
     """The table, or as it was before a version."""
-    return _current(spark, path, schema, before).drop("bucket")
+    return _current(spark, path, schema, before).drop("table_bucket")
 
 
 def put(spark: SparkSession, path: str, rows: DataFrame, key: str, seq: str, schema: T.StructType, version: int) -> None:
@@ -53,7 +53,7 @@ def put(spark: SparkSession, path: str, rows: DataFrame, key: str, seq: str, sch
     from ..operators.catalog import upsert
 
     rows = rows.select(*schema.fieldNames())
-    touched = rows.select(_bucket(key).alias("b")).distinct()  # BUCKETS rows at most
-    old = _current(spark, path, schema, version).join(F.broadcast(touched), F.col("bucket") == F.col("b"), "left_semi").drop("bucket")
-    made = upsert(old, rows, key, seq).withColumn("bucket", _bucket(key))
-    made.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
+    touched = rows.select(_bucket(key).alias("__b")).distinct()  # BUCKETS rows at most
+    old = _current(spark, path, schema, version).join(F.broadcast(touched), F.col("table_bucket") == F.col("__b"), "left_semi").drop("table_bucket")
+    made = upsert(old, rows, key, seq).withColumn("table_bucket", _bucket(key))
+    made.write.mode("overwrite").partitionBy("table_bucket").parquet(f"{path}/table_version={version}")

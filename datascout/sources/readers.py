@@ -24,8 +24,8 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV table with a header; bad cells become null, typed by the schema or by its values."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    """A CSV table with a header, quotes doubled inside quotes; bad cells become null, typed by the schema or by its values."""
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
