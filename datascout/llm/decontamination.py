@@ -48,43 +48,37 @@ def plain(words: Column) -> Column:
     return F.regexp_replace(F.lower(words), r"[^\p{L}\p{M}\p{N} ]+", "")
 
 
-def _words(x: Column) -> Column:
-    return F.filter(F.split(x, " "), lambda w: w != "")
+def joined(x: Column) -> Column:
+    """The words of a template or plain text that aren't empty, one space between them."""
+    return F.trim(F.regexp_replace(x, " +", " "))
 
 
 def _is_slot(w: Column) -> Column:
     return w.rlike(f"[{_SLOTS}]")
 
 
-def window_hashes(words: Column, size: int, check: bool = False) -> Column:
-    """Hash of each window of `size` words; no windows: empty.  check: null for those with too few words that are no slots.
+def _windows(rows: DataFrame, keys: list[str], size: int, check: bool = False) -> DataFrame:
+    """(keys, at, h): place and hash of each window of `size` words of rows (keys, line).  check: without those that hold too many slots.
 
-    Equal windows have equally many slots, so it is enough to check one side of a join.
+    One pass of a regular expression finds all windows, which overlap, by looking ahead from each word.  Equal windows have equally
+    many slots, so it is enough to check one side of a join.
     """
-    many = min(LITERALS, size)
-    at = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-
-    def one(i: Column) -> Column:
-        window = F.slice(words, i, size)
-        return F.when(F.size(F.filter(window, _is_slot)) <= size - many, F.xxhash64(window)) if check else F.xxhash64(window)
-
-    return F.transform(at, one)
-
-
-def _windows(rows: DataFrame, keys: list[str], size: int, check: bool = False) -> DataFrame:
-    """(keys, at, h): the windows of rows (keys, words)."""
-    return rows.select(*keys, F.posexplode(window_hashes(F.col("words"), size, check)).alias("at", "h")).where("h IS NOT NULL")
+    found = rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{size - 1}}}+))[^ ]++"
+    each = rows.select(*keys, F.posexplode(F.regexp_extract_all("line", F.lit(found), F.lit(1))).alias("at", "w"))
+    if check:
+        each = each.where(F.regexp_count("w", F.lit(rf"[^ ]*[{_SLOTS}][^ ]*")) <= size - min(LITERALS, size))
+    return each.select(*keys, "at", F.xxhash64("w").alias("h"))
 
 
 def item_words(benchmark: DataFrame, of) -> DataFrame:
-    """(item_id, raw, words, size): items that have a word; size is that of their windows, all words of a shorter item.  of: template or plain."""
+    """(item_id, raw, line, size): items that have a word; size is that of their windows, all words of a shorter item.  of: template or plain."""
     t = benchmark.select("item_id", spaced(F.col("text")).alias("raw"))
-    t = t.withColumn("words", _words(of(F.col("raw")))).where("size(words) > 0")
-    return t.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
+    t = t.withColumn("line", joined(of(F.col("raw")))).where("line <> ''")
+    return t.withColumn("size", F.least(F.lit(WINDOW), F.size(F.split("line", " "))))
 
 
 def _found(rows: DataFrame, items: DataFrame, check: bool) -> DataFrame | None:
-    """(doc_id, rid, item_id, offset, n_windows, n_item_windows, size, spots): alignments of rows (doc_id, rid, words) with items.
+    """(doc_id, rid, item_id, offset, n_windows, n_item_windows, size, spots): alignments of rows (doc_id, rid, line) with items.
 
     check: windows of an item that hold too many slots count nowhere.  None: there are no items.
     """
@@ -116,10 +110,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     raw = docs.select("doc_id", rid, spaced(F.col("text")).alias("raw"))
     results = [docs.sparkSession.createDataFrame([], "doc_id long, rid long, item_id long, n_windows long, n_item_windows int, n_slots int, n_changed int")]
     by_template, by_words = item_words(benchmark, template), item_words(benchmark, plain)
-    found = _found(raw.select("doc_id", "rid", _words(template(F.col("raw"))).alias("words")), by_template, True)
+    found = _found(raw.select("doc_id", "rid", joined(template(F.col("raw"))).alias("line")), by_template, True)
     if found is not None:
         results.append(_consistent(found, docs.select("doc_id", rid, "text"), by_template))
-    found = _found(raw.select("doc_id", "rid", _words(plain(F.col("raw"))).alias("words")), by_words, False)
+    found = _found(raw.select("doc_id", "rid", joined(plain(F.col("raw"))).alias("line")), by_words, False)
     if found is not None:
         results.append(found.select("doc_id", "rid", "item_id", "n_windows", "n_item_windows", F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed")))
     every = results[0]
@@ -140,7 +134,7 @@ def _consistent(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
     texts = docs.join(found.select(F.col("rid").alias("need")).distinct(), F.col("rid") == F.col("need"), "left_semi").dropDuplicates(["rid"])
     raw = spaced(F.col("text"))
     texts = texts.select(F.col("rid").alias("of"), _slots(template(raw), raw).alias("mine"))
-    theirs = items.select(F.col("item_id").alias("for"), F.struct(F.col("words"), _slots(template(F.col("raw")), F.col("raw")).alias("theirs")).alias("item")).groupBy("for").agg(F.first("item").alias("item"))
+    theirs = items.select(F.col("item_id").alias("for"), F.struct(_slots(template(F.col("raw")), F.col("raw")).alias("theirs")).alias("item")).groupBy("for").agg(F.first("item").alias("item"))
     x = found.join(texts, F.col("rid") == F.col("of")).join(theirs, F.col("item_id").eqNullSafe(F.col("for")))
     spots = F.array_sort(F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s, s + F.col("size") - 1)))))
     pairs = F.transform(spots, lambda s: F.struct(F.get(F.col("item.theirs"), s).alias("i"), F.get(F.col("mine"), s + F.col("offset")).alias("d")))
