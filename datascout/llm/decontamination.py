@@ -35,11 +35,12 @@ def spaced(text: Column) -> Column:
 def template(words: Column) -> Column:
     """Template of a spaced text: as many words (some may become empty), so that places correspond."""
     x = F.regexp_replace(words, f"[{_SLOTS}]", "")
-    x = F.regexp_replace(x, r"(?<=[\p{L}\p{N},;:] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME)
+    # a cheap test comes first in each pattern, since it is tried at every place of the text
+    x = F.regexp_replace(x, r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", NAME)
     x = F.regexp_replace(x, r"\p{Nd}(?:[\p{Nd}.,:/]*\p{Nd})?", NUMBER)
     x = F.lower(x)
-    x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{M}}])(?:{NUMBER_WORDS})(?![\p{{L}}\p{{M}}])", NUMBER)
-    x = F.regexp_replace(x, rf"(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{M}}])", UNIT)
+    x = F.regexp_replace(x, rf"(?=[efhmnst])(?<![\p{{L}}\p{{M}}])(?:{NUMBER_WORDS})(?![\p{{L}}\p{{M}}])", NUMBER)
+    x = F.when(F.contains(x, F.lit(NUMBER)), F.regexp_replace(x, rf"(?=[a-z])(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{M}}])", UNIT)).otherwise(x)
     return F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{N}}{_SLOTS} ]+", "")
 
 

@@ -72,7 +72,7 @@ def test_hot_groups_in_blocks_find_the_same(spark, monkeypatch):
     rows += [(200 + i, " ".join(words(50 + i, 80))) for i in range(15)]
     want, links = brute(rows)
     docs = documents(spark, rows)
-    for size in (4, 10, 1 << 10):
+    for size in (6, 1 << 10):
         monkeypatch.setattr(groups, "BLOCK", size)
         got = {(x.doc_id, tuple(x.text.encode().lower().split())) for x in nd.keep_one(docs).collect()}
         assert got == want
