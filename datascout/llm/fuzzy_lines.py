@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .blocks import block_prints
 from .common import read_table, stash
 from .components import connected_components
-from .groups import crowded, group_links, spread
+from .groups import group_links
 from .language_model import slices
 from .tokens import as_bytes, words_of
 
@@ -41,6 +41,7 @@ LONGEST, LEAN = 12, 2.0
 #: Bytes of a tiny word; other words that are enough for a line to be known by them alone.
 TINY, ENOUGH = 3, 8
 _PLAIN = bytes(48 if 48 <= x < 58 else 32 if x < 128 and not chr(x).isalnum() else ord(chr(x).lower()) if x < 128 else x for x in range(256))
+_LINES = _PLAIN[:10] + b"\n" + _PLAIN[11:]
 _EASE = (np.maximum(np.arange(LONGEST + 1), 1.0) ** -LEAN).astype(np.float32)
 
 
@@ -213,8 +214,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
             for i, j in slices(texts):
                 row, line, norm = [], [], []
                 for r in range(i, j):
-                    for k, x in enumerate(texts[r].split(b"\n")):
-                        x = normalised(x)
+                    for k, x in enumerate(texts[r].translate(_LINES).split(b"\n")):
+                        x = b" ".join(x.split())
                         if x:
                             row.append(r)
                             line.append(k)
@@ -273,7 +274,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         return _texts(docs, own.select("first.rid", "first.line", "h"))
 
     prints = lines.where("prints IS NOT NULL").select("h", "prints")
-    links = group_links(spread(prints), crowded(prints), attach, near_lines, "fuzzy")
+    links = group_links(prints, attach, near_lines, "fuzzy")
     groups = connected_components(links, "fuzzy_links").withColumnRenamed("node", "k")
     of = reps.join(groups, F.col("h") == F.col("k"), "left").where("n > 1 OR component IS NOT NULL").select("h", "first", F.coalesce("component", "h").alias("c"))
     least = of.groupBy("c").agg(F.min("first").alias("keep")).withColumnRenamed("c", "k")

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bucket_of, runs
 from .common import stash
 from .components import connected_components
 from .tokens import mix64
@@ -27,6 +28,8 @@ from .tokens import mix64
 BLOCK = 1024
 #: One group in so many is compared first.
 FIRST_PART = 4
+#: Keys of a range that is looked at in one group.
+PACKED_ROWS = 1 << 20
 #: Rows of keys whose repeats are counted together, to tell hot keys.
 SPREAD_ROWS = 1_500_000
 
@@ -98,21 +101,55 @@ def crowded(prints: DataFrame) -> DataFrame:
     return prints.select("h", "prints").mapInArrow(run, "key long, n long, pivot long")
 
 
+def _named(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, h) of the keys that several members have, each named by the hash of its set of members; keys are in runs."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.r_[first, len(key)])
+    key, h = (x[np.repeat(n > 1, n)] for x in (key, h))
+    order = np.lexsort((h, key))
+    key, h = key[order], h[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])] if len(key) else np.zeros(0, dtype=bool)
+    key, h = key[new], h[new]  # parts of the rows may hold the same member
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.r_[first, len(key)])
+    of = mix64(np.add.reduceat(mix64(h.view(np.uint64)), first) + n.astype(np.uint64)).view(np.int64) if len(first) else first
+    several = np.repeat(n > 1, n)
+    return np.repeat(of, n)[several], h[several]
+
+
 def _sets(keyed: DataFrame) -> DataFrame:
-    """(shard, h): the members of each key that has several, named by the hash of their set."""
+    """(shard, h): the members of each key of keyed (key, h) that has several, named by the hash of their set."""
 
     def work(t: pa.Table):
-        key, h = t["shard"].to_numpy(), t["h"].to_numpy()
-        new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]  # rows are sorted by both
-        key, h = key[new], h[new]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        n = np.diff(np.r_[first, len(key)])
-        of = mix64(np.add.reduceat(mix64(h.view(np.uint64)), first) + n.astype(np.uint64)).view(np.int64)
-        several = np.repeat(n > 1, n)
-        return np.repeat(of, n)[several], h[several]
+        return _named(t["shard"].to_numpy(), t["h"].to_numpy())
 
     rows = keyed.select(F.col("key").alias("shard"), "h").repartition("shard").sortWithinPartitions("shard", "h")
-    return rows.mapInArrow(by_shard(("shard", "h"), work, ("shard", "h")), "shard long, h long").dropDuplicates(["shard", "h"])
+    return rows.mapInArrow(by_shard(("shard", "h"), work, ("shard", "h")), "shard long, h long")
+
+
+def _packed_sets(prints: DataFrame) -> DataFrame:
+    """The same for all keys of prints (h, prints): keys go to ranges of their hash as packed arrays, which cost far less than rows.
+
+    Only for keys that are known not to be hot: a range of about PACKED_ROWS keys is one group.
+    """
+    ranges = max(1, (prints.agg(F.sum(F.octet_length("prints"))).first()[0] or 0) // 8 // PACKED_ROWS)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, h in _chunks(batches):
+            key = mix64(key)  # even over all ranges
+            order = np.argsort(key)
+            key, h = key[order], h[order]
+            at = list(runs(bucket_of(key, ranges)))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in at], pa.int64()), pa.array([key[x].tobytes() for _, x in at], pa.binary()), pa.array([h[x].tobytes() for _, x in at], pa.binary())], names=["bucket", "key", "h"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        key, h = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=kind) for c, kind in (("key", np.uint64), ("h", np.int64)))
+        order = np.argsort(key)
+        shard, h = _named(key[order], h[order])
+        return pa.table({"shard": shard, "h": h})
+
+    dealt = prints.select("h", "prints").mapInArrow(deal, "bucket long, key binary, h binary")
+    return dealt.groupBy("bucket").applyInArrow(gather, "shard long, h long")
 
 
 def join_pairs(h: np.ndarray, label: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], guest: np.ndarray | None = None) -> tuple[list, list]:
@@ -153,26 +190,31 @@ def verified(members: DataFrame, texts: DataFrame, near_of: Callable[[list], Cal
     return rows.repartition("shard").sortWithinPartitions("shard", "h").mapInArrow(run, "a long, b long")
 
 
-def group_links(keyed: DataFrame, counts: DataFrame, attach: Callable[[DataFrame], DataFrame], near_of, name: str) -> DataFrame:
+def group_links(prints: DataFrame, attach: Callable[[DataFrame], DataFrame], near_of, name: str, more: DataFrame | None = None) -> DataFrame:
     """(a, b): links that connect all similar members of a key.
 
-    keyed (key, h); counts (key, n, pivot): how many members parts of the rows hold, where there are several, and one of them.
+    prints (h, prints): binary rows of 64-bit keys; more (key, h): other keys, if there are any.
     attach: (h, payload), a row each, for rows (h) of which each occurs once; called once, for all that have a partner.
     """
+    counts = crowded(prints)
+    if more is not None:
+        counts = counts.unionByName(more.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("pivot")))
     many = counts.groupBy("key").agg(F.sum("n").alias("n"), F.min("pivot").alias("pivot")).where(F.col("n") > BLOCK)
     hot = stash(many.select(F.col("key").alias("hot"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"), "pivot"), f"{name}_hot")
     plain = (F.lit(None).cast("long").alias("c"), F.lit(False).alias("guest"))
     if not hot.count():
-        members, texts = _with_texts(_sets(keyed).select("shard", "h", *plain), attach, name)
+        sets = _packed_sets(prints) if more is None else _packed_sets(prints).unionByName(_sets(more))
+        members, texts = _with_texts(sets.dropDuplicates(["shard", "h"]).select("shard", "h", *plain), attach, name)
         return _in_two_steps(members, texts, near_of, name)
-    split = keyed.select("key", "h").join(hot, F.col("key") == F.col("hot"), "left")
+    keyed = spread(prints) if more is None else spread(prints).unionByName(more)
+    split = keyed.join(hot, F.col("key") == F.col("hot"), "left")
     block = F.pmod(F.xxhash64("h"), F.col("blocks"))
     own = split.where("blocks IS NOT NULL").select("key", block.alias("block"), "h", "blocks").distinct()
     own = stash(own, f"{name}_blocks")
     pivots = hot.select(F.col("hot").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("h"))
     shard = F.xxhash64("key", "block").alias("shard")
     split_up = own.select(shard, "h").unionByName(pivots.select(shard, "h")).distinct()
-    members, texts = _with_texts(_sets(split.where("blocks IS NULL")).unionByName(split_up).select("shard", "h", *plain), attach, name)
+    members, texts = _with_texts(_sets(split.where("blocks IS NULL")).unionByName(split_up).dropDuplicates(["shard", "h"]).select("shard", "h", *plain), attach, name)
     links = stash(_in_two_steps(members, texts, near_of, name), f"{name}_links")
     return links.unionByName(_across(own, links, texts, near_of, name))
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .blocks import block_prints
 from .common import column, stash
 from .components import connected_components
-from .groups import by_shard, crowded, group_links, spread
+from .groups import by_shard, group_links
 from .language_model import slices
 from .simhash import BKForest, blocks_in_common, link_groups, shard_keys
 from .tokens import as_bytes, hash_words, inside, mix64, windows
@@ -175,8 +175,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     prints = rows.where("prints IS NOT NULL").select("h", "prints")
     bags = stash(bag_groups(reps.select("h", "fp"), agree), "near_bags")
-    counts = crowded(prints).unionByName(bags.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("pivot")))
-    links = group_links(spread(prints).unionByName(bags), counts, attach, near_texts, "near")
+    links = group_links(prints, attach, near_texts, "near", bags)
     comp = connected_components(links, "near_links").withColumnRenamed("node", "k")
     groups = reps.join(comp, F.col("h") == F.col("k"), "left").select("h", "first", F.coalesce("component", "h").alias("c"))
     least = groups.groupBy("c").agg(F.min(F.struct("first", "h")).alias("keep"))
