@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fuzzy_lines, html_text, importance, language_model, mixing, prefix_trie, quality_rules, sharding, simhash, substrings
+from . import decontamination, fuzzy_lines, html_text, importance, language_model, mixing, prefix_trie, quality_rules, ranked_search, sharding, simhash, substrings
 
 
 def queries():
@@ -17,9 +17,10 @@ def queries():
         "op8_template_decontamination": decontamination.op8_template_decontamination,
         "op10_fuzzy_line_dedup": fuzzy_lines.op10_fuzzy_line_dedup,
         "op9_substring_dedup": substrings.op9_substring_dedup,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
         "op13_conversation_trie": prefix_trie.op13_conversation_trie,
     }
 
 
 def oracle_sql():
-    return {"op1_mix_sources": mixing.OP1_SQL, "op6_hash_tree_shards": sharding.OP6_SQL, "op9_substring_dedup": substrings.OP9_SQL, "op13_conversation_trie": prefix_trie.OP13_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op6_hash_tree_shards": sharding.OP6_SQL, "op9_substring_dedup": substrings.OP9_SQL, "op11_ranked_search": ranked_search.OP11_SQL, "op13_conversation_trie": prefix_trie.OP13_SQL}
