@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fuzzy_lines, html_text, importance, language_model, mixing, prefix_trie, quality_rules, ranked_search, sharding, simhash, substrings
+from . import decontamination, fuzzy_lines, html_text, importance, language_id, language_model, mixing, prefix_trie, quality_rules, ranked_search, sharding, simhash, substrings
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op10_fuzzy_line_dedup": fuzzy_lines.op10_fuzzy_line_dedup,
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op11_ranked_search": ranked_search.op11_ranked_search,
+        "op12_language_codes": language_id.op12_language_codes,
         "op13_conversation_trie": prefix_trie.op13_conversation_trie,
     }
 
