@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions import scalars as X
 TYPE_SHARE, GEO_SHARE = 0.9, 0.5
 #: Columns from which on a profile text keeps core fields only; most columns in it.
 WIDE, MOST_COLUMNS = 40, 80
+#: Ranges that the values of a column are parted into at most; least share of the whole range that a gap between them has.
+RANGES, GAP = 3, 0.1
 #: Classes of columns, by pattern of the name and of the values, in order of priority.
 GEO_RULES = (
     ("latitude", X.LAT_NAME, r"^-?[0-9]{1,2}(\.[0-9]+)?$"),
@@ -92,10 +96,23 @@ def categorical_histogram(cells: DataFrame, top: int = 5) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def coverage_ranges(cells: DataFrame) -> DataFrame:
-    """(dataset, name, gte, lte) of the numbers of each column."""
-    x = X.safe_float(F.col("value"))
-    return cells.withColumn("x", x).where("x IS NOT NULL").groupBy("dataset", "name").agg(F.min("x").alias("gte"), F.max("x").alias("lte"))
+def coverage_ranges(cells: DataFrame, most: int = RANGES, gap: float = GAP) -> DataFrame:
+    """(dataset, name, range, gte, lte, n): the numbers of each column as up to `most` ranges, parted at the widest gaps between them.
+
+    A gap parts ranges if it is `gap` of the whole range or more; of equal gaps the lower ones count first.  Bins narrower than such
+    a gap keep their exact ends and add up across tasks, so that only a bounded number of rows a column is sorted, and no gap is missed.
+    """
+    x = cells.select("dataset", "name", X.safe_float(F.col("value")).alias("x")).where("x IS NOT NULL")
+    ends = x.groupBy("dataset", "name").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    bins = math.ceil(4 / gap)
+    place = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), (F.col("hi") - F.col("lo")) / bins)), F.lit(0))
+    held = x.join(ends, ["dataset", "name"]).groupBy("dataset", "name", "lo", "hi", place.alias("bin")).agg(F.min("x").alias("gte"), F.max("x").alias("lte"), F.count(F.lit(1)).alias("n"))
+    column = Window.partitionBy("dataset", "name")
+    held = held.withColumn("gap", F.col("gte") - F.lag("lte").over(column.orderBy("bin")))
+    held = held.withColumn("wide", F.coalesce((F.col("gap") > 0) & (F.col("gap") >= gap * (F.col("hi") - F.col("lo"))), F.lit(False)))
+    held = held.withColumn("rank", F.row_number().over(column.orderBy(F.desc("wide"), F.desc_nulls_last("gap"), "gte")))
+    held = held.withColumn("range", F.sum((F.col("wide") & (F.col("rank") < most)).cast("int")).over(column.orderBy("bin")).cast("int"))
+    return held.groupBy("dataset", "name", "range").agg(F.min("gte").alias("gte"), F.max("lte").alias("lte"), F.sum("n").alias("n"))
 
 
 def summary(cells: DataFrame) -> DataFrame:

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import boxes_touch
+from .overlaps import join_boxes, join_time  # noqa: F401
 from .text import Index, lexical
 from .vectors import knn
 
-#: Years, and degrees, in a cell of the grids that turn overlap joins into equal joins.
-YEARS, DEGREES = 1, 10
-
 
 def in_domains(domains: list[str]) -> Column:
     """Domain is one of the list, blanks removed; an empty list filters nothing."""
@@ -68,36 +66,6 @@ def with_total(matches: DataFrame) -> DataFrame:
     return matches.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("qid")))
 
 
-def join_time(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """(qid, id) of queries (qid, q_start, q_end) whose interval overlaps a record's (id, t_start, t_end).
-
-    Both sides are dealt to years, so that the join has an equal key; a pair is kept in the first year it shares.
-    """
-    year = lambda a, b: F.explode(F.sequence(F.floor(F.year(a) / YEARS), F.floor(F.year(b) / YEARS)))
-    q = queries.where("q_start <= q_end").select("qid", "q_start", "q_end", year("q_start", "q_end").alias("y"))
-    r = records.where("t_start <= t_end").select("id", "t_start", "t_end", year("t_start", "t_end").alias("y"))
-    first = F.floor(F.year(F.greatest("q_start", "t_start")) / YEARS)
-    return q.join(r, "y").where((F.col("t_end") >= F.col("q_start")) & (F.col("t_start") <= F.col("q_end")) & (F.col("y") == first)).select("qid", "id")
-
-
-def join_boxes(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """(qid, id) of queries (qid, q_min_lon, ...) whose box touches a record's (id, min_lon, ...), through a grid of equal cells.
-
-    A box over the dateline is cut in two; a pair may meet in several cells and is kept once.
-    """
-
-    def cells(df: DataFrame, key: str, prefix: str) -> DataFrame:
-        lo, lat1, hi, lat2 = _box(prefix)
-        parts = F.when(lo <= hi, F.array(F.struct(lo.alias("a"), hi.alias("b")))).otherwise(F.array(F.struct(lo.alias("a"), F.lit(180.0).alias("b")), F.struct(F.lit(-180.0).alias("a"), hi.alias("b"))))
-        t = df.select(key, *[x.alias(n) for n, x in zip(("lo", "lat1", "hi", "lat2"), (lo, lat1, hi, lat2))], F.explode(parts).alias("p"))
-        span = lambda a, b: F.sequence(F.floor(a / DEGREES), F.floor(b / DEGREES))
-        return t.withColumn("cx", F.explode(span(F.col("p.a"), F.col("p.b")))).withColumn("cy", F.explode(span(F.col("lat1"), F.col("lat2")))).drop("p")
-
-    q, r = cells(queries, "qid", "q_").alias("q"), cells(records, "id", "").alias("r")
-    box = lambda x: tuple(F.col(f"{x}.{c}") for c in ("lo", "lat1", "hi", "lat2"))
-    return q.join(r, ["cx", "cy"]).where(boxes_touch(box("q"), box("r"))).select("qid", "id").distinct()
-
-
 def hybrid(queries: DataFrame, query_vectors: DataFrame, records: DataFrame, vectors: DataFrame, keep: Column, k: int = 10, knn_filter: str = "post", index: Index | None = None, **text) -> DataFrame:
     """(qid, id, score): records that pass `keep` and match the text or are among the k nearest; scores add up.
 

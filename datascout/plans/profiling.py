@@ -94,6 +94,15 @@ def q_coverage_text(spark, sf):
     return P.temporal_coverage(cells(spark, sf))
 
 
+#: Columns with gaps of different, equal and no width.
+GAPPED = {"balance": "CAST(c_acctbal AS DECIMAL(14,2))", "tiers": "CAST(c_acctbal AS DECIMAL(14,2)) + c_custkey % 4 * 40000", "steps": "c_custkey % 7 * 1000", "two": "CASE WHEN c_custkey % 50 = 0 THEN 900000 + c_custkey ELSE c_custkey END", "one": "5", "key": "c_custkey"}
+
+
+def q_ranges(spark, sf):
+    gapped = P.unpivot(table(spark, sf, "customer").selectExpr(*[f"{e} AS {c}" for c, e in GAPPED.items()]), "customer")
+    return P.coverage_ranges(cells(spark, sf).unionByName(gapped))
+
+
 QUERIES = {
     "sample_rows": q_sample_rows,
     "sample_bytes": q_sample_bytes,
@@ -105,7 +114,7 @@ QUERIES = {
     "profile_unclean": lambda spark, sf: P.unclean_ratio(cells(spark, sf)),
     "hist_numeric": lambda spark, sf: P.numeric_histogram(cells(spark, sf)),
     "hist_categorical": lambda spark, sf: P.categorical_histogram(cells(spark, sf)),
-    "coverage_ranges": lambda spark, sf: P.coverage_ranges(cells(spark, sf)),
+    "coverage_ranges": q_ranges,
     "column_types": q_types,
     "dataset_types": q_dataset_types,
     "spatial_coverage": lambda spark, sf: P.spatial_coverage(cells(spark, sf)),
@@ -129,7 +138,12 @@ SELECT source, bytes, CASE WHEN bytes < 1024 THEN printf('%.2f B', bytes::DOUBLE
     "profile_unclean": CELLS + " SELECT dataset, name, round(avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS ratio FROM cells WHERE value IS NOT NULL GROUP BY ALL",
     "hist_numeric": CELLS + ", e AS (SELECT dataset, name, min(x) AS lo, max(x) AS hi FROM cells WHERE x IS NOT NULL GROUP BY ALL), b AS (SELECT dataset, name, lo, hi, CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / ((hi - lo) / 10)), 9) END::INTEGER AS bin FROM cells JOIN e USING (dataset, name) WHERE x IS NOT NULL) SELECT dataset, name, bin, round(lo + bin * ((hi - lo) / 10), 4) AS bin_start, round(lo + (bin + 1) * ((hi - lo) / 10), 4) AS bin_end, count(*) AS count FROM b GROUP BY dataset, name, bin, lo, hi",
     "hist_categorical": CELLS + ", c AS (SELECT dataset, name, value AS bin, count(*) AS count FROM cells WHERE value IS NOT NULL GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, name ORDER BY count DESC, bin) AS rank FROM c) WHERE rank <= 5",
-    "coverage_ranges": CELLS + " SELECT dataset, name, min(x) AS gte, max(x) AS lte FROM cells WHERE x IS NOT NULL GROUP BY ALL",
+    "coverage_ranges": CELLS + ", every AS (SELECT dataset, name, x FROM cells UNION ALL " + " UNION ALL ".join(f"SELECT 'customer', '{c}', CAST({e} AS DOUBLE) FROM customer" for c, e in GAPPED.items()) + f"""),
+e AS (SELECT dataset, name, min(x) AS lo, max(x) AS hi FROM every GROUP BY ALL),
+g AS (SELECT dataset, name, x, n, gap, gap > 0 AND gap >= {P.GAP} * (hi - lo) AS wide FROM (SELECT dataset, name, x, count(*) AS n, x - lag(x) OVER (PARTITION BY dataset, name ORDER BY x) AS gap FROM every WHERE x IS NOT NULL GROUP BY dataset, name, x) JOIN e USING (dataset, name)),
+k AS (SELECT *, row_number() OVER (PARTITION BY dataset, name ORDER BY coalesce(wide, false) DESC, gap DESC NULLS LAST, x) AS rank FROM g),
+r AS (SELECT *, sum(CASE WHEN wide AND rank < {P.RANGES} THEN 1 ELSE 0 END) OVER (PARTITION BY dataset, name ORDER BY x) AS range FROM k)
+SELECT dataset, name, range::INTEGER AS range, min(x) AS gte, max(x) AS lte, sum(n)::BIGINT AS n FROM r GROUP BY dataset, name, range""",
     "column_types": CELLS + ", " + TYPES + " SELECT * FROM types",
     "dataset_types": CELLS + ", " + TYPES + " SELECT DISTINCT dataset, kind AS type FROM types",
     "spatial_coverage": CELLS + f""", p AS (SELECT *, TRY_CAST(regexp_extract(value, '{_POINT}', 1) AS DOUBLE) AS plon, TRY_CAST(regexp_extract(value, '{_POINT}', 2) AS DOUBLE) AS plat FROM cells),
