@@ -117,7 +117,7 @@ def store_profiles(records: DataFrame, path: str) -> None:
 
 def read_profiles(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """(id, profile) as store_profiles() left them."""
-    return keyed.read(spark, path, T.StructType.fromDDL(f"id {id_type}, profile string"))
+    return keyed.read(spark, path, "id", T.StructType.fromDDL(f"id {id_type}, profile string"))
 
 
 def find_profiles(wanted: DataFrame, profiles: DataFrame, key: str = "name") -> DataFrame:

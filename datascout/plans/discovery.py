@@ -345,6 +345,16 @@ def q_stream_unchanged(spark, sf):
     return got
 
 
+def q_stream_portals(spark, sf):
+    """Events arrive in three parts, with starts in between: the users' last events, counted by type as users move from one type to another."""
+    top, e, got = work_dir(spark, "moves"), table(spark, sf, "events").select("user_id", "event_id", "event_type"), None
+    for part in range(3):
+        e.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{top}/in")
+        got = ingest.stream_portals(spark.readStream.schema(e.schema).parquet(f"{top}/in"), f"{top}/table", "user_id", "event_id", "event_type")
+    users, counts = got
+    return counts.join(users.groupBy("event_type").agg(F.max("event_id").alias("last_event")), "event_type")
+
+
 QUERIES = {
     "registry_domains": q_registry, "provider_domains": q_providers, "registry_filter": q_registry_filter, "registry_fallback": q_registry_fallback, "viable_assets": q_viable,
     "listing_ids": q_listing, "view_metadata": q_views, "cap_domains": q_cap_domains, "cap_datasets": q_cap_datasets, "work_items": q_work_items,
@@ -369,6 +379,7 @@ QUERIES = {
     "stream_upsert": q_stream_upsert,
     "stream_counts": q_stream_counts,
     "stream_unchanged": q_stream_unchanged,
+    "stream_portals": q_stream_portals,
 }
 _ISO = "'%Y-%m-%dT%H:%M:%SZ'"
 _META = """'{"nb_rows":' || length(description) || ',"columns":[{"name":"id","structural_type":"Number","semantic_types":[]}' || CASE WHEN id % 4 = 0 THEN '' ELSE ',{"name":"text","structural_type":"Text","semantic_types":[]}' END || ']}'"""
@@ -431,6 +442,9 @@ UNION ALL SELECT 'src' || n_nationkey, 'old', 'Old', -1, '2020-01-01T00:00:00Z'
     "embed_text": f"WITH {CATALOG} SELECT id, md5(CASE WHEN id % 3 <> 0 THEN title ELSE '' END || chr(10) || chr(10) || CASE WHEN id % 4 <> 0 THEN description ELSE '' END) AS text_md5 FROM catalog",
     "stream_upsert": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "stream_portals": """WITH p AS (SELECT user_id, event_id % 3 AS part, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL),
+u AS (SELECT user_id, arg_max(event_id, part) AS event_id, arg_max(event_type, part) AS event_type FROM p GROUP BY user_id)
+SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM u WHERE event_type IS NOT NULL GROUP BY event_type""",
     "stream_unchanged": """WITH p AS (SELECT user_id, event_id % 2 AS part, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL OR a.event_type IS NOT DISTINCT FROM b.event_type THEN a.event_id ELSE b.event_id END AS event_id, CASE WHEN b.user_id IS NULL THEN a.event_type ELSE b.event_type END AS event_type
 FROM (SELECT * FROM p WHERE part = 0) a FULL JOIN (SELECT * FROM p WHERE part = 1) b ON a.user_id = b.user_id""",
