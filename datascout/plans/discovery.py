@@ -232,7 +232,7 @@ def q_located(spark, sf):
     two = F.concat(S('['), F.col("props"), S(',{"e":"'), F.col("event_type"), S('"}]'))
     kinds = [F.concat(S('{"rows":'), two, S("}")), F.concat(S('{"x":"y","profiler_metadata":{"data":'), two, S("}}")), F.concat(S('{"data":[1,"'), F.col("event_type"), S('"]}')), S('{"sample":"a,b\\n1,2"}'), F.concat(S('{"columns":[{"name":"x"},{"name":"y","deep":{"er":{"sampleData":'), two, S("}}}]}")), S('{"a":[{"b":"no"},{"c":{"notes":"p,q\\n3,4"}}],"rows":"none"}')]
     profile = F.element_at(F.array(*kinds), (i % 6 + 1).cast("int"))
-    rows = e.select(i.alias("id"), N.located(profile).alias("at")).select("id", F.explode_outer("at.rows").alias("row"), F.col("at.text").alias("text"))
+    rows = N.located(e.select(i.alias("id"), profile.alias("profile"))).select("id", F.explode_outer("rows").alias("row"), "text")
     names = N.headers(rows.where("row IS NOT NULL")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
     return names.unionByName(rows.where("text IS NOT NULL").select("id", F.col("text").alias("names")))
 

@@ -218,11 +218,24 @@ def test_portal_defaults(spark):
     assert sorted(r.domain for r in N.or_default(none, default).collect()) == ["x", "y"]
 
 
-def test_find_sample_at_any_depth():
-    rows = [{"a": 1}]
-    cases = [({"rows": rows}, (rows, None)), ({"x": {"y": [{"z": {"data": rows}}]}}, (rows, None)), ({"a": "p,q\n1,2", "columns": [{"c": 1}, {"sampleData": [5]}]}, ([5], None)), ({"sample": "only", "b": "u,v\r\n\r\n3,4"}, (None, "u,v\r\n\r\n3,4")), ({"rows": "no", "profiler_metadata": {"sample_data": []}}, ([], None)), ([], (None, None)), (None, (None, None)), (3, (None, None))]
-    for profile, want in cases:
-        assert N.find_sample(profile) == want
+def test_samples_at_any_depth(spark):
+    rows, text = [{"a": 1, "b": {"z": [1, "é"], "y": None}, "c": None}, 7, None, [1], "s"], "u,v\r\n\r\n3,4"
+    shown = [{"a": "1", "b": '{"z":[1,"é"],"y":null}', "c": None}, {"value": "7"}, {"value": None}, {"value": "[1]"}, {"value": "s"}]
+    deep = {"rows": [5]}
+    for _ in range(9):
+        deep = {"k": [0, deep]}
+    cases = [
+        ({"rows": rows}, (shown, None)), ({"x": {"y": [{"z": {"data": rows}}]}}, (shown, None)), ({"a": "p,q\n1,2", "columns": [{"c": 1}, {"sampleData": [5]}]}, ([{"value": "5"}], None)),
+        ({"sample": "only", "b": text}, (None, text)), ({"rows": "no", "profiler_metadata": {"sample_data": []}}, ([], None)), ({"sample": text, "data": [1]}, ([{"value": "1"}], None)),
+        ({"b": {"rows": [1]}, "a": {"rows": [2]}}, ([{"value": "1"}], None)), ({"a": [[], [{"q": text}]], "profiler_metadata": {"x": {"y": {"rows": [8]}}}}, ([{"value": "8"}], None)), (deep, ([{"value": "5"}], None)), (text, (None, text)), ([text, 1], (None, text)),
+        ([], None), (None, None), (3, None), ("x", None), ({"rows": {"a": 1}, "sample": "one line"}, None),
+    ]
+    texts = [(i, json.dumps(p, ensure_ascii=False)) for i, (p, _) in enumerate(cases)] + [(100, None), (101, ""), (102, "{bad"), (103, '{"a":1,"a":2}'), (0, json.dumps(cases[0][0], ensure_ascii=False))]
+    found = N.located(spark.createDataFrame(texts, "id int, profile string"))
+    got = {r.id: (r.rows, r.text) for r in found.collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert N.located(spark.createDataFrame([], "id int, profile string")).collect() == []
 
 
 def test_last_write_with_equal_order_values(spark):
