@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation (operator 8, native).
 
 Texts become templates: case and punctuation go, and numbers (digits and words), units after numbers and names (capitalised words
-inside a sentence) become typed slots.  Windows of template words are hash-joined with the benchmark's windows.  Where windows of an
-item match along one alignment, the slots they cover are compared: a text that is the item with other values gives each
-value of the item one value of its own.  That is a leak; an alignment that gives one value two is not.  Windows of plain words, of which
+inside a sentence) become typed slots.  Windows of template words are hash-joined with the benchmark's windows.  Where the windows that match
+along a run of near places cover enough of an item, the slots they cover are compared: a text that is the item with other values gives each
+value of the item one value of its own.  That is a leak; one that gives a value two is not.  Windows of plain words, of which
 none is a slot, are joined as well: so copies in another case, and of items that are slots for the most part, are found too.
+
+What counts of an item is what is its own: windows that items of other words hold as well (instructions, say) are evidence of none of them.
+Items too short for that count only as a whole line or sentence.
 """
 
 from __future__ import annotations
@@ -14,8 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-#: Words in a window; fewest words in it that are no slots; windows of an item that must match (all, if it has fewer).
-WINDOW, LITERALS, MATCHES = 8, 5, 3
+#: Words in a window; fewest words in it that are no slots; share of an item's own words that must match.
+WINDOW, LITERALS, SHARE = 5, 2, 0.6
+#: Words that must match at least, and that an item must have, to be found inside a sentence; shorter ones need so many words that are no slots.
+SHORT, SHORT_LITERALS = 8, 3
+#: Words that may be put in or left out between windows of one run.
+DRIFT = 16
 #: Most benchmark windows that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 #: Fixed value: measures that count as units after a number.
@@ -58,69 +65,93 @@ def _is_slot(w: Column) -> Column:
     return w.rlike(f"[{_SLOTS}]")
 
 
-def _windows(rows: DataFrame, keys: list[str], size: int, check: bool = False) -> DataFrame:
-    """(keys, at, h): place and hash of each window of `size` words of rows (keys, line).  check: without those that hold too many slots.
+def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, at, w): place and words of each window of rows (keys, line): one pass of a regular expression that looks ahead from each word."""
+    found = rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{WINDOW - 1}}}+))[^ ]++"
+    return rows.select(*keys, F.posexplode(F.regexp_extract_all("line", F.lit(found), F.lit(1))).alias("at", "w"))
 
-    One pass of a regular expression finds all windows, which overlap, by looking ahead from each word.  Equal windows have equally
-    many slots, so it is enough to check one side of a join.
-    """
-    found = rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{size - 1}}}+))[^ ]++"
-    each = rows.select(*keys, F.posexplode(F.regexp_extract_all("line", F.lit(found), F.lit(1))).alias("at", "w"))
-    if check:
-        each = each.where(F.regexp_count("w", F.lit(rf"[^ ]*[{_SLOTS}][^ ]*")) <= size - min(LITERALS, size))
-    return each.select(*keys, "at", F.xxhash64("w").alias("h"))
 
+def _literals(words: Column) -> Column:
+    return F.regexp_count(words, F.lit(rf"(?<![^ ])[^ {_SLOTS}]+(?![^ ])"))
 
-def item_words(benchmark: DataFrame, of) -> DataFrame:
-    """(item_id, raw, line, size): items that have a word; size is that of their windows, all words of a shorter item.  of: template or plain."""
+
+def item_lines(benchmark: DataFrame, of) -> DataFrame:
+    """(item_id, raw, line, key, words): items that have a word; key: a hash of the line.  of: template or plain."""
     t = benchmark.select("item_id", spaced(F.col("text")).alias("raw"))
     t = t.withColumn("line", joined(of(F.col("raw")))).where("line <> ''")
-    return t.withColumn("size", F.least(F.lit(WINDOW), F.size(F.split("line", " "))))
+    return t.withColumn("key", F.xxhash64("line")).withColumn("words", F.size(F.split("line", " ")))
 
 
-def _found(rows: DataFrame, items: DataFrame, check: bool) -> DataFrame | None:
-    """(doc_id, rid, item_id, offset, n_windows, n_item_windows, size, spots): alignments of rows (doc_id, rid, line) with items.
+def own_windows(items: DataFrame) -> DataFrame:
+    """(h, key, spot, own): windows that count for the items of a line, and how many words of the line they cover.
 
-    check: windows of an item that hold too many slots count nowhere.  None: there are no items.
+    These are windows that no other line has; all, if a line has none of its own.  Windows of slots for the most part count nowhere.
     """
-    found = None
-    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):  # at most WINDOW values
-        own = _windows(items.where(F.col("size") == size), ["item_id"], size, check).select("item_id", F.col("h").alias("ih"), F.col("at").alias("spot"))
-        of = own.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).cast("int").alias("n_item_windows"))
-        held = own.join(of, F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
-        if held.count() <= BROADCAST_WINDOWS:
-            held = F.broadcast(held)
-        hits = _windows(rows, ["doc_id", "rid"], size).join(held, F.col("h") == F.col("ih"))
-        # equal texts repeat their windows, hence the set of spots; an item's spots are as many as its words at most
-        at = hits.groupBy("doc_id", "rid", "item_id", (F.col("at") - F.col("spot")).alias("offset")).agg(F.collect_set("spot").alias("spots"), F.first("n_item_windows").alias("n_item_windows"))
-        at = at.withColumn("n_windows", F.size("spots").cast("long")).where(F.col("n_windows") >= F.least(F.lit(MATCHES), F.col("n_item_windows")))
-        at = at.select("doc_id", "rid", "item_id", "offset", "n_windows", "n_item_windows", F.lit(size).alias("size"), "spots")
-        found = at if found is None else found.unionByName(at)
-    return found
+    lines = items.where(F.col("words") >= SHORT).groupBy("key").agg(F.first("line").alias("line"))
+    each = _windows(lines, ["key"]).where(_literals(F.col("w")) >= LITERALS).select("key", F.col("at").alias("spot"), F.xxhash64("w").alias("h"))
+    held = each.groupBy(F.col("h").alias("of")).agg((F.count_distinct("key") == 1).alias("single"))
+    each = each.join(held, F.col("h") == F.col("of")).drop("of")
+    some = each.groupBy(F.col("key").alias("k")).agg(F.max("single").alias("some"))
+    each = each.join(some, F.col("key") == F.col("k")).where(F.col("single") | ~F.col("some"))
+    places = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("spot", F.col("spot") + WINDOW - 1)))))
+    own = each.groupBy(F.col("key").alias("k2")).agg(places.alias("own"))
+    return each.join(own, F.col("key") == F.col("k2")).select("h", "key", "spot", "own")
+
+
+def _found(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, rid, key, hits, covered, own): runs of windows (spot, at) of a row (doc_id, rid, line) that cover enough of a line."""
+    held = own_windows(items)
+    if held.count() <= BROADCAST_WINDOWS:
+        held = F.broadcast(held)
+    hits = _windows(rows, ["doc_id", "rid"]).select("doc_id", "rid", "at", F.xxhash64("w").alias("mine")).join(held, F.col("mine") == F.col("h"))
+    run = F.floor((F.col("at") - F.col("spot")) / DRIFT)  # runs overlap, so that places within DRIFT of each other share one
+    runs = hits.select("doc_id", "rid", "key", "own", "spot", "at", F.explode(F.array(run, run - 1)).alias("run"))
+    runs = runs.groupBy("doc_id", "rid", "key", "run").agg(F.collect_set(F.struct("spot", "at")).alias("hits"), F.first("own").alias("own"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["spot"], h["spot"] + WINDOW - 1)))))
+    runs = runs.withColumn("covered", covered)
+    return runs.where((F.col("covered") >= F.ceil(SHARE * F.col("own"))) & (F.col("covered") >= F.least(F.lit(SHORT), F.col("own"))))
+
+
+def _short(docs: DataFrame, items: DataFrame, of, literals: int) -> DataFrame:
+    """(doc_id, rid, item_id, raw, theirs): lines and sentences of docs (doc_id, rid, text) that are all of a short item."""
+    short = items.where((F.col("words") < SHORT) & (_literals(F.col("line")) >= literals)).select("item_id", F.col("raw").alias("theirs"), "key")
+    parts = F.array_distinct(F.concat(F.split("text", r"[\n\r]+"), F.split("text", r"[.!?]+(?=[\x20\x09-\x0D]|$)|[\n\r]+")))
+    parts = docs.select("doc_id", "rid", F.explode(parts).alias("part")).select("doc_id", "rid", spaced(F.col("part")).alias("raw"))
+    parts = parts.where(F.size(F.split("raw", " ")) < 2 * SHORT)  # words of signs only don't count
+    parts = parts.select("doc_id", "rid", "raw", F.xxhash64(joined(of(F.col("raw")))).alias("mine"))
+    return parts.join(short, F.col("mine") == F.col("key")).select("doc_id", "rid", "item_id", "raw", "theirs")
+
+
+_RESULT = "doc_id long, rid long, item_id long, n_covered int, n_own int, n_slots int, n_changed int"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, rid, item_id, n_windows, n_item_windows, n_slots, n_changed, kind) of each row of docs that holds an item.
+    """(doc_id, rid, item_id, n_covered, n_own, n_slots, n_changed, kind) of each row of docs that holds an item.
 
-    rid is a hash of the row's id and text: rows that repeat both give one result, rows that repeat the id only are judged
-    each.  kind: 'copy' (no slot differs; found by its template or by its plain words) or 'reparameterised'.  Null or empty texts match
-    nothing; nor do items without words.  An item of which all windows hold more than 3 slots is found by its plain words only (n_slots
-    is 0 then).  A null doc_id or item_id stays null in the result.
+    n_own: words of the item that its own windows cover (all words of a short item), n_covered: those that match, SHARE of them or more.
+    An item under SHORT words is found as a whole line or sentence only.  rid is a hash of the row's id and text: rows that repeat both give
+    one result, rows that repeat the id only are judged each.  kind: 'copy' (no slot differs; found by its template or by its plain words) or
+    'reparameterised'.  Null or empty texts match nothing; nor do items without words.  Items of slots for the most part are found by plain
+    words only (n_slots is 0 then).  A null doc_id or item_id stays null in the result.
     """
     rid = F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid")
-    raw = docs.select("doc_id", rid, spaced(F.col("text")).alias("raw"))
-    results = [docs.sparkSession.createDataFrame([], "doc_id long, rid long, item_id long, n_windows long, n_item_windows int, n_slots int, n_changed int")]
-    by_template, by_words = item_words(benchmark, template), item_words(benchmark, plain)
-    found = _found(raw.select("doc_id", "rid", joined(template(F.col("raw"))).alias("line")), by_template, True)
-    if found is not None:
-        results.append(_consistent(found, docs.select("doc_id", rid, "text"), by_template))
-    found = _found(raw.select("doc_id", "rid", joined(plain(F.col("raw"))).alias("line")), by_words, False)
-    if found is not None:
-        results.append(found.select("doc_id", "rid", "item_id", "n_windows", "n_item_windows", F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed")))
-    every = results[0]
-    for x in results[1:]:
-        every = every.unionByName(x)
-    best = F.max_by(F.struct("n_windows", "n_item_windows", "n_slots", "n_changed"), F.struct("n_windows", -F.col("n_changed"), "n_slots", "n_item_windows")).alias("b")
+    rows = docs.select("doc_id", rid, "text")
+    every = docs.sparkSession.createDataFrame([], _RESULT)
+    for of, literals in ((template, SHORT_LITERALS), (plain, 0)):
+        items = item_lines(benchmark, of)
+        sizes = {r["long"] for r in items.select((F.col("words") >= SHORT).alias("long")).distinct().collect()}
+        if True in sizes:
+            lines = rows.select("doc_id", "rid", joined(of(spaced(F.col("text")))).alias("line"))
+            found = _found(lines, items)
+            if of is template:
+                every = every.unionByName(_consistent(found, rows, items))
+            else:
+                ids = items.select("item_id", "key")
+                every = every.unionByName(found.join(ids, "key").select("doc_id", "rid", "item_id", F.col("covered").alias("n_covered"), F.col("own").alias("n_own"), F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed")))
+        if False in sizes:
+            every = every.unionByName(_same(_short(rows, items, of, literals), of))
+    order = F.struct("n_covered", -F.col("n_changed"), "n_slots", "n_own")
+    best = F.max_by(F.struct("n_covered", "n_own", "n_slots", "n_changed"), order).alias("b")
     x = every.groupBy("doc_id", "rid", "item_id").agg(best).select("doc_id", "rid", "item_id", "b.*")
     return x.withColumn("kind", F.when(F.col("n_changed") == 0, "copy").otherwise("reparameterised"))
 
@@ -131,19 +162,38 @@ def _slots(words: Column, raw: Column) -> Column:
     return F.transform(F.filter(both, lambda x: x["t"] != ""), lambda x: F.struct(_is_slot(x["t"]).alias("slot"), F.lower(F.regexp_replace(x["r"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("value")))
 
 
-def _consistent(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    texts = docs.join(found.select(F.col("rid").alias("need")).distinct(), F.col("rid") == F.col("need"), "left_semi").dropDuplicates(["rid"])
+def _judged(x: DataFrame, covered: Column, own: Column) -> DataFrame:
+    """The rows whose pairs (i: word of the item, d: of the text) give each value in an item's slots one value in the text's."""
+    both = F.filter("pairs", lambda p: p["i"]["slot"] & p["d"]["slot"])
+    x = x.withColumn("values", F.array_distinct(F.transform(both, lambda p: F.struct(p["i"]["value"].alias("i"), p["d"]["value"].alias("d")))))
+    one_each = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda p: p["i"])))
+    changed = F.size(F.filter("values", lambda p: p["i"] != p["d"]))
+    return x.where(one_each).select("doc_id", "rid", "item_id", covered.alias("n_covered"), own.alias("n_own"), F.size("values").alias("n_slots"), changed.alias("n_changed"))
+
+
+def _same(found: DataFrame, of) -> DataFrame:
+    """Of rows (doc_id, rid, item_id, raw, theirs) of equal lines those with consistent slots; plain words have none."""
+    mine, theirs = _slots(of(F.col("raw")), F.col("raw")), _slots(of(F.col("theirs")), F.col("theirs"))
+    x = found.withColumn("pairs", F.transform(F.arrays_zip(theirs.alias("i"), mine.alias("d")), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
+    return _judged(x, F.size("pairs"), F.size("pairs"))
+
+
+def _consistent(found: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The runs (doc_id, rid, key, hits, covered, own) with consistent slots, for each item of their line."""
+    texts = rows.join(found.select(F.col("rid").alias("need")).distinct(), F.col("rid") == F.col("need"), "left_semi").dropDuplicates(["rid"])
     raw = spaced(F.col("text"))
     texts = texts.select(F.col("rid").alias("of"), _slots(template(raw), raw).alias("mine"))
-    theirs = items.select(F.col("item_id").alias("for"), F.struct(_slots(template(F.col("raw")), F.col("raw")).alias("theirs")).alias("item")).groupBy("for").agg(F.first("item").alias("item"))
-    x = found.join(texts, F.col("rid") == F.col("of")).join(theirs, F.col("item_id").eqNullSafe(F.col("for")))
-    spots = F.array_sort(F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s, s + F.col("size") - 1)))))
-    pairs = F.transform(spots, lambda s: F.struct(F.get(F.col("item.theirs"), s).alias("i"), F.get(F.col("mine"), s + F.col("offset")).alias("d")))
-    pairs = F.filter(pairs, lambda p: p["i"]["slot"] & p["d"]["slot"])
-    x = x.withColumn("pairs", F.array_distinct(F.transform(pairs, lambda p: F.struct(p["i"]["value"].alias("i"), p["d"]["value"].alias("d")))))
-    one_each = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))
-    return x.where(one_each).select("doc_id", "rid", "item_id", "n_windows", "n_item_windows", F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
+    theirs = items.select(F.col("key").alias("for"), "item_id", _slots(template(F.col("raw")), F.col("raw")).alias("theirs"))
+    # the run's main offset is that of most windows; a word of the item is compared where it is nearest to it
+    offsets = F.transform("hits", lambda h: h["at"] - h["spot"])
+    x = found.withColumn("offsets", offsets)
+    x = x.withColumn("main", F.array_max(F.transform(F.array_distinct("offsets"), lambda o: F.struct(F.size(F.filter("offsets", lambda y: y == o)).alias("n"), o.alias("o"))))["o"])
+    places = F.transform("hits", lambda h: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda d: F.struct((h["spot"] + d).alias("i"), F.abs(h["at"] - h["spot"] - F.col("main")).alias("far"), (h["at"] + d).alias("p"))))
+    x = x.withColumn("places", F.array_sort(F.array_distinct(F.flatten(places))))
+    x = x.withColumn("places", F.filter("places", lambda y, k: (k == 0) | (F.get("places", k - 1)["i"] != y["i"])))
+    x = x.join(texts, F.col("rid") == F.col("of")).join(theirs, F.col("key") == F.col("for"))
+    x = x.withColumn("pairs", F.transform("places", lambda y: F.struct(F.get("theirs", y["i"]).alias("i"), F.get("mine", y["p"]).alias("d"))))
+    return _judged(x, F.col("covered"), F.col("own"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

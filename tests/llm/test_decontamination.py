@@ -25,12 +25,13 @@ def test_copies_other_values_and_inconsistent_ones(spark):
 
 
 def test_short_items_and_tables_without_rows(spark):
-    assert run(spark, [(1, "x the quick brown fox jumps y"), (2, "quick the brown fox jumps")], [(1, "The quick brown fox jumps.")]) == [(1, 1, "copy", 0)]
+    rows = [(1, "So it is! The quick brown fox jumps. And more"), (2, "quick the brown fox jumps"), (3, "one line\nthe QUICK brown fox jumps\nanother"), (4, "x the quick brown fox jumps y")]
+    assert run(spark, rows, [(1, "The quick brown fox jumps.")]) == [(1, 1, "copy", 0), (3, 1, "copy", 0)]
     assert run(spark, [], [(1, ITEM)]) == [] and run(spark, [(1, ITEM)], []) == []
 
 
 def brute(docs, items):
-    """leaks() in plain Python: {(doc_id, item_id): (n_windows, n_item_windows, n_slots, n_changed)} for rows of distinct ids."""
+    """leaks() in plain Python: {(doc_id, item_id): (n_covered, n_own, n_slots, n_changed)} for rows of distinct ids."""
     import regex
 
     slot, spaces = regex.compile("[\ue000-\ue002]"), regex.compile(r"[\x20\x09-\x0D]+")
@@ -50,38 +51,57 @@ def brute(docs, items):
         return regex.sub(r"[^\p{L}\p{M}\p{N} ]+", "", " ".join(raw).lower()).split(" ")
 
     bare = lambda w: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w).lower()
-    both = lambda form, raw: [(w, r) for w, r in zip(form, raw) if w]
     out = {}
-    sides = []
-    for form, check in ((template, True), (plain, False)):
-        index = {}
+
+    def judge(doc, item, pairs, covered, own):
+        values = {(bare(ir), bare(r)) for (iw, ir), (w, r) in pairs if slot.search(iw) and slot.search(w)}
+        if len(values) == len({i for i, _ in values}):
+            got = (covered, -sum(i != d for i, d in values), len(values), own)
+            out[doc, item] = max(out.get((doc, item), got), got)
+
+    for form, least in ((template, 3), (plain, 0)):
+        words_of = lambda t: [(w, r) for w, r in zip(form(raw_of(t)), raw_of(t)) if w]  # noqa: E731, B023
+        long, short = {}, {}
         for item, text in items:
-            words = both(form(raw_of(text)), raw_of(text))
-            size = min(dc.WINDOW, len(words))
-            spots = [k for k in range(len(words) - size + 1) if words and not (check and sum(bool(slot.search(w)) for w, _ in words[k : k + size]) > size - min(dc.LITERALS, size))]
-            for k in spots:
-                index.setdefault((size, tuple(w for w, _ in words[k : k + size])), []).append((item, k, len(spots), words))
-        sides.append((form, check, index, sorted({size for size, _ in index})))
-    for doc, text in docs:
-        for form, check, index, sizes in sides:
-            words = both(form(raw_of(text)), raw_of(text))
-            for size in sizes:
-                hits = {}
-                for k in range(len(words) - size + 1):
-                    for item, spot, n, theirs in index.get((size, tuple(w for w, _ in words[k : k + size])), ()):
-                        hits.setdefault((item, k - spot), (set(), n, theirs))[0].add(spot)
-                for (item, offset), (spots, n, theirs) in hits.items():
-                    if len(spots) < min(dc.MATCHES, n):
-                        continue
-                    pairs = set()
-                    for at in {s + d for s in spots for d in range(size)} if check else ():
-                        (iw, ir), (w, r) = theirs[at], words[at + offset]
-                        if slot.search(iw) and slot.search(w):
-                            pairs.add((bare(ir), bare(r)))
-                    if len(pairs) == len({i for i, _ in pairs}):
-                        changed = sum(i != d for i, d in pairs)
-                        got = (len(spots), -changed, len(pairs), n)
-                        out[doc, item] = max(out.get((doc, item), got), got)
+            words = words_of(text)
+            line = tuple(w for w, _ in words)
+            if len(line) >= 8:
+                long.setdefault(line, []).append((item, words))
+            elif line and sum(not slot.search(w) for w in line) >= least:
+                short.setdefault(line, []).append((item, words))
+        usable = {line: {k: line[k : k + 5] for k in range(len(line) - 4) if sum(not slot.search(w) for w in line[k : k + 5]) >= 2} for line in long}
+        holders = {}
+        for line, ws in usable.items():
+            for w in ws.values():
+                holders.setdefault(w, set()).add(line)
+        own = {line: ({k: w for k, w in ws.items() if len(holders[w]) == 1} or ws) for line, ws in usable.items()}
+        index = {}
+        for line, ws in own.items():
+            for k, w in ws.items():
+                index.setdefault(w, []).append((line, k))
+        for doc, text in docs:
+            words, runs = words_of(text), {}
+            for at in range(len(words) - 4):
+                for line, k in index.get(tuple(w for w, _ in words[at : at + 5]), ()):
+                    for run in ((at - k) // 16, (at - k) // 16 - 1):
+                        runs.setdefault((line, run), set()).add((k, at))
+            for (line, _), hits in runs.items():
+                covered = len({k + d for k, _ in hits for d in range(5)})
+                n_own = len({k + d for k in own[line] for d in range(5)})
+                if covered < max(-(-6 * n_own // 10), min(8, n_own)):
+                    continue
+                offsets = [at - k for k, at in hits]
+                main = max(set(offsets), key=lambda o: (offsets.count(o), o))
+                places = {}
+                for k, at in hits:
+                    for d in range(5):
+                        places.setdefault(k + d, []).append((abs(at - k - main), at + d))
+                for item, theirs in long[line]:
+                    judge(doc, item, [(theirs[i], words[min(ps)[1]]) for i, ps in places.items()] if form is template else [], covered, n_own)
+            for part in [*regex.split(r"[\n\r]+", text or ""), *regex.split(r"[.!?]+(?=[\x20\x09-\x0D]|$)|[\n\r]+", text or "")]:
+                mine = words_of(part)
+                for item, theirs in short.get(tuple(w for w, _ in mine), ()):
+                    judge(doc, item, list(zip(theirs, mine)), len(mine), len(mine))
     return {k: (w, n, s, -c) for k, (w, c, s, n) in out.items()}
 
 
@@ -94,7 +114,7 @@ def test_against_brute_force(spark):
     docs += [(20_000 + i, t.lower()) for i, (_, t) in enumerate(items)] + [(30_000 + i, "before it " + " ".join(t.split()[2:-2])) for i, (_, t) in enumerate(items)]
     path = saved(spark, documents=documents(spark, docs), benchmark=spark.createDataFrame(items, "item_id long, text string"))
     rows = dc.op8_template_decontamination(spark, path).collect()
-    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_item_windows, r.n_slots, r.n_changed) for r in rows}
+    got = {(r.doc_id, r.item_id): (r.n_covered, r.n_own, r.n_slots, r.n_changed) for r in rows}
     want = brute(docs, items)
     assert got == want and len(rows) == len(want) and len({k for k, v in want.items() if v[3]}) >= 2
     assert all((r.kind == "copy") == (r.n_changed == 0) for r in rows)
@@ -102,6 +122,28 @@ def test_against_brute_force(spark):
     assert all((20_000 + i, item) in want for i, (item, _) in enumerate(items))
 
 
+INSTRUCTION = "Choose the best answer to the following question and write down the letter only"
+SLOTS = "Anna buys 4 pears from Peter for 3 euros and Tom 5 figs for 2 euros"
+
+
+def test_clean_texts_stay_and_changed_copies_go(spark):
+    items = [(1, "Yes"), (2, f"{INSTRUCTION}: which river runs through the old town of Ulm in spring?"), (3, f"{INSTRUCTION}: why do red foxes sleep in the open so often?"), (4, f"{INSTRUCTION}: what makes a good loaf of dark bread rise so slowly?")]
+    items += [(5, "Compute 12 plus 7 times 3"), (6, SLOTS), (7, "A tall grey heron stood quite still beside the mill pond until dusk came"), (8, "12 13 14"), (9, "Name the capital of France")]
+    clean = ["yes we can, said yes men, and yes again", f"{INSTRUCTION}. Thank you.", "Sums like 3 plus 4 are easy\n1 2 3\n7 8 9", "the capital of France is where they name the streets", "A tall grey heron flew by. It stood quite still. Dusk came late.", "Peter buys 3 apples from Tom for 2 euros and leaves"]
+    bad = ["Is it so? Yes. It is", "red foxes: why do red foxes sleep in the open so often, asks the paper", "Compute 15 plus 2 times 9", "Lisa buys 9 pears from Karl for 6 euros and Max 8 figs for 7 euros", "a tall grey heron stood quite still right beside the mill pond until dusk came", "A tall grey heron stood quite still beside the old mill pond until dusk came", SLOTS.upper(), "x\n12 13 14\ny", "Name the capital of France!"]
+    bad += [f"{INSTRUCTION}: which river runs through the old town of Ulm in spring?", "Well: compute 15 plus 2 times 9. Done", "before it Anna buys 4 pears from Peter for 3 euros and also Tom 5 figs for 2 euros after it"]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(100 + i, t) for i, t in enumerate(bad)]
+    got = run(spark, rows, items)
+    assert not {d for d, *_ in got} & set(range(len(clean)))
+    want = {(100, 1), (101, 3), (102, 5), (103, 6), (104, 7), (105, 7), (106, 6), (107, 8), (108, 9), (109, 2), (111, 6)}
+    assert {(d, i) for d, i, *_ in got} - {(110, 5)} == want
+    docs = documents(spark, rows)
+    kept = dc.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} >= set(range(len(clean)))
+    pairs = {(d, i): n for d, i, _, n in got}
+    assert pairs[102, 5] == 3 and pairs[103, 6] >= 6 and pairs[109, 2] == 0
+
+
 def test_pipeline_form_keeps_all_others(spark):
     docs = documents(spark, [(1, ITEM), (2, "clean text"), (3, None), (None, "clean")], extra=["rid", "item_id", "`a.b`", "__leak"])
     kept = dc.decontaminate(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
