@@ -46,13 +46,15 @@ _open: dict[tuple[str, int, str], np.ndarray] = {}
 
 
 def load(path: str, bucket: int, name: str) -> np.ndarray:
-    """An array of a bucket, mapped once for each worker; empty if the bucket has no file."""
+    """An array of a bucket, mapped once for each worker.  Every bucket has its files, so one that is missing was written elsewhere: that raises."""
     key = (path, bucket, name)
     if key not in _open:
         if len(_open) > 50_000:
             _open.clear()
         file = f"{path}/{bucket}.{name}.npy"
-        _open[key] = np.load(file, mmap_mode="r") if os.path.exists(file) else np.zeros(0, dtype=_U)
+        if not os.path.exists(file):
+            raise FileNotFoundError(f"{file} isn't here: spark.checkpoint.dir must name a folder that all workers share and mount")
+        _open[key] = np.load(file, mmap_mode="r")
     return _open[key]
 
 
@@ -70,7 +72,7 @@ def gather(path: str, buckets: int, keys: np.ndarray, **fill: object) -> dict[st
     """Values of sorted keys from the arrays named; a key that isn't there gets the value of fill."""
     out = {n: np.full(len(keys), v) for n, v in fill.items()}
     for b, at, hit, place in find(path, buckets, keys):
-        for n, x in out.items():
+        for n, x in out.items() if hit.any() else ():
             x[at][hit] = load(path, b, n)[place]
     return out
 

@@ -130,7 +130,8 @@ def _counted(texts: DataFrame, buckets: int, keys_of) -> DataFrame:
         for x in tally.close():
             yield made(x)
 
-    return texts.mapInArrow(run, "bucket long, key binary, n binary")
+    none = texts.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(b"").alias("key"), F.lit(b"").alias("n"))
+    return texts.mapInArrow(run, "bucket long, key binary, n binary").unionByName(none)  # so that each bucket gets its arrays
 
 
 def _freqs(c: np.ndarray) -> list[int]:
