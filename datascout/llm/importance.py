@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ BITS, SHAPES, STEMS = 20, 64, (4, 6)
 FEATURES = (1 << BITS) + SHAPES * SHAPES
 #: Smoothing: pseudo-count of both models; standard deviations, and factor, up to which the target model takes the raw probability.
 SMOOTH, CHANCE, FACTOR = 2.0, 4.0, 2.0
-#: Ranges of features that are summed up as one row.
-RANGE = 1 << 15
+#: Ranges of features that are summed up as one row; tasks whose sums meet in one group.
+RANGE, FAN = 1 << 15, 64
 _U = np.uint64
 _PLAIN = bytes(32 if x < 128 and not chr(x).isalnum() else ord(chr(x).lower()) if x < 128 else x for x in range(256))
 _UPPER, _DIGIT, _SYMBOL = (np.zeros(256, dtype=np.int64) for _ in range(3))
@@ -87,15 +88,19 @@ def _counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 if target[i:j].any():
                     counts[1] += np.bincount(f[target[i:j][doc]], minlength=FEATURES)
         cuts = range(0, FEATURES, RANGE)
-        yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64()), *[pa.array([planes(c[s : s + RANGE]) for s in cuts], pa.binary()) for c in counts]], names=["at", "every", "target"])
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(cuts), pa.int64()), pa.array(list(cuts), pa.int64()), *[pa.array([planes(c[s : s + RANGE]) for s in cuts], pa.binary()) for c in counts]], names=["part", "at", "every", "target"])
 
     def add(table: pa.Table) -> pa.Table:
         sums = [np.sum([from_planes(b, np.int64) for b in table[c].to_pylist()], axis=0) for c in ("every", "target")]
-        return pa.table({"at": table["at"].slice(0, 1), "every": [planes(sums[0])], "target": [planes(sums[1])]})
+        return pa.table({"part": pa.array([table["part"][0].as_py() // FAN], pa.int64()), "at": table["at"].slice(0, 1), "every": [planes(sums[0])], "target": [planes(sums[1])]})
 
-    kind = "at long, every binary, target binary"
+    kind = "part long, at long, every binary, target binary"
     out = np.zeros((2, FEATURES), dtype=np.int64)
-    for r in docs.mapInArrow(run, kind).groupBy("at").applyInArrow(add, kind).collect():  # FEATURES numbers, whatever the input
+    sums = docs.mapInArrow(run, kind)
+    for _ in range(2):  # FAN tasks' sums meet in a group, then FAN of these
+        sums = sums.groupBy(F.floor(F.col("part") / FAN).alias("to"), "at").applyInArrow(add, kind)
+    for r in sums.groupBy("at").applyInArrow(add, kind).collect():  # FEATURES numbers, whatever the input
         for x, b in zip(out, (r.every, r.target)):
             x[r.at : r.at + RANGE] = from_planes(bytes(b), np.int64)
     return out[0], out[1]
