@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as X
 from ..sources import keyed
+from ..sources.workdir import work_dir
 
 #: Columns that must be there for a search document to load.
 REQUIRED = ("id",)
@@ -121,15 +122,23 @@ def read_profiles(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
 
 
 def find_profiles(wanted: DataFrame, profiles: DataFrame, key: str = "name") -> DataFrame:
-    """(want, name, rank) for wanted (want): the profile of that very name, else the first whose name starts with it.
+    """(want, name, rank) for wanted (want): the profile of that very name, else the first whose name starts with it; rank is 1.
 
-    The prefix join has an equal key, the prefix's own length of the name, for each length that is asked for.
+    In sorted order that is the next name from `want` on, if it starts with it.  Names and wants are dealt to ranges and sorted once; a
+    want after the last name of its range takes the first name of the next range that has one.  Nulls are found nowhere, equal wants once.
     """
-    lengths = wanted.select(F.length("want").alias("len")).distinct()
-    cut = profiles.select(F.col(key).alias("name")).crossJoin(F.broadcast(lengths)).where(F.length("name") >= F.col("len")).withColumn("prefix", F.substring("name", F.lit(1), F.col("len")))
-    hits = wanted.join(cut, (F.col("want") == F.col("prefix")) & (F.length("want") == F.col("len"))).select("want", "name")
-    order = Window.partitionBy("want").orderBy((F.col("name") != F.col("want")).cast("int"), "name")
-    return hits.withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    spark, path = wanted.sparkSession, work_dir(wanted.sparkSession, "names")
+    names = profiles.where(F.col(key).isNotNull()).select(F.col(key).alias("at"), F.col(key).alias("name"))
+    both = names.unionByName(wanted.where("want IS NOT NULL").select(F.col("want").alias("at"), F.lit(None).cast("string").alias("name")).distinct())
+    both.repartitionByRange("at").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    firsts = held.groupBy(F.col("part").alias("of")).agg(F.min("name").alias("first"))  # a row a range
+    after = F.min("first").over(Window.orderBy("of").rowsBetween(1, Window.unboundedFollowing))
+    firsts = F.broadcast(firsts.select("of", after.alias("later")))
+    onward = Window.partitionBy("part").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = held.withColumn("next", F.first("name", ignorenulls=True).over(onward)).where("name IS NULL").join(firsts, F.col("part") == F.col("of"))
+    found = found.select(F.col("at").alias("want"), F.coalesce("next", "later").alias("name"))
+    return found.where(F.startswith("name", "want")).select("want", "name", F.lit(1).alias("rank"))
 
 
 def work_items(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

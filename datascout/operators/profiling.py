@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..sources.workdir import work_dir
 
 #: Least share of values that must pass for a structural type or a geographic class.
 TYPE_SHARE, GEO_SHARE = 0.9, 0.5
@@ -178,11 +179,25 @@ def csv_sample(table: DataFrame, order: list[str], rows: int = 20) -> DataFrame:
 
 
 def sample_bytes(lines: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
-    """Lines (source, pos, line) of each source while rows and bytes last, with `upto`, the bytes so far; whole lines only."""
-    run = Window.partitionBy("source").orderBy("pos")
-    first = lines.withColumn("row", F.row_number().over(run)).where(F.col("row") <= max_rows)  # Spark keeps so many rows a source before it shuffles
-    upto = F.sum(F.octet_length("line") + 1).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return first.withColumn("upto", upto).where(F.col("upto") <= max_bytes)
+    """Lines (source, pos, line) of each source while rows and bytes last, with `row` and `upto`, the bytes so far; whole lines only.
+
+    Sums in two levels: lines are dealt to ranges of (source, pos), totals of the ranges give where each starts, and only ranges that begin
+    within the bounds are summed line by line.  So neither a source of any size nor any bound makes one task hold a source; only
+    sizes are sorted, and texts join what is kept.  pos is unique in its source.
+    """
+    spark, path = lines.sparkSession, work_dir(lines.sparkSession, "sizes")
+    sizes = lines.select("source", "pos", (F.octet_length("line") + 1).cast("long").alias("size"))
+    sizes.repartitionByRange("source", "pos").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    totals = held.groupBy(F.col("source").alias("of"), F.col("part").alias("in")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    before = Window.partitionBy("of").orderBy("in").rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals.select("of", "in", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "size")])
+    begins = begins.where((F.col("n_before") < max_rows) & (F.col("size_before") < max_bytes))
+    run = Window.partitionBy("source", "part").orderBy("pos")
+    each = held.join(begins, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
+    each = each.select(F.col("source").alias("of"), F.col("pos").alias("place"), (F.col("n_before") + F.row_number().over(run)).alias("row"), (F.col("size_before") + F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("upto"))
+    kept = each.where((F.col("row") <= max_rows) & (F.col("upto") <= max_bytes))
+    return lines.join(kept, F.col("source").eqNullSafe(F.col("of")) & (F.col("pos") == F.col("place"))).drop("of", "place")
 
 
 def telemetry(all_lines: DataFrame, kept: DataFrame, max_rows: int) -> DataFrame:
