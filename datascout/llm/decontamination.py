@@ -65,10 +65,13 @@ def _is_slot(w: Column) -> Column:
     return w.rlike(f"[{_SLOTS}]")
 
 
-def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, at, w): place and words of each window of rows (keys, line): one pass of a regular expression that looks ahead from each word."""
-    found = rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{WINDOW - 1}}}+))[^ ]++"
-    return rows.select(*keys, F.posexplode(F.regexp_extract_all("line", F.lit(found), F.lit(1))).alias("at", "w"))
+def _windows(rows: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, at, h, more): place and hash of each window of rows (keys, line): words are hashed once, and a window is the hash of its words' hashes."""
+    words = F.split("line", " ")
+    shifted = lambda c, k: F.slice(c, k + 1, 1 << 30) if k else F.col(c)
+    hashed = rows.select(*keys, *more, F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"))
+    each = hashed.select(*keys, *more, F.posexplode(F.arrays_zip(*[shifted("hashes", k).alias(f"w{k}") for k in range(WINDOW)])).alias("at", "w"))
+    return each.where(F.col(f"w.w{WINDOW - 1}").isNotNull()).select(*keys, "at", F.xxhash64(*[f"w.w{k}" for k in range(WINDOW)]).alias("h"), *more)
 
 
 def _literals(words: Column) -> Column:
@@ -88,7 +91,8 @@ def own_windows(items: DataFrame) -> DataFrame:
     These are windows that no other line has; all, if a line has none of its own.  Windows of slots for the most part count nowhere.
     """
     lines = items.where(F.col("words") >= SHORT).groupBy("key").agg(F.first("line").alias("line"))
-    each = _windows(lines, ["key"]).where(_literals(F.col("w")) >= LITERALS).select("key", F.col("at").alias("spot"), F.xxhash64("w").alias("h"))
+    each = _windows(lines, ["key"], ("line",)).withColumn("w", F.array_join(F.slice(F.split("line", " "), F.col("at") + 1, WINDOW), " "))
+    each = each.where(_literals(F.col("w")) >= LITERALS).select("key", F.col("at").alias("spot"), "h")
     held = each.groupBy(F.col("h").alias("of")).agg((F.count_distinct("key") == 1).alias("single"))
     each = each.join(held, F.col("h") == F.col("of")).drop("of")
     some = each.groupBy(F.col("key").alias("k")).agg(F.max("single").alias("some"))
@@ -103,7 +107,7 @@ def _found(rows: DataFrame, items: DataFrame) -> DataFrame:
     held = own_windows(items)
     if held.count() <= BROADCAST_WINDOWS:
         held = F.broadcast(held)
-    hits = _windows(rows, ["doc_id", "rid"]).select("doc_id", "rid", "at", F.xxhash64("w").alias("mine")).join(held, F.col("mine") == F.col("h"))
+    hits = _windows(rows, ["doc_id", "rid"]).withColumnRenamed("h", "mine").join(held, F.col("mine") == F.col("h"))
     run = F.floor((F.col("at") - F.col("spot")) / DRIFT)  # runs overlap, so that places within DRIFT of each other share one
     runs = hits.select("doc_id", "rid", "key", "own", "spot", "at", F.explode(F.array(run, run - 1)).alias("run"))
     runs = runs.groupBy("doc_id", "rid", "key", "run").agg(F.collect_set(F.struct("spot", "at")).alias("hits"), F.first("own").alias("own"))
