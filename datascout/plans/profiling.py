@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import profile_states as N
 from ..operators import profiling as P
-from ..sources.workdir import table
+from ..sources.workdir import table, work_dir
 
 #: Tables and columns profiled; doubles are cast to decimals so that both engines print them alike.
 TABLES = {
@@ -16,16 +17,19 @@ TABLES = {
 }
 
 
-def cells(spark, sf):
+def cells(spark, sf, half=None):
+    """The cells of all tables; half: of the rows with even or odd keys, the first column."""
     every = None
     for name, columns in TABLES.items():
-        own = P.unpivot(table(spark, sf, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()]), name)
+        rows = table(spark, sf, name)
+        rows = rows if half is None else rows.where(F.col(next(iter(columns))) % 2 == half)
+        own = P.unpivot(rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()]), name)
         every = own if every is None else every.unionByName(own)
     return every
 
 
 def _cells_sql():
-    parts = [f"SELECT '{t}' AS dataset, {i} AS pos, '{c}' AS name, CAST({e} AS VARCHAR) AS value FROM {t}" for t, cs in TABLES.items() for i, (c, e) in enumerate(cs.items())]
+    parts = [f"SELECT '{t}' AS dataset, {i} AS pos, '{c}' AS name, CAST({e} AS VARCHAR) AS value, {next(iter(cs))} % 2 AS half FROM {t}" for t, cs in TABLES.items() for i, (c, e) in enumerate(cs.items())]
     number = f"CASE WHEN regexp_matches(trim(value), '{X.NUMBER}') THEN TRY_CAST(trim(value) AS DOUBLE) END"
     return "cells AS (SELECT *, " + number + " AS x FROM (" + " UNION ALL ".join(parts).replace("AS STRING", "AS VARCHAR") + "))"
 
@@ -94,6 +98,25 @@ def q_coverage_text(spark, sf):
     return P.temporal_coverage(cells(spark, sf))
 
 
+def merged_state(spark, sf):
+    """The state of the even rows, stored, and that of the odd ones, merged."""
+    path = work_dir(spark, "state")
+    N.states(cells(spark, sf, 0)).write.parquet(path)
+    return N.merged(spark.read.parquet(path), N.states(cells(spark, sf, 1)))
+
+
+def q_profile_merged(spark, sf):
+    """Distinct counts are estimates, so the query tells whether they are within 3 % of the exact ones."""
+    exact = P.distinct_counts(cells(spark, sf)).withColumnRenamed("num_distinct_values", "exact")
+    got = N.profiles(merged_state(spark, sf)).join(exact, ["dataset", "name"])
+    near = F.abs(F.col("num_distinct_values") - F.col("exact")) <= 0.03 * F.col("exact")
+    return got.select("dataset", "name", "n", "nulls", "mean", "stddev", "min", "max", near.alias("near"))
+
+
+def q_hist_merged(spark, sf):
+    return N.recounted(merged_state(spark, sf), cells(spark, sf))
+
+
 #: Columns with gaps of different, equal and no width.
 GAPPED = {"balance": "CAST(c_acctbal AS DECIMAL(14,2))", "tiers": "CAST(c_acctbal AS DECIMAL(14,2)) + c_custkey % 4 * 40000", "steps": "c_custkey % 7 * 1000", "two": "CASE WHEN c_custkey % 50 = 0 THEN 900000 + c_custkey ELSE c_custkey END", "one": "5", "key": "c_custkey"}
 
@@ -114,6 +137,8 @@ QUERIES = {
     "profile_unclean": lambda spark, sf: P.unclean_ratio(cells(spark, sf)),
     "hist_numeric": lambda spark, sf: P.numeric_histogram(cells(spark, sf)),
     "hist_categorical": lambda spark, sf: P.categorical_histogram(cells(spark, sf)),
+    "profile_merged": q_profile_merged,
+    "hist_merged": q_hist_merged,
     "coverage_ranges": q_ranges,
     "column_types": q_types,
     "dataset_types": q_dataset_types,
@@ -138,6 +163,14 @@ SELECT source, bytes, CASE WHEN bytes < 1024 THEN printf('%.2f B', bytes::DOUBLE
     "profile_unclean": CELLS + " SELECT dataset, name, round(avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS ratio FROM cells WHERE value IS NOT NULL GROUP BY ALL",
     "hist_numeric": CELLS + ", e AS (SELECT dataset, name, min(x) AS lo, max(x) AS hi FROM cells WHERE x IS NOT NULL GROUP BY ALL), b AS (SELECT dataset, name, lo, hi, CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / ((hi - lo) / 10)), 9) END::INTEGER AS bin FROM cells JOIN e USING (dataset, name) WHERE x IS NOT NULL) SELECT dataset, name, bin, round(lo + bin * ((hi - lo) / 10), 4) AS bin_start, round(lo + (bin + 1) * ((hi - lo) / 10), 4) AS bin_end, count(*) AS count FROM b GROUP BY dataset, name, bin, lo, hi",
     "hist_categorical": CELLS + ", c AS (SELECT dataset, name, value AS bin, count(*) AS count FROM cells WHERE value IS NOT NULL GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, name ORDER BY count DESC, bin) AS rank FROM c) WHERE rank <= 5",
+    "profile_merged": CELLS + " SELECT dataset, name, count(*) AS n, count(*) FILTER (value IS NULL) AS nulls, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS stddev, round(min(x), 4) AS min, round(max(x), 4) AS max, true AS near FROM cells GROUP BY dataset, name",
+    "hist_merged": CELLS + f""", c AS (SELECT dataset, name, half, value, count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset, name, half ORDER BY n DESC, value) AS rank FROM c),
+b AS (SELECT dataset, name, coalesce(sum(n) FILTER (rank = {N.KEPT + 1}), 0) AS bound FROM r GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY dataset, name ORDER BY n DESC, value) AS rank FROM (SELECT dataset, name, value, sum(n) AS n FROM r WHERE rank <= {N.KEPT} GROUP BY ALL)),
+e AS (SELECT dataset, name, coalesce(max(n) FILTER (rank = {N.KEPT + 1}), 0) AS cut FROM m GROUP BY ALL),
+x AS (SELECT dataset, name, value AS bin, count(*) AS count FROM cells WHERE (dataset, name, value) IN (SELECT (dataset, name, value) FROM m WHERE rank <= {N.KEPT}) GROUP BY ALL)
+SELECT dataset, name, bin, count, rank, count > bound + cut AS certain FROM (SELECT *, row_number() OVER (PARTITION BY dataset, name ORDER BY count DESC, bin) AS rank FROM x) JOIN b USING (dataset, name) JOIN e USING (dataset, name) WHERE rank <= 5""",
     "coverage_ranges": CELLS + ", every AS (SELECT dataset, name, x FROM cells UNION ALL " + " UNION ALL ".join(f"SELECT 'customer', '{c}', CAST({e} AS DOUBLE) FROM customer" for c, e in GAPPED.items()) + f"""),
 e AS (SELECT dataset, name, min(x) AS lo, max(x) AS hi FROM every GROUP BY ALL),
 g AS (SELECT dataset, name, x, n, gap, gap > 0 AND gap >= {P.GAP} * (hi - lo) AS wide FROM (SELECT dataset, name, x, count(*) AS n, x - lag(x) OVER (PARTITION BY dataset, name ORDER BY x) AS gap FROM every WHERE x IS NOT NULL GROUP BY dataset, name, x) JOIN e USING (dataset, name)),
