@@ -13,6 +13,8 @@ STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or
 K1, B = 1.2, 0.75
 #: Most query terms, all queries together, that are broadcast to the postings.
 MOST_TERMS = 200_000
+#: Query terms up to which the scan of postings is narrowed to them (Parquet looks for up to ten values by name).
+FEW_TERMS = 10
 #: Description column of each arm.
 ARMS = {"original": "description", "ufd": "ufd", "sfd": "sfd"}
 
@@ -62,28 +64,48 @@ class Index:
     stats: DataFrame
 
 
+def _field_postings(records: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, term, id, dl, tf, head) of each record; head marks one posting of each field of a record.
+
+    A field's tokens are all in one row, so sorting them puts repeats side by side: they are counted where they are, without a shuffle.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.array_sort(tokens(F.col(f))).alias("toks")) for f in fields]))
+    rows = records.select("id", each.alias("x")).select("id", "x.field", "x.toks").withColumn("dl", F.size("toks")).where("dl > 0")
+    starts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("toks", i) != F.get("toks", i - 1)))
+    runs = rows.withColumn("starts", starts).withColumn("run", F.explode(F.arrays_zip(F.col("starts").alias("a"), F.slice("starts", 2, 1 << 30).alias("b"))))
+    tf = (F.coalesce("run.b", "dl") - F.col("run.a")).cast("long")
+    return runs.select("field", F.get("toks", F.col("run.a")).alias("term"), "id", F.col("dl").cast("long").alias("dl"), tf.alias("tf"), (F.col("run.a") == 0).alias("head"))
+
+
 def build_index(records: DataFrame, fields: list[str], path: str) -> Index:
     """Tokenises the fields of records (id, ...) once and writes their index; searches then read postings, never texts.
 
-    Postings are grouped by (field, term, id), so no term is a hot key; the term and field tables are counted from the
-    written postings.  A record without tokens in a field counts in none of its numbers.
+    Each task writes the postings of its own records, sorted by term: nothing is shuffled, a frequent term is in all files, and a search for
+    few terms skips the pages of others.  Document frequencies and field totals are counted from the written postings.
+    A record without tokens in a field counts in none of its numbers.  Ids repeat nowhere.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields]))
-    rows = records.select("id", each.alias("x")).select("x.field", "id", F.size("x.toks").cast("long").alias("dl"), F.explode("x.toks").alias("term"))
-    rows.groupBy("field", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).write.partitionBy("field").parquet(f"{path}/postings")
+    _field_postings(records, fields).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/postings")
     held = open_index(records.sparkSession, path, dict(records.dtypes)["id"], ("postings",))
     held.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).write.partitionBy("field").parquet(f"{path}/terms")
-    per_doc = held.postings.groupBy("field", "id").agg(F.first("dl").alias("dl"))
-    per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl")).write.parquet(f"{path}/stats")
+    n = F.count(F.when(F.col("head"), 1))
+    held.postings.groupBy("field").agg(n.alias("n"), (F.sum("tf") / n).alias("avgdl")).write.parquet(f"{path}/stats")
     return open_index(records.sparkSession, path, dict(records.dtypes)["id"])
 
 
 def open_index(spark: SparkSession, path: str, id_type: str = "bigint", parts: tuple[str, ...] = ("postings", "terms", "stats")) -> Index:
     """The index at path, as build_index() wrote it."""
-    ddl = {"postings": f"term string, id {id_type}, dl bigint, tf bigint, field string", "terms": "term string, df bigint, field string", "stats": "field string, n bigint, avgdl double"}
+    ddl = {"postings": f"term string, id {id_type}, dl bigint, tf bigint, head boolean, field string", "terms": "term string, df bigint, field string", "stats": "field string, n bigint, avgdl double"}
     return Index(*[spark.read.schema(ddl[p]).parquet(f"{path}/{p}") if p in parts else None for p in ddl])
 
 
+def _pages_of(postings: DataFrame, terms: DataFrame, few: int) -> DataFrame:
+    """postings, or those of the terms (t) if the queries have few: the scan then skips pages without them."""
+    if few > FEW_TERMS:
+        return postings
+    wanted = [r.t for r in terms.select("t").distinct().collect()]
+    return postings.where(F.col("term").isin(wanted)) if wanted else postings.limit(0)
+
+
 def indexed_bm25(queries: DataFrame, index: Index, field: str) -> DataFrame:
     """As bm25(), from a stored index: the queries' terms meet the term table, then the postings.
 
@@ -95,7 +117,7 @@ def indexed_bm25(queries: DataFrame, index: Index, field: str) -> DataFrame:
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.select(F.col("term").alias("t"), "qid", "n_terms", "avgdl", (F.col("qtf") * idf).alias("weight"))
     few = queries.agg(F.sum(F.size(tokens(F.col("keywords"))))).first()[0] or 0
-    x = index.postings.where(F.col("field") == field).join(F.broadcast(terms) if few <= MOST_TERMS else terms, F.col("term") == F.col("t"))
+    x = _pages_of(index.postings.where(F.col("field") == field), terms, few).join(F.broadcast(terms) if few <= MOST_TERMS else terms, F.col("term") == F.col("t"))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return x.groupBy("qid", "id").agg(F.sum(F.col("weight") * norm).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
 

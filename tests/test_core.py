@@ -115,6 +115,37 @@ def test_index_search_is_the_plain_search(spark):
     assert rows(T.lexical(q, none, operator="or")) == []
 
 
+def test_a_search_for_few_terms_skips_other_pages(spark, tmp_path):
+    docs = spark.range(30_000).selectExpr("id", "concat('w', id % 5000, ' x', id % 777, ' both both') AS body").coalesce(2)
+    spark.conf.set("parquet.block.size", str(1 << 17))
+    try:
+        index = T.build_index(docs, ["body"], str(tmp_path / "i"))
+    finally:
+        spark.conf.unset("parquet.block.size")
+    q = spark.createDataFrame([(1, "w77 both nothing")], "qid long, keywords string")
+    rare = spark.createDataFrame([(1, "w77")], "qid long, keywords string")
+    near = lambda df: {r.id: round(r.score, 9) for r in df.collect()}
+    assert near(T.indexed_bm25(q, index, "body")) == near(T.bm25(q, docs, "body"))
+
+    def scanned(df):
+        df.collect()
+        plan, todo, rows = df._jdf.queryExecution().executedPlan(), [], []
+        todo.append(plan)
+        while todo:
+            p = todo.pop()
+            name = p.nodeName()
+            if name == "AdaptiveSparkPlan":
+                todo.append(p.executedPlan())
+            elif name.endswith("QueryStage"):
+                todo.append(p.plan())
+            elif name.startswith("Scan parquet") and "postings" in p.toString() + str(p.relation().location().rootPaths()):
+                rows.append(p.metrics().apply("numOutputRows").value())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+        return sum(rows)
+
+    assert 0 < scanned(T.indexed_bm25(rare, index, "body")) < 0.1 * index.postings.count()
+
+
 def test_hybrid_filter_before_or_after(spark):
     docs = spark.createDataFrame([(i, "none", "none", i % 2) for i in range(10)], "id long, title string, description string, odd int")
     v = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "id long, vector array<float>")
