@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import bucket_of, runs
-from .common import stash
+from .common import BROADCAST_ENTRIES, stash
 from .components import connected_components
 from .tokens import mix64
 
@@ -77,11 +77,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield np.concatenate(keys), np.concatenate(ids)
 
 
-def spread(prints: DataFrame) -> DataFrame:
-    """(key, h) for each 64-bit key in the binary `prints` of rows (h, prints)."""
+def _among(key: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among some, which are sorted."""
+    at = np.minimum(np.searchsorted(some, key), len(some) - 1)
+    return some[at] == key
+
+
+def spread(prints: DataFrame, only=None) -> DataFrame:
+    """(key, h) for each 64-bit key in the binary `prints` of rows (h, prints); only: a broadcast array of the keys that are wanted, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, h in _chunks(batches):
+            if only is not None:
+                some = _among(key, only.value)
+                key, h = key[some], h[some]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h)], names=["key", "h"])
 
     return prints.select("h", "prints").mapInArrow(run, "key long, h long")
@@ -135,15 +144,18 @@ def _sets(keyed: DataFrame) -> DataFrame:
     return rows.mapInArrow(by_shard(("shard", "h"), work, ("shard", "h")), "shard long, h long")
 
 
-def _packed_sets(prints: DataFrame) -> DataFrame:
+def _packed_sets(prints: DataFrame, without=None) -> DataFrame:
     """The same for all keys of prints (h, prints): keys go to ranges of their hash as packed arrays, which cost far less than rows.
 
-    Only for keys that are known not to be hot: a range of about PACKED_ROWS keys is one group.
+    Only for keys that aren't hot: a range of about PACKED_ROWS keys is one group.  without: a broadcast array of the hot ones, sorted.
     """
     ranges = max(1, (prints.agg(F.sum(F.octet_length("prints"))).first()[0] or 0) // 8 // PACKED_ROWS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, h in _chunks(batches):
+            if without is not None:
+                some = ~_among(key, without.value)
+                key, h = key[some], h[some]
             key = mix64(key)  # even over all ranges
             order = np.argsort(key)
             key, h = key[order], h[order]
@@ -214,15 +226,25 @@ def group_links(prints: DataFrame, attach: Callable[[DataFrame], DataFrame], nea
         sets = _packed_sets(prints) if more is None else _packed_sets(prints).unionByName(_sets(more))
         members, texts = _with_texts(sets.dropDuplicates(["shard", "h"]).select("shard", "h", *plain), attach, name)
         return _in_two_steps(members, texts, near_of, name)
-    keyed = spread(prints) if more is None else spread(prints).unionByName(more)
-    split = keyed.join(hot, F.col("key") == F.col("hot"), "left")
     block = F.pmod(F.xxhash64("h"), F.col("blocks"))
+    if hot.count() <= BROADCAST_ENTRIES:
+        keys = np.sort(np.array([r.hot for r in hot.select("hot").collect()], dtype=np.int64).view(np.uint64))
+        keys = prints.sparkSession.sparkContext.broadcast(keys)
+        sets, keyed = _packed_sets(prints, keys), spread(prints, keys)
+        if more is not None:
+            more = more.join(F.broadcast(hot.select("hot", F.lit(True).alias("is_hot"))), F.col("key") == F.col("hot"), "left").select("key", "h", "is_hot")
+            sets, keyed = sets.unionByName(_sets(more.where("is_hot IS NULL").select("key", "h"))), keyed.unionByName(more.where("is_hot").select("key", "h"))
+        split = keyed.join(F.broadcast(hot), F.col("key") == F.col("hot"))
+    else:
+        keyed = spread(prints) if more is None else spread(prints).unionByName(more)
+        split = keyed.join(hot, F.col("key") == F.col("hot"), "left")
+        sets = _sets(split.where("blocks IS NULL"))
     own = split.where("blocks IS NOT NULL").select("key", block.alias("block"), "h", "blocks").distinct()
     own = stash(own, f"{name}_blocks")
     pivots = hot.select(F.col("hot").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("h"))
     shard = F.xxhash64("key", "block").alias("shard")
     split_up = own.select(shard, "h").unionByName(pivots.select(shard, "h")).distinct()
-    members, texts = _with_texts(_sets(split.where("blocks IS NULL")).unionByName(split_up).dropDuplicates(["shard", "h"]).select("shard", "h", *plain), attach, name)
+    members, texts = _with_texts(sets.unionByName(split_up).dropDuplicates(["shard", "h"]).select("shard", "h", *plain), attach, name)
     links = stash(_in_two_steps(members, texts, near_of, name), f"{name}_links")
     return links.unionByName(_across(own, links, texts, near_of, name))
 
