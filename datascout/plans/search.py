@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import search as S
 from ..operators import text as T
 from ..operators import vectors as V
+from ..sources.workdir import work_dir
 from .facade import CATALOG, RANGES, catalog, queries, query_ranges, text_index, vectors
 
 def tokens_sql(text: str) -> str:
@@ -115,6 +116,14 @@ def q_approximate(spark, sf):
     return V.knn_lists(v.where("id % 20 = 0").withColumnRenamed("id", "qid"), v)
 
 
+def q_codes(spark, sf):
+    """The codes are stored once and searched from there."""
+    v, path = vectors(spark, sf), work_dir(spark, "codes")
+    books, codes = V.compress(v)
+    codes.write.parquet(path)
+    return V.knn_codes(v.where("id % 20 = 0").withColumnRenamed("id", "qid"), v, spark.read.parquet(path), books)
+
+
 def q_hybrid(spark, sf):
     v = vectors(spark, sf)
     hits = S.hybrid(queries(spark, sf), v.where("id % 20 = 0").withColumnRenamed("id", "qid"), catalog(spark, sf), v, F.col("provider") == "socrata", index=text_index(spark, sf), title_boost=0.0, operator="or")
@@ -161,6 +170,7 @@ QUERIES = {
     "browse": q_browse,
     "knn": q_knn,
     "knn_lsh": q_approximate,
+    "knn_codes": q_codes,
     "search_hybrid": q_hybrid,
     "embed_hash": q_embed,
 }

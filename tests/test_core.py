@@ -104,6 +104,28 @@ def test_recall_of_approximate_neighbours(spark, sf):
     assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_compressed_vectors(spark, sf):
+    v = vectors(spark, f"/root/testdata/{sf}")
+    q = v.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    books, codes = V.compress(v)
+    exact = {(r.qid, r.id): r.score for r in V.knn(q, v).collect()}
+    got = {(r.qid, r.id): r.score for r in V.knn_codes(q, v, codes, books).collect()}
+    assert len(got) == len(exact) and len(got.keys() & exact.keys()) >= 0.9 * len(exact)
+    assert all(exact[p] == s for p, s in got.items() if p in exact)
+    assert codes.agg(F.max(F.length("codes"))).first()[0] == 64 // 4 and codes.count() == v.where("vector IS NOT NULL").count()
+
+
+def test_compressed_vectors_of_odd_tables(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 0.0, float(i % 3)]) for i in range(20)] + [(50, None)], "id long, vector array<float>")
+    q = v.where("id < 3 OR id = 50").withColumnRenamed("id", "qid")
+    books, codes = V.compress(v)
+    assert {(r.qid, r.id, r.score, r["rank"]) for r in V.knn_codes(q, v, codes, books, 3).collect()} == {(r.qid, r.id, r.score, r["rank"]) for r in V.knn(q, v, 3).collect()}
+    none = v.where("id = 50")
+    books, codes = V.compress(none)
+    assert books is None and V.knn_codes(q, none, codes, books).collect() == [] == V.knn_codes(q.limit(0), v, *reversed(V.compress(v))).collect()
+
+
 def test_index_search_is_the_plain_search(spark):
     docs = spark.createDataFrame([(i, f"w{i % 3} x", f"w{i % 5} y w{i % 2} w{i % 5}" if i % 7 else None) for i in range(60)] + [(99, None, "the of")], "id long, title string, description string")
     q = spark.createDataFrame([(1, "w1 y y"), (2, "w0 x"), (3, "the"), (4, None), (5, "zzz w1")], "qid long, keywords string")
