@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import boxes_touch
+from .facets import single_values, top_values
 from .overlaps import join_boxes, join_time  # noqa: F401
 from .text import Index, lexical
 from .vectors import knn
@@ -53,12 +54,8 @@ def facet(matches: DataFrame, value: Column, size: int = 10) -> DataFrame:
 
     An array counts a record once for each different value; null values count nowhere.
     """
-    is_array = dict(matches.select(value.alias("v")).dtypes)["v"].startswith("array")
-    each = matches.select("qid", F.explode(F.array_distinct(value)).alias("key") if is_array else value.alias("key")).where("key IS NOT NULL")
-    counts = each.groupBy("qid", "key").agg(F.count(F.lit(1)).alias("n"))
-    order, whole = Window.partitionBy("qid").orderBy(F.desc("n"), "key"), Window.partitionBy("qid")
-    counts = counts.withColumns({"rank": F.row_number().over(order), "total": F.sum("n").over(whole)}).where(F.col("rank") <= size)
-    return counts.withColumn("other", F.col("total") - F.sum("n").over(whole)).select("qid", "key", "n", "other")
+    counts = single_values(matches, ["qid"], value).groupBy("qid", "key").agg(F.count(F.lit(1)).alias("n"))
+    return top_values(counts, size)
 
 
 def with_total(matches: DataFrame) -> DataFrame:

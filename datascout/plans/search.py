@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import facets as B
 from ..operators import search as S
 from ..operators import text as T
 from ..operators import vectors as V
@@ -95,7 +96,7 @@ def q_total(spark, sf):
 
 def _facet(col):
     def run(spark, sf):
-        return S.facet(_matches(spark, sf).join(catalog(spark, sf).select("id", col), "id"), F.col(col))
+        return B.facet(_matches(spark, sf), B.index_values(catalog(spark, sf), F.col(col)))
 
     return run
 

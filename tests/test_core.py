@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from datascout.functions import scalars as X
 from datascout.plans.facade import vectors
 from datascout.operators import catalog as C
+from datascout.operators import facets as B
 from datascout.operators import profiling as P
 from datascout.operators import samples as N
 from datascout.operators import search as S
@@ -83,6 +84,17 @@ def test_facets_add_up(spark):
     assert {(r.key, r.n) for r in S.facet(m, F.col("types")).collect()} == {("a", 50), ("t0", 25), ("t1", 25)}
 
 
+@pytest.mark.parametrize("dense", [1, 2, 10**9])
+def test_facets_from_bitmaps(spark, dense):
+    records = spark.createDataFrame([(i * 977 - 100_000, f"k{i % 13}" if i % 5 else f"rare{i}", ["a", "a", f"t{i % 2}", None]) for i in range(900)] + [(99, None, None)], "id long, domain string, types array<string>")
+    matches = records.selectExpr("explode(array(1, 2, 3)) AS qid", "id").where("qid = 1 OR qid = 2 AND id > 0 OR qid = 3 AND id = 99")
+    for value in (F.col("domain"), F.col("types")):
+        index = B.index_values(records, value, dense)
+        want = S.facet(matches.join(records, "id"), value)
+        assert sorted(map(tuple, B.facet(matches, index).collect())) == sorted(map(tuple, want.collect()))
+        assert (index.dense.count() == 0) == (dense == 10**9) and (index.sparse.count() == 0) == (dense == 1)
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)] + [(50, None)], "id long, vector array<float>")
     q = v.where("id < 3").withColumnRenamed("id", "qid")
