@@ -35,8 +35,8 @@ _SLOTS = f"{NAME}-{UNIT}"
 
 
 def spaced(text: Column) -> Column:
-    """The words of a text, one space between them; null: none."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    """The words of a text, one space between them; null: none.  Only gaps that aren't one space already are matched: matches are what costs."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*| [\x20\x09-\x0D]+", " "))
 
 
 def template(words: Column) -> Column:
@@ -58,7 +58,7 @@ def plain(words: Column) -> Column:
 
 def joined(x: Column) -> Column:
     """The words of a template or plain text that aren't empty, one space between them."""
-    return F.trim(F.regexp_replace(x, " +", " "))
+    return F.trim(F.regexp_replace(x, "  +", " "))
 
 
 def _is_slot(w: Column) -> Column:
