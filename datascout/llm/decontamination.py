@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stash
 
 #: Words in a window; fewest words in it that are no slots; share of an item's own words that must match.
 WINDOW, LITERALS, SHARE = 5, 2, 0.6
@@ -104,7 +104,7 @@ def own_windows(items: DataFrame) -> DataFrame:
 
 def _found(rows: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, rid, key, hits, covered, own): runs of windows (spot, at) of a row (doc_id, rid, line) that cover enough of a line."""
-    held = own_windows(items)
+    held = stash(own_windows(items), "own_windows")  # written, so that the plan stays small
     if held.count() <= BROADCAST_WINDOWS:
         held = F.broadcast(held)
     hits = _windows(rows, ["doc_id", "rid"]).withColumnRenamed("h", "mine").join(held, F.col("mine") == F.col("h"))
@@ -142,11 +142,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", rid, "text")
     every = docs.sparkSession.createDataFrame([], _RESULT)
     for of, literals in ((template, SHORT_LITERALS), (plain, 0)):
-        items = item_lines(benchmark, of)
+        items = stash(item_lines(benchmark, of), "item_lines")
         sizes = {r["long"] for r in items.select((F.col("words") >= SHORT).alias("long")).distinct().collect()}
         if True in sizes:
             lines = rows.select("doc_id", "rid", joined(of(spaced(F.col("text")))).alias("line"))
-            found = _found(lines, items)
+            found = stash(_found(lines, items), "runs")
             if of is template:
                 every = every.unionByName(_consistent(found, rows, items))
             else:
