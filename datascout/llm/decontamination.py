@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
+from .common import read_table, small_side, stash
 
 #: Words in a window; fewest words in it that are no slots; share of an item's own words that must match.
 WINDOW, LITERALS, SHARE = 5, 2, 0.6
@@ -86,28 +86,47 @@ def item_lines(benchmark: DataFrame, of) -> DataFrame:
 
 
 def own_windows(items: DataFrame) -> DataFrame:
-    """(h, key, spot, own): windows that count for the items of a line, and how many words of the line they cover.
+    """(h, key, spot, own, anchor, off): windows that count for the items of a line, and how many words of the line they cover.
 
     These are windows that no other line has; all, if a line has none of its own.  Windows of slots for the most part count nowhere.
+    anchor: hash of the window's longest word, off: that word's place in the window; both follow from the window's words alone.
     """
     lines = items.where(F.col("words") >= SHORT).groupBy("key").agg(F.first("line").alias("line"))
     each = _windows(lines, ["key"], ("line",)).withColumn("w", F.array_join(F.slice(F.split("line", " "), F.col("at") + 1, WINDOW), " "))
-    each = each.where(_literals(F.col("w")) >= LITERALS).select("key", F.col("at").alias("spot"), "h")
+    longest = F.array_max(F.transform(F.split("w", " "), lambda w, k: F.struct(F.length(w).alias("n"), w.alias("w"), k.alias("off"))))
+    each = each.where(_literals(F.col("w")) >= LITERALS).withColumn("a", longest)
+    each = each.select("key", F.col("at").alias("spot"), "h", F.xxhash64("a.w").alias("anchor"), F.col("a.off").alias("off"))
     held = each.groupBy(F.col("h").alias("of")).agg((F.count_distinct("key") == 1).alias("single"))
     each = each.join(held, F.col("h") == F.col("of")).drop("of")
     some = each.groupBy(F.col("key").alias("k")).agg(F.max("single").alias("some"))
     each = each.join(some, F.col("key") == F.col("k")).where(F.col("single") | ~F.col("some"))
     places = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("spot", F.col("spot") + WINDOW - 1)))))
     own = each.groupBy(F.col("key").alias("k2")).agg(places.alias("own"))
-    return each.join(own, F.col("key") == F.col("k2")).select("h", "key", "spot", "own")
+    return each.join(own, F.col("key") == F.col("k2")).select("h", "key", "spot", "own", "anchor", "off")
+
+
+def _hits(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, rid, at, key, spot, own): places of rows (doc_id, rid, line) where a window of held starts.
+
+    Where held is small, only windows around a word that is the anchor of one are hashed: that word stands at the same place in every
+    copy of the window, so none is missed, and one place has one hit a window.  Otherwise all windows are dealt by their hash.
+    """
+    if held.count() > BROADCAST_WINDOWS:
+        return _windows(rows, ["doc_id", "rid"]).withColumnRenamed("h", "mine").join(held, F.col("mine") == F.col("h"))
+    words = rows.select("doc_id", "rid", F.split("line", " ").alias("line_words"))
+    each = words.select("*", F.posexplode_outer("line_words").alias("p", "w"))  # outer: else the words are made once more, to test for any
+    anchors = held.select(F.col("anchor").alias("of"), F.col("off").alias("mine_off")).distinct()
+    some = each.join(F.broadcast(anchors), F.xxhash64("w") == F.col("of")).withColumn("at", F.col("p") - F.col("mine_off"))
+    some = some.where((F.col("at") >= 0) & (F.col("at") + WINDOW <= F.size("line_words")))
+    mine = F.xxhash64(*[F.xxhash64(F.get("line_words", F.col("at") + k)) for k in range(WINDOW)])  # as in _windows()
+    some = some.select("doc_id", "rid", "at", "mine_off", mine.alias("mine"))
+    return some.join(F.broadcast(held), (F.col("mine") == F.col("h")) & (F.col("mine_off") == F.col("off")))
 
 
 def _found(rows: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, rid, key, hits, covered, own): runs of windows (spot, at) of a row (doc_id, rid, line) that cover enough of a line."""
     held = stash(own_windows(items), "own_windows")  # written, so that the plan stays small
-    if held.count() <= BROADCAST_WINDOWS:
-        held = F.broadcast(held)
-    hits = _windows(rows, ["doc_id", "rid"]).withColumnRenamed("h", "mine").join(held, F.col("mine") == F.col("h"))
+    hits = _hits(rows, held)
     run = F.floor((F.col("at") - F.col("spot")) / DRIFT)  # runs overlap, so that places within DRIFT of each other share one
     runs = hits.select("doc_id", "rid", "key", "own", "spot", "at", F.explode(F.array(run, run - 1)).alias("run"))
     runs = runs.groupBy("doc_id", "rid", "key", "run").agg(F.collect_set(F.struct("spot", "at")).alias("hits"), F.first("own").alias("own"))
@@ -184,7 +203,8 @@ def _same(found: DataFrame, of) -> DataFrame:
 
 def _consistent(found: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
     """The runs (doc_id, rid, key, hits, covered, own) with consistent slots, for each item of their line."""
-    texts = rows.join(found.select(F.col("rid").alias("need")).distinct(), F.col("rid") == F.col("need"), "left_semi").dropDuplicates(["rid"])
+    need = small_side(found.select(F.col("rid").alias("need")).distinct())  # broadcast, so that other texts aren't shuffled
+    texts = rows.join(need, F.col("rid") == F.col("need"), "left_semi").dropDuplicates(["rid"])
     raw = spaced(F.col("text"))
     texts = texts.select(F.col("rid").alias("of"), _slots(template(raw), raw).alias("mine"))
     theirs = items.select(F.col("key").alias("for"), "item_id", _slots(template(F.col("raw")), F.col("raw")).alias("theirs"))
@@ -202,7 +222,7 @@ def _consistent(found: DataFrame, rows: DataFrame, items: DataFrame) -> DataFram
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item; columns are those of docs, whatever their names."""
-    gone = leaks(docs, benchmark).select("rid").distinct()
+    gone = small_side(stash(leaks(docs, benchmark).select("rid").distinct(), "leaks"))
     return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["rid"], "left_anti")
 
 

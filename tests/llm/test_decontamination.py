@@ -148,3 +148,32 @@ def test_pipeline_form_keeps_all_others(spark):
     docs = documents(spark, [(1, ITEM), (2, "clean text"), (3, None), (None, "clean")], extra=["rid", "item_id", "`a.b`", "__leak"])
     kept = dc.decontaminate(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["2", "3", "None"]
+
+
+def test_texts_of_other_rows_are_not_shuffled(spark):
+    """Rows without a run met the runs' rows by a shuffle of all texts, once their ids were over the session's broadcast limit."""
+    docs = documents(spark, [(i, ITEM if i % 7 == 0 else f"clean text {i}") for i in range(100)])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+        found, kept = dc.leaks(docs, bench), dc.decontaminate(docs, bench)
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (found, kept)]
+        assert found.count() == 15 and kept.count() == 85
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for plan, kind in zip(plans, ("LeftSemi", "LeftAnti")):
+        joins = [line for line in plan.split("\n") if kind in line]
+        assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
+def test_windows_around_anchors_are_all_windows(spark, monkeypatch):
+    items = [(1, ITEM), (2, OTHER.replace("Rome", "the the")), (3, "so so so so so so so so so so"), (4, "é 的 ß ab cd ef gh ij kl mn ab cd ef gh"), (5, SLOTS)]
+    texts = [t for _, t in items] + [" ".join(t.split()[k:] + ["so"] * k) for _, t in items for k in (1, 4, 9)] + ["", "so so so so", "ab cd ef", "so " * 30, None]
+    docs = documents(spark, list(enumerate(texts)))
+    rows = docs.select("doc_id", dc.F.col("doc_id").alias("rid"), dc.joined(dc.template(dc.spaced(dc.F.col("text")))).alias("line"))
+    held = dc.own_windows(dc.item_lines(spark.createDataFrame(items, "item_id long, text string"), dc.template)).localCheckpoint()
+    got = [sorted(map(tuple, dc._hits(rows, held).select("doc_id", "rid", "at", "key", "spot", "own").collect()))]
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
+    got.append(sorted(map(tuple, dc._hits(rows, held).select("doc_id", "rid", "at", "key", "spot", "own").collect())))
+    assert got[0] == got[1] and len(got[0]) > 200 and len(set(got[0])) == len(got[0])
