@@ -24,16 +24,20 @@ def block_prints(h: np.ndarray, first: np.ndarray, blocks: int, size: int = SAMP
     ease: for each item the inverse of its weight, in 32 bits (items are drawn in proportion to their weight); None: all weigh the same.
     """
     out = np.empty((len(first), blocks), dtype=np.uint64)
+    x, u, draws = np.empty_like(h), np.empty(len(h), dtype=np.float32), np.empty(len(h))  # used again for each draw
+    weights = None if ease is None else ease.astype(np.float64)
     for k in range(blocks):
         drawn = []
         for j in range(size):
-            x = h * _FACTORS[(k * size + j) % len(_FACTORS)]
-            if ease is None:
+            np.multiply(h, _FACTORS[(k * size + j) % len(_FACTORS)], out=x)
+            if weights is None:
                 least = np.minimum.reduceat(x, first)
             else:  # -log2 of a uniform number over its weight; the bits of a float are its logarithm, nearly
-                u = (x >> _U(40)).astype(np.float32)
+                np.right_shift(x, _U(40), out=x)
+                u[:] = x.view(np.int64)  # signed numbers become floats several times as fast
                 u += 1
-                least = np.minimum.reduceat((_ONE - u.view(np.int32)) * ease, first).astype(np.float32).view(np.uint32).astype(np.uint64)
+                np.multiply(np.subtract(_ONE, u.view(np.int32)), weights, out=draws)
+                least = np.minimum.reduceat(draws, first).astype(np.float32).view(np.uint32).astype(np.uint64)
             drawn.append(mix64(least + _U(j)))
         out[:, k] = _majority(drawn)
     return out

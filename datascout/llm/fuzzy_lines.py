@@ -91,8 +91,8 @@ def _trimmed(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - k], b[: len(b) - k]
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, all rows of a column at once in the bits of an integer."""
+def edit_distance(a: str, b: str, room: float = float("inf")) -> float:
+    """Levenshtein distance, all rows of a column at once in the bits of an integer; infinite as soon as it is known to be above room."""
     a, b = _trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
@@ -101,11 +101,15 @@ def edit_distance(a: str, b: str) -> int:
         at[c] = at.get(c, 0) | 1 << i
     every, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, distance = every, 0, len(a)  # where a column rises and falls by one from row to row
+    most = room + len(b)
     for c in b:
         hit = at.get(c, 0) | down
         flat = (((hit & up) + up) ^ up) | hit
         rise, fall = (down | ~(up | flat)) & every, up & flat
         distance += bool(rise & top) - bool(fall & top)
+        most -= 1
+        if distance > most:  # each column that follows takes one off at most
+            return float("inf")
         rise = rise << 1 | 1
         up, down = (fall << 1 | ~(rise | flat)) & every, rise & flat & every
     return distance
@@ -158,7 +162,7 @@ def _cheap(gaps: list[tuple[str, str]], room: float) -> bool:
     if sum([abs(len(u) - len(v)) for u, v in gaps]) > room:
         return False
     for u, v in gaps:
-        room -= edit_distance(u, v)
+        room -= edit_distance(u, v, room)
         if room < 0:
             return False
     return True
@@ -182,15 +186,18 @@ def _runs(line: str) -> np.ndarray:
 
 
 def near_lines(lines: list[str], least: float = SIMILARITY) -> Callable[[int, np.ndarray], np.ndarray]:
-    """An edit changes at most three of a line's three-letter runs, so lines that share too few can't be similar."""
+    """An edit changes at most three of a line's three-letter runs, so lines that share too few can't be similar.
+
+    Runs are counted where there are more than two lines: one pair is compared at less cost.
+    """
     size = np.array([len(x) for x in lines])
-    runs = np.stack([_runs(x) for x in lines])
+    runs = np.stack([_runs(x) for x in lines]) if len(lines) > 2 else None
 
     def near(i: int, js: np.ndarray) -> np.ndarray:
         most = np.maximum(size[js], size[i])
         room = np.floor((1 - least) * most + 1e-9)
         hit = np.abs(size[js] - size[i]) <= room
-        if hit.any():
+        if runs is not None and hit.any():
             hit[hit] = np.minimum(runs[js[hit]], runs[i]).sum(axis=1) >= (most - 2 - 3 * room)[hit]
         for k in np.flatnonzero(hit).tolist():
             hit[k] = similar(lines[i], lines[js[k]], least)

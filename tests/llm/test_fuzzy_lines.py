@@ -135,3 +135,26 @@ def test_query_against_edit_similarity_alone(spark):
     later = {b for _, b in pairs}
     want = {d: sum(x in later for x in map(fl.normalised, t.encode().split(b"\n"))) + (d != 0) for d, t in rows}
     assert all(got[d] <= n for d, n in want.items()) and sum(want[d] - got[d] for d in want) <= 0.05 * len(pairs)
+
+
+def test_edit_distance_stops_above_room():
+    r = random.Random(5)
+    for _ in range(400):
+        a = "".join(r.choice("abc d") for _ in range(r.randrange(40)))
+        b = "".join(r.choice("abc d") for _ in range(r.randrange(40))) if r.random() < 0.5 else a[: r.randrange(40)] + a[r.randrange(40) :]
+        d, room = fl.edit_distance(a, b), r.randrange(12) + 0.5
+        got = fl.edit_distance(a, b, room)
+        assert got == d if d <= room else got > room
+
+    class Counted(str):
+        seen = 0
+
+        def __getitem__(self, k):
+            return Counted(str.__getitem__(self, k))
+
+        def __iter__(self):
+            for c in str.__iter__(self):
+                Counted.seen += 1
+                yield c
+
+    assert fl.edit_distance("x" * 500, Counted("y" * 500), 20) > 20 and Counted.seen < 40
