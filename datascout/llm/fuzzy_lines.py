@@ -40,6 +40,10 @@ BINS = 1024
 LONGEST, LEAN = 12, 2.0
 #: Bytes of a tiny word; other words that are enough for a line to be known by them alone.
 TINY, ENOUGH = 3, 8
+#: Fewest lines of a group whose words are compared by place; words that a common start or end may put in or leave out.
+PLACED, EDGE_WORDS = 64, 16
+#: Fewest lines that are compared with one at once, and most; longest of such lines, as all their letters meet.
+TOGETHER, MOST_TOGETHER, SHORT_ENOUGH = 8, 128, 1000
 _PLAIN = bytes(48 if 48 <= x < 58 else 32 if x < 128 and not chr(x).isalnum() else ord(chr(x).lower()) if x < 128 else x for x in range(256))
 _LINES = _PLAIN[:10] + b"\n" + _PLAIN[11:]
 _EASE = (np.maximum(np.arange(LONGEST + 1), 1.0) ** -LEAN).astype(np.float32)
@@ -50,6 +54,21 @@ def normalised(line: bytes) -> bytes:
     return b" ".join(line.translate(_PLAIN).split())
 
 
+def split_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(text, place, normalised line) of every line of the texts that has a word."""
+    if not texts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+    buf = np.frombuffer((b"\n" + b"\n".join(texts) + b"\n").translate(_LINES), dtype=np.uint8)  # all white space is a space or a line's end
+    gap = buf <= 32
+    buf = buf[1:][~(gap[:-1] & (buf[1:] == 32))]
+    buf = buf[np.append(~((buf[:-1] == 32) & (buf[1:] == 10)), True)]
+    lines = buf.tobytes().split(b"\n")[:-1]
+    n = np.array([x.count(b"\n") + 1 for x in texts])
+    some = np.flatnonzero(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)))
+    row = np.repeat(np.arange(len(n)), n)[some]
+    return row, some - (np.cumsum(n) - n)[row], list(filter(None, lines))
+
+
 def fingerprints(lines: list[bytes]) -> list[bytes]:
     """The blocks of each line as bytes; every line has a word.  Very short words count only in lines that have few others."""
     if not lines:
@@ -59,16 +78,21 @@ def fingerprints(lines: list[bytes]) -> list[bytes]:
     long = size > TINY
     keep = long | (np.bincount(line[long], minlength=len(n)) < ENOUGH)[line]
     h, ease, m = h[keep], _EASE[np.minimum(size[keep], LONGEST)], np.bincount(line[keep], minlength=len(n))
-    made = [x.tobytes() for x in block_prints(h, np.cumsum(m) - m, BLOCKS, WORDS, ease)]
+    made = _rows(block_prints(h, np.cumsum(m) - m, BLOCKS, WORDS, ease))
     short = np.flatnonzero(n <= SHORT)
     if len(short):
         at = np.repeat(n <= SHORT, m)
         more = block_prints(h[at], np.cumsum(m[short]) - m[short], SHORT_BLOCKS, 3, ease[at])
-        for i, x in zip(short.tolist(), more):
-            made[i] += x.tobytes()
+        for i, x in zip(short.tolist(), _rows(more)):
+            made[i] += x
     return made
 
 
+def _rows(x: np.ndarray) -> list[bytes]:
+    every, size = x.tobytes(), x.itemsize * x.shape[1]
+    return [every[k : k + size] for k in range(0, len(every), size)]
+
+
 def _shared(a: str, b: str) -> int:
     """Length of the common start."""
     low, high = 0, min(len(a), len(b))
@@ -115,6 +139,30 @@ def edit_distance(a: str, b: str, room: float = float("inf")) -> float:
     return distance
 
 
+def edit_distances(a: str, others: list[str]) -> np.ndarray:
+    """edit_distance() of a to each of others: their bits lie side by side in one integer, each with a free bit after it."""
+    code = np.frombuffer(("\n".join(others) + "\n").encode("utf-32-le"), dtype=np.uint32)
+    free = np.zeros(len(code), dtype=bool)
+    free[np.cumsum([len(x) + 1 for x in others]) - 1] = True
+    first = np.r_[True, free[:-1]]
+    every, lowest, at = _packed(~free), _packed(first), {c: _packed(code == ord(c)) for c in set(a)}
+    up, down = every, 0
+    for c in a:
+        hit = at[c] | down
+        flat = (((hit & up) + up) ^ up | hit) & every
+        rise = (down | (up | flat) ^ every) << 1 | lowest
+        up, down = ((up & flat) << 1 | (flat | rise) ^ every) & every, rise & flat
+    return len(a) + np.add.reduceat(_bits(up, len(code)) - _bits(down, len(code)), np.flatnonzero(first))
+
+
+def _packed(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def _bits(packed: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed.to_bytes(-(-n // 8), "little"), dtype=np.uint8), count=n, bitorder="little").astype(np.int64)
+
+
 def _in_order(once: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest part of once (i rises) in which j rises too."""
     if all(p[1] < q[1] for p, q in zip(once, once[1:])):
@@ -185,20 +233,72 @@ def _runs(line: str) -> np.ndarray:
     return np.bincount(g >> np.uint32(22), minlength=BINS).astype(np.int32)
 
 
+def _elsewhere(lines: list[str]) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+    """Tells that lines aren't similar by where the words are that both hold once: lines that share a passage, say, which moved too far.
+
+    An alignment by words moved by d costs |d| edits before them and |more letters - d| after them at least, and aligned() takes most such words
+    that are in order, so at least as many as moved alike by any one d.  If fewer words than these moved by an affordable d, it costs
+    too much.  Similar() cuts a common start and end, which changes but EDGE_WORDS words where first and last words differ.
+    """
+    split = [x.split(" ") for x in lines]
+    known: dict[str, int] = {}
+    word, line, place = [], [], []
+    for k, x in enumerate(split):
+        n, at = Counter(x), 0
+        for w in x:
+            if n[w] == 1:
+                word.append(known.setdefault(w, len(known)))
+                line.append(k)
+                place.append(at)
+            at += len(w) + 1
+    word, line, place = (np.array(x, dtype=np.int64) for x in (word, line, place))
+    start = np.searchsorted(line, np.arange(len(lines) + 1))
+    ends = np.array([[known.setdefault(x[0], len(known)), known.setdefault(x[-1], len(known))] for x in split])
+    edge, count, size = (np.array(x) for x in ([len(x[0]) + len(x[-1]) for x in split], [len(x) for x in split], [len(x) for x in lines]))
+
+    def elsewhere(i: int, js: np.ndarray, room: np.ndarray) -> np.ndarray:
+        own, most = np.full(len(known), -1), np.full(len(lines), -1)
+        own[word[start[i] : start[i + 1]]] = place[start[i] : start[i + 1]]
+        most[js] = room
+        both = np.flatnonzero((own[word] >= 0) & (most[line] >= 0))
+        of, moved = line[both], place[both] - own[word[both]]
+        cheap = np.abs(moved) + np.abs(size[of] - size[i] - moved) <= most[of] + 2
+        few = np.bincount(of[cheap], minlength=len(lines)) + EDGE_WORDS
+        key = np.sort((of << 32) + moved + (1 << 31))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
+        alike = np.zeros(len(lines), dtype=np.int64)
+        np.maximum.at(alike, key[first] >> 32, np.diff(np.r_[first, len(key)]))
+        apart = (ends[js] != ends[i]).all(axis=1) & (count[js] != count[i]) & (np.maximum(size[js], size[i]) - np.maximum(edge[js], edge[i]) > room)
+        return apart & (alike > few)[js]
+
+    return elsewhere
+
+
 def near_lines(lines: list[str], least: float = SIMILARITY) -> Callable[[int, np.ndarray], np.ndarray]:
     """An edit changes at most three of a line's three-letter runs, so lines that share too few can't be similar.
 
-    Runs are counted where there are more than two lines: one pair is compared at less cost.
+    Runs are counted where there are more than two lines: one pair is compared at less cost.  In larger groups, lines whose words are too
+    far elsewhere go next, then, many at once, those whose edit distance is too large: no alignment costs less.
     """
+    if len(lines) == 2:
+        return lambda i, js: np.array([similar(lines[i], lines[j], least) for j in js])
     size = np.array([len(x) for x in lines])
-    runs = np.stack([_runs(x) for x in lines]) if len(lines) > 2 else None
+    runs = np.stack([_runs(x) for x in lines])
+    elsewhere = None
 
     def near(i: int, js: np.ndarray) -> np.ndarray:
+        nonlocal elsewhere
         most = np.maximum(size[js], size[i])
-        room = np.floor((1 - least) * most + 1e-9)
+        room = np.floor((1 - least) * most + 1e-9).astype(np.int64)
         hit = np.abs(size[js] - size[i]) <= room
-        if runs is not None and hit.any():
+        if hit.any():
             hit[hit] = np.minimum(runs[js[hit]], runs[i]).sum(axis=1) >= (most - 2 - 3 * room)[hit]
+        if len(lines) >= PLACED and np.count_nonzero(hit) >= TOGETHER:
+            elsewhere = elsewhere or _elsewhere(lines)
+            hit[hit] = ~elsewhere(i, js[hit], room[hit])
+            left = np.flatnonzero(hit & (most <= SHORT_ENOUGH))
+            for some in np.array_split(left, -(-len(left) // MOST_TOGETHER)) if len(left) >= TOGETHER else ():
+                hit[some] = edit_distances(lines[i], [lines[j] for j in js[some].tolist()]) <= room[some]
         for k in np.flatnonzero(hit).tolist():
             hit[k] = similar(lines[i], lines[js[k]], least)
         return hit
@@ -219,14 +319,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             for i, j in slices(texts):
-                row, line, norm = [], [], []
-                for r in range(i, j):
-                    for k, x in enumerate(texts[r].translate(_LINES).split(b"\n")):
-                        x = b" ".join(x.split())
-                        if x:
-                            row.append(r)
-                            line.append(k)
-                            norm.append(x)
+                row, line, norm = split_lines(texts[i:j])
                 hashes = list(map(xxh64_intdigest, norm))
                 new = []
                 for k, (x, h) in enumerate(zip(norm, hashes)):
@@ -237,9 +330,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 for k, x in zip(new, fingerprints([norm[k] for k in new])):
                     prints[k] = x
                 if norm:
-                    at = pa.array(row)
+                    at = pa.array(row + i)
                     h = np.array(hashes, dtype=np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), batch.column("doc_id").take(at), pa.array(line, pa.int32()), pa.array(h), pa.array(prints, pa.binary())], names=["rid", "doc_id", "line", "h", "prints"])
+                    yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), batch.column("doc_id").take(at), pa.array(line.astype(np.int32)), pa.array(h), pa.array(prints, pa.binary())], names=["rid", "doc_id", "line", "h", "prints"])
 
     return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, line int, h long, prints binary")
 

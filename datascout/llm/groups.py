@@ -106,8 +106,6 @@ def crowded(prints: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, h in _chunks(batches):
-            some = mix64(h.view(np.uint64) ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(rate) == 0
-            key, h = key[some], h[some]
             order = np.argsort(key)
             key, h = key[order], h[order]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
@@ -115,7 +113,8 @@ def crowded(prints: DataFrame) -> DataFrame:
             least = np.minimum.reduceat(h, first) if len(key) else h
             yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(n), pa.array(least)], names=["key", "n", "pivot"])
 
-    return prints.select("h", "prints").mapInArrow(run, "key long, n long, pivot long")
+    some = prints.where(F.pmod(F.xxhash64("h", F.lit("counted")), F.lit(rate)) == 0)
+    return some.select("h", "prints").mapInArrow(run, "key long, n long, pivot long")
 
 
 def _named(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +176,8 @@ def join_pairs(h: np.ndarray, label: np.ndarray, near: Callable[[int, np.ndarray
 
     guest: where there are guests, members are compared with these only.
     """
+    if len(h) == 2 and (guest is None or not guest.any()):
+        return ([h[0]], [h[1]]) if label[0] != label[1] and near(0, np.array([1]))[0] else ([], [])
     group, a, b = label.copy(), [], []
     guests = np.flatnonzero(guest) if guest is not None and guest.any() else None
     for i in range(len(h) - 1) if guests is None else np.flatnonzero(~guest).tolist():

@@ -158,3 +158,58 @@ def test_edit_distance_stops_above_room():
                 yield c
 
     assert fl.edit_distance("x" * 500, Counted("y" * 500), 20) > 20 and Counted.seen < 40
+
+
+def test_distances_of_many_lines_at_once():
+    r = random.Random(7)
+    for _ in range(150):
+        a, *others = ("".join(r.choice("abc é\n") for _ in range(r.choice([0, 5, 40, 130]))) for _ in range(r.randrange(2, 20)))
+        others.append(a[: len(a) // 2] + "b" + a[len(a) // 2 + 1 :])
+        assert fl.edit_distances(a, others).tolist() == [levenshtein(a, b) for b in others]
+
+
+def passages(r, n):
+    """Lines that share a passage at different places, some of them alike; and where words are put in before it and taken off after it."""
+    shared = [f"p{i}" for i in range(60)]
+    lines = [" ".join(["a" * r.randrange(1, 4), *words(r.random(), r.randrange(25)), *shared, *words(r.random(), r.randrange(25)), "z" * r.randrange(1, 4)]) for _ in range(n)]
+    for x in lines[::4]:
+        w = x.split()
+        w[3:5] = ["other"]
+        lines.append(" ".join(w))
+    return lines
+
+
+def test_filters_of_large_groups_keep_all_similar_lines(monkeypatch):
+    """Lines that share a passage only are told apart many at once: hardly any pair is aligned word by word (before, all were)."""
+    r = random.Random(8)
+    lines = passages(r, 120)
+    want = {(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if fl.similar(lines[i], lines[j])}
+    calls, aligned = [], fl.aligned
+    monkeypatch.setattr(fl, "aligned", lambda *x: calls.append(x) or aligned(*x))
+    near = fl.near_lines(lines)
+    got = {(i, j) for i in range(len(lines) - 1) for js in [np.arange(i + 1, len(lines))] for j in js[near(i, js)].tolist()}
+    assert got == want and 30 <= len(want) < 0.5 * len(lines) ** 2 / 2
+    assert len(calls) < 1.5 * len(want) + 8 * len(lines)
+
+
+def test_words_elsewhere_never_part_similar_lines():
+    r, parted = random.Random(9), 0
+    for _ in range(6):
+        lines = passages(r, 40)
+        lines += [x[r.randrange(3) :] + "z" * r.randrange(3) for x in lines[:20]] + ["p1 p2 " * 9 + x for x in lines[:5]]
+        elsewhere = fl._elsewhere(lines)
+        for i in range(len(lines) - 1):
+            js = np.arange(i + 1, len(lines))
+            size = np.array([max(len(lines[i]), len(lines[j])) for j in js])
+            apart = js[elsewhere(i, js, np.floor(0.2 * size + 1e-9).astype(np.int64))]
+            parted += len(apart)
+            assert not any(fl.similar(lines[i], lines[j]) for j in apart)
+    assert parted > 500
+
+
+def test_lines_of_many_texts():
+    r = random.Random(10)
+    for _ in range(500):
+        texts = [bytes(r.choice(b"aB\n\n  \t\r,7\xc3\xa9\x00\x0b") for _ in range(r.randrange(30))) for _ in range(r.randrange(5))]
+        want = [(i, k, n) for i, t in enumerate(texts) for k, x in enumerate(t.split(b"\n")) if (n := fl.normalised(x))]
+        assert [(int(i), int(k), x) for i, k, x in zip(*fl.split_lines(texts))] == want
