@@ -12,6 +12,8 @@ DATE_NAME = r"(?i)(^|[^a-z])(date|time|timestamp|created|updated|opened|closed|s
 WKT_POINT = r"(?i)POINT\s*\(\s*([-+]?\d+(?:\.\d+)?)\s+([-+]?\d+(?:\.\d+)?)\s*\)"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 FOUR_BY_FOUR = r"(?i)^[a-z0-9]{4}-[a-z0-9]{4}$"
+#: Seconds from 1970 that timestamps reach, either way.
+MOST_SECONDS = 9.2e12
 #: Date layouts tried in order when a text is no ISO timestamp.
 DATE_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy")
 
@@ -28,16 +30,22 @@ def safe_float(x: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
-def epoch_to_timestamp(x: Column) -> Column:
-    """Seconds since 1970, or milliseconds above 1e10, as a timestamp."""
+def epoch_to_timestamp(x: Column, unit: str | None = None) -> Column:
+    """Time since 1970 as a timestamp: unit is 's' or 'ms'; without one, numbers above 1e10 are taken as milliseconds and others as seconds.
+
+    Times that timestamps don't reach are null.
+    """
+    if unit not in (None, "s", "ms"):
+        raise ValueError("a unit is 's' or 'ms'")
     n = x.cast("double")
-    return F.timestamp_seconds(F.when(n > 1e10, n / 1000.0).otherwise(n))
+    seconds = {"s": n, "ms": n / 1000.0}.get(unit, F.when(n > 1e10, n / 1000.0).otherwise(n))
+    return F.timestamp_seconds(F.when(F.abs(seconds) < MOST_SECONDS, seconds))
 
 
-def parse_time(x: Column) -> Column:
-    """Timestamp of a text: a number is an epoch, a text without a zone is UTC."""
+def parse_time(x: Column, unit: str | None = None) -> Column:
+    """Timestamp of a text: a number is an epoch (in the unit, if one is given), a text without a zone is UTC."""
     t = F.trim(x.cast("string"))
-    number = F.when(t.rlike(r"^[0-9]{9,13}(\.[0-9]+)?$"), epoch_to_timestamp(t.try_cast("double")))
+    number = F.when(t.rlike(r"^[0-9]{9,13}(\.[0-9]+)?$"), epoch_to_timestamp(t.try_cast("double"), unit))
     return F.coalesce(number, F.when(~t.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.try_to_timestamp(t)))
 
 

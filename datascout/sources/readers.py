@@ -76,13 +76,17 @@ def listing_ids(assets: DataFrame) -> DataFrame:
     return first_per_key(kept, "id", "pos")
 
 
-def view_metadata(views: DataFrame) -> DataFrame:
-    """(id, title, description, publisher, source, last_update_date, download_url) of views (id, base_url, payload JSON), parsed once."""
+def view_metadata(views: DataFrame, unit: str | None = None) -> DataFrame:
+    """(id, title, description, publisher, source, last_update_date, download_url) of views (id, base_url, payload JSON), parsed once.
+
+    unit: 's' or 'ms' where the portal's epochs are known to be in it; without one, numbers above 1e10 are taken as milliseconds, so seconds
+    after November 2286 would be misread.
+    """
     names = ("name", "title", "displayName", "description", "notes", "blurb", "ownerDisplayName", "attribution", "ownerName", "rowsUpdatedAt", "viewLastModified", "downloadUrl", "csvDownloadUrl")
     x = views.withColumn("v", F.from_json("payload", ", ".join(f"{n} string" for n in names)))
     get = lambda *wanted: X.non_empty(*[F.col("v")[n] for n in wanted])
     return x.select(
         "id", F.coalesce(get("name", "title", "displayName"), F.col("id").cast("string")).alias("title"), F.coalesce(get("description", "notes", "blurb"), F.lit("")).alias("description"),
-        F.coalesce(get("ownerDisplayName", "attribution", "ownerName"), F.lit("")).alias("publisher"), F.lit("Socrata").alias("source"), F.to_date(X.parse_time(get("rowsUpdatedAt", "viewLastModified"))).alias("last_update_date"),
+        F.coalesce(get("ownerDisplayName", "attribution", "ownerName"), F.lit("")).alias("publisher"), F.lit("Socrata").alias("source"), F.to_date(X.parse_time(get("rowsUpdatedAt", "viewLastModified"), unit)).alias("last_update_date"),
         F.coalesce(get("downloadUrl", "csvDownloadUrl"), X.csv_url(F.col("base_url"), F.col("id").cast("string"))).alias("download_url"),
     )

@@ -3,6 +3,7 @@
 import json
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from datascout.operators import samples as N
 from datascout.operators import search as S
 from datascout.operators import text as T
 from datascout.operators import vectors as V
+from datascout.plans import registry
 from datascout.sources import readers as R
 from datascout.sources import sinks
 from datascout.sources.workdir import work_dir
@@ -33,6 +35,31 @@ def test_numbers_and_times(spark):
     assert [str(x) for x in one(spark, ["01/31/2024", "31.01.2024", "Jan 31, 2024"], F.to_date(X.parse_date_like(v)))] == ["2024-01-31"] * 3
 
 
+def test_epochs_of_a_known_unit(spark):
+    v = F.col("v")
+    texts = ["1700000000", "10000000001", "50000000000", "1700000000123", "9999999999999", "2024-01-02", "junk", None]
+    day = lambda unit: one(spark, texts, F.to_date(X.parse_time(v, unit)).cast("string"))
+    assert day("s")[:3] + day("s")[4:] == ["2023-11-14", "2286-11-20", "3554-06-09", None, "2024-01-02", None, None]
+    assert day("ms")[:4] == ["1970-01-20", "1970-04-26", "1971-08-02", "2023-11-14"]
+    assert day(None)[:4] == ["2023-11-14", "1970-04-26", "1971-08-02", "2023-11-14"]
+    views = spark.createDataFrame([(1, "https://x/", '{"rowsUpdatedAt": 10000000001}'), (2, "https://x/", '{"viewLastModified": "1700000000"}')], "id long, base_url string, payload string")
+    assert [str(r.last_update_date) for r in R.view_metadata(views, unit="s").orderBy("id").collect()] == ["2286-11-20", "2023-11-14"]
+    with pytest.raises(ValueError):
+        X.epoch_to_timestamp(v, "minutes")
+
+
+@pytest.mark.parametrize("first", [0, 96_060, 500_000])
+def test_views_of_large_ids(spark, first, tmp_path):
+    """The query gives its SQL's dates for ids whose epochs are above 1e10 as well."""
+    path = str(tmp_path)
+    spark.range(first, first + 12).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'src1' AS source", "1L AS n_chars").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    got = {r.id: r.last_update_date and r.last_update_date.isoformat() for r in registry.QUERIES["view_metadata"](spark, path).collect()}
+    db = duckdb.connect()
+    db.execute(f"SET TimeZone = 'UTC'; CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    assert got == {r[0]: r[1] and r[1].isoformat() for r in db.execute(f"SELECT id, last_update_date FROM ({registry.SQL['view_metadata']})").fetchall()}
+    assert sum(d is not None for d in got.values()) == 6
+
+
 def test_names_labels_and_ids(spark):
     v = F.col("v")
     assert one(spark, ["LATITUDE", "pickup_lat", "lat1", "flat", "pickupLat"], v.rlike(X.LAT_NAME)) == [True, True, True, False, False]
