@@ -133,10 +133,11 @@ def find_profiles(wanted: DataFrame, profiles: DataFrame, key: str = "name") ->
     both.repartitionByRange("at").withColumn("part", F.spark_partition_id()).write.parquet(path)
     held = spark.read.parquet(path)
     firsts = held.groupBy(F.col("part").alias("of")).agg(F.min("name").alias("first"))  # a row a range
-    after = F.min("first").over(Window.orderBy("of").rowsBetween(1, Window.unboundedFollowing))
+    # both windows run from the last name back: frames that grow take a step a row, those that shrink are summed anew for every row
+    after = F.min("first").over(Window.orderBy(F.desc("of")).rowsBetween(Window.unboundedPreceding, -1))
     firsts = F.broadcast(firsts.select("of", after.alias("later")))
-    onward = Window.partitionBy("part").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = held.withColumn("next", F.first("name", ignorenulls=True).over(onward)).where("name IS NULL").join(firsts, F.col("part") == F.col("of"))
+    onward = Window.partitionBy("part").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = held.withColumn("next", F.last("name", ignorenulls=True).over(onward)).where("name IS NULL").join(firsts, F.col("part") == F.col("of"))
     found = found.select(F.col("at").alias("want"), F.coalesce("next", "later").alias("name"))
     return found.where(F.startswith("name", "want")).select("want", "name", F.lit(1).alias("rank"))
 

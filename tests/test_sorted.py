@@ -54,3 +54,16 @@ def test_prefix_lookup(spark):
     assert {x.want: x.name for x in got.collect()} == want and got.count() == len(want)
     none = spark.createDataFrame([], "name string")
     assert C.find_profiles(spark.createDataFrame([("a",)], "want string"), none).collect() == []
+
+
+def test_prefix_lookup_takes_a_step_a_name(spark):
+    """One range of 60,000 names: the windows' frames only grow, so that no name is looked at again for each one before it."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        names = spark.range(60_000).selectExpr("concat(id * 2, '_x') AS name")
+        wants = spark.createDataFrame([("119998",), ("119998_x",), ("119999",), ("0",), ("7777",), ("9",), ("a",)], "want string")
+        got = C.find_profiles(wants, names)
+        assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+        assert {r.want: r.name for r in got.collect()} == {"119998": "119998_x", "119998_x": "119998_x", "0": "0_x", "7777": "77770_x", "9": "90000_x"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
