@@ -76,5 +76,6 @@ def hybrid(queries: DataFrame, query_vectors: DataFrame, records: DataFrame, vec
     pool = vectors.join(ids, "id", "left_semi") if knn_filter == "pre" else vectors
     near = knn(query_vectors, pool, k).select("qid", "id", F.col("score").alias("vector_score"))
     words = lexical(queries, index or records, **text).select("qid", "id", F.col("score").alias("text_score"))
-    both = words.join(near, ["qid", "id"], "full_outer").join(ids, "id", "left_semi")
+    # near has k rows a query and words those of most records, which then needn't be sorted
+    both = words.join(near.hint("shuffle_hash"), ["qid", "id"], "full_outer").join(ids, "id", "left_semi")
     return both.select("qid", "id", F.round(F.coalesce("text_score", F.lit(0.0)) + F.coalesce("vector_score", F.lit(0.0)), 6).alias("score"))

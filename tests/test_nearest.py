@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from datascout.functions.scalars import squared_l2
 from datascout.operators import nearest as N
+from datascout.operators import search as S
 from datascout.operators import vectors as V
 
 
@@ -80,3 +81,17 @@ def test_no_queries_and_no_records(spark):
 
 def test_rounding_at_halves():
     assert N.keys_of(np.array([1.0, 0.0, 0.5, 0.1234565, 0.1234564999, 0.0000005, float("nan")])).tolist() == [1_000_000, 0, 500_000, 123_457, 123_456, 1, N.NAN]
+
+
+def test_hybrid_sorts_no_matches(spark):
+    """Text matches, which most records are, meet the few neighbours by hashes of these; matches by one of the two alone are kept."""
+    records = spark.createDataFrame([(1, "apple pie", True), (2, "pear", True), (3, "apple", False), (4, "plum", True)], "id long, description string, ok boolean")
+    vectors = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [0.0]), (4, [3.0])], "id long, vector array<float>")
+    queries = spark.createDataFrame([(7, "apple"), (8, "plum")], "qid long, keywords string")
+    asked = spark.createDataFrame([(7, [0.0]), (9, [3.0])], "qid long, vector array<float>")
+    hits = S.hybrid(queries, asked, records, vectors, F.col("ok"), k=3, title_boost=0.0, operator="or")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [qid" in plan and "SortMergeJoin [qid" not in plan and "MapInArrow" in plan
+    got = {(r.qid, r.id): r.score for r in hits.collect()}
+    assert set(got) == {(7, 1), (7, 2), (8, 4), (9, 4), (9, 2), (9, 1)}  # of 1 and 3, as near to 9, the smaller id
+    assert got[7, 1] > 1.0 and got[7, 2] == 0.5 and got[9, 4] == 1.0 and got[9, 2] == 0.2 and got[8, 4] > 0
